@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideloom.functions.timestamps import compact_utc
+from tideloom.llm.linkage import link_records
 from tideloom.llm.nearest import nearest_in_time
 from tideloom.operators.timestamps import feed_instants
 from tideloom.session import materialise
@@ -23,5 +24,16 @@ def p1_found(spark, d):
     return nearest_in_time(left, right, "page_id", "open_rev_id", "utc_s", "close_rev_id", "utc_s", THIRTY_DAYS)
 
 
-QUERIES = {"p1_found": p1_found}
+def p4_links(spark, d):
+    works = table(spark, d, "crossref_work", "work_id", "doi", "title", "authors", "year")
+    candidates = table(spark, d, "candidate", "cand_id", "title", "year", "authors", "doi")
+    names = "transform(authors, a -> concat_ws(', ', a.family, a.given))"
+    return link_records(candidates, works, "cand_id", "work_id", "authors", names)
+
+
+def p4_found(spark, d):
+    return p4_links(spark, d).select("cand_id", "work_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links}
 ORACLE: dict[str, str] = {}
