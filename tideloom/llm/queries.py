@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.timestamps import compact_utc
 from tideloom.llm.linkage import link_records
+from tideloom.llm.mail import written_lines
 from tideloom.llm.nearest import nearest_in_time
 from tideloom.operators.timestamps import feed_instants
 from tideloom.session import materialise
@@ -35,5 +36,9 @@ def p4_found(spark, d):
     return p4_links(spark, d).select("cand_id", "work_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links}
+def p5_found(spark, d):
+    return written_lines(table(spark, d, "parse_messages", "msg_id", "subject", "msg_date", "sender", "body"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
