@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideloom.functions.timestamps import compact_utc
+from tideloom.llm.languages import language_segments, wrong_labels
 from tideloom.llm.linkage import link_records
 from tideloom.llm.mail import written_lines
 from tideloom.llm.nearest import nearest_in_time
@@ -40,5 +41,13 @@ def p5_found(spark, d):
     return written_lines(table(spark, d, "parse_messages", "msg_id", "subject", "msg_date", "sender", "body"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found}
+def p9_segments(spark, d):
+    return language_segments(table(spark, d, "documents", "doc_id", "text", "lang")).drop("label")
+
+
+def p9_found(spark, d):
+    return wrong_labels(language_segments(table(spark, d, "documents", "doc_id", "text", "lang"))).select("doc_id", "seg_no", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p9_found": p9_found, "p9_segments": p9_segments}
 ORACLE: dict[str, str] = {}
