@@ -8,7 +8,10 @@ from tideloom.functions.timestamps import compact_utc
 from tideloom.llm.languages import language_segments, wrong_labels
 from tideloom.llm.linkage import link_records
 from tideloom.llm.mail import written_lines
+from tideloom.llm.mixing import budgets, mix, mix_report
 from tideloom.llm.nearest import nearest_in_time
+from tideloom.llm.packing import fill_report, pack
+from tideloom.llm.tokens import token_sizes
 from tideloom.operators.timestamps import feed_instants
 from tideloom.session import materialise
 from tideloom.sources.tables import table
@@ -49,5 +52,28 @@ def p9_found(spark, d):
     return wrong_labels(language_segments(table(spark, d, "documents", "doc_id", "text", "lang"))).select("doc_id", "seg_no", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p9_found": p9_found, "p9_segments": p9_segments}
+def _sizes(spark, d, *keep):
+    return materialise(token_sizes(table(spark, d, "documents", "doc_id", *keep, "text"), *keep), "token-sizes")
+
+
+def p7_pack(spark, d):
+    return pack(_sizes(spark, d), table(spark, d, "container_spec"))
+
+
+def p7_report(spark, d):
+    return fill_report(p7_pack(spark, d), table(spark, d, "container_spec"))
+
+
+def p8_mix(spark, d):
+    sizes = _sizes(spark, d, "source")
+    return mix(sizes, budgets(sizes, table(spark, d, "mix_targets")))
+
+
+def p8_report(spark, d):
+    sizes = _sizes(spark, d, "source")
+    plan = materialise(budgets(sizes, table(spark, d, "mix_targets")), "mix-plan")
+    return mix_report(mix(sizes, plan), plan)
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_segments": p9_segments}
 ORACLE: dict[str, str] = {}
