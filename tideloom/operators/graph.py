@@ -61,9 +61,10 @@ def shared_neighbours(members: DataFrame, key: str, feature: str, group: str, le
     sets = sets.select(key, group, F.transform("s", lambda x: x[feature]).alias("s"))
     prefix = sets.withColumn("f", F.explode(F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * threshold) + 1).cast("int"))))
     a, b = prefix.select(F.col(key).alias("a"), F.col(group).alias("ga"), "f"), prefix.select(F.col(key).alias("b"), F.col(group).alias("gb"), "f")
-    pairs = a.join(b, "f").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b").distinct()
-    left, right = sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), sets.select(F.col(key).alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    pairs = a.join(b, "f").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "ga", "b", "gb").distinct()
+    left = sets.select(F.col(key).alias("a"), F.col(group).alias("ga"), F.col("s").alias("sa"))
+    right = sets.select(F.col(key).alias("b"), F.col(group).alias("gb"), F.col("s").alias("sb"))
+    both = pairs.join(left, ["a", "ga"]).join(right, ["b", "gb"])
     jaccard = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
