@@ -19,6 +19,7 @@ from tideloom.session import materialise
 
 #: A range is split by salt once it holds more than this many references.
 ROWS_PER_CELL = 200_000
+ROWS_PER_RANGE = 50_000
 MAX_RANGES = 4096
 
 OUT = "wiki string, year smallint, from_page bigint, to_ns int, to_title string, kind string"
@@ -94,9 +95,12 @@ def orphan_references(links: DataFrame, nodes: DataFrame, ranges: int | None = N
     A link without year, or naming no target at all, is missing. Null to_admitted claims nothing. Repeated links count once.
     """
     spark = links.sparkSession
-    n = min(MAX_RANGES, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cell = lambda df: df.withColumn("h", F.xxhash64("key")).withColumn("rid", F.shiftrightunsigned("h", 40) * n / F.lit(1 << 24)).withColumn("rid", F.col("rid").cast("int"))
-    refs = materialise(cell(reference_keys(links)), "references")
+    refs = materialise(reference_keys(links), "references")
+    if ranges is None:  # several ranges a task, and more as the data grow, so that hashing ranges to tasks evens out
+        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), refs.count() // ROWS_PER_RANGE)
+    n = min(MAX_RANGES, ranges)
+    cell = lambda df: df.withColumn("h", F.xxhash64("key")).withColumn("rid", (F.shiftrightunsigned("h", 40) * n / F.lit(1 << 24)).cast("int"))
+    refs = cell(refs)
     # references per range: at most MAX_RANGES rows
     heavy = [(r.rid, -(-r.n // ROWS_PER_CELL)) for r in refs.groupBy("rid").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_CELL).collect()]
     salts = F.lit(1)
