@@ -2,8 +2,8 @@
 
 Threads are rebuilt from list-independent subjects (the messages carry no reference headers) and dates. The plain lines of a
 message - those without a quote mark - are compared with the thread's earlier messages by rolling-hash shingles: each thread
-keeps a hash only once, with its earliest message, so neither long threads nor common phrases multiply. The earlier message
-that shares most is then fetched, one per message, and aligned word by word; runs of common words mark inherited spans,
+keeps a hash only once, with its earliest message, so neither long threads nor common phrases multiply. The earlier messages
+that own enough of the shared shingles are then fetched and aligned word by word; runs of common words mark inherited spans,
 which also ends quoted blocks that carry no marks. What is left is cut at introductions, signatures, device notes, footers
 and legal notices by their form.
 """
@@ -20,7 +20,7 @@ from datetime import timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.session import materialise
@@ -361,6 +361,8 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
         j = nxt(k)
         if not old[k] and not blank[k] and _CLOSING.match(text[k].strip()) and len(text[k]) <= 40 and (j is None or old[j]) and (k == 0 or blank[k - 1] or old[k - 1]):
             old[k] = True
+        elif not old[k] and not blank[k] and _CLOSING.match(text[k].strip()) and j == k + 1 and paragraph_end(k) == k + 2 and len(_WORD.findall(text[j])) <= 3 and not text[j].strip().endswith((".", "?", "!")):
+            old[k] = old[j] = True  # a name in a spelling of its own
     return [no for k, (nos, _) in enumerate(lines) if not old[k] and not blank[k] for no in nos if body.split("\n")[no - 1].strip()]
 
 
@@ -411,10 +413,11 @@ def written_lines(df: DataFrame) -> DataFrame:
     grams = mails.where("thread <> '' AND at IS NOT NULL AND NOT isnan(at)").mapInPandas(_shingles, "msg_id bigint, thread string, at double, h bigint")
     grams = materialise(grams, "mail-shingles")
     origin = F.struct(F.col("at").alias("at"), F.col("msg_id").alias("id"))
-    # of each shingle of a thread the two latest messages would suffice, the earliest is enough: it is the ancestor of all others
+    # of each shingle of a thread the earliest message is enough: it is an ancestor of all others that have it
     first = grams.groupBy("thread", "h").agg(F.min(origin).alias("first"), F.count("*").alias("n")).where("n > 1").select("thread", "h", "first")
     shared = grams.join(first, ["thread", "h"]).where("first.at < at").groupBy("msg_id", F.col("first.id").alias("from_id")).agg(F.count("*").alias("n"))
-    best = shared.withColumn("rank", F.row_number().over(Window.partitionBy("msg_id").orderBy(F.desc("n"), "from_id"))).where("rank <= 3").select("msg_id", "from_id")
+    # an ancestor with fewer shared shingles has no run of RUN words; each shingle counts for one ancestor, which bounds them by the message's length
+    best = shared.where(F.col("n") > RUN - SHINGLE).select("msg_id", "from_id")
     texts = best.join(mails.select(F.col("msg_id").alias("from_id"), F.col("body").alias("old")), "from_id").groupBy("msg_id").agg(F.concat_ws("\n\n", F.sort_array(F.collect_list("old"))).alias("old"))
     todo = mails.select("msg_id", "sender", "body").join(texts, "msg_id", "left")
 

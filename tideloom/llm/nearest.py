@@ -46,8 +46,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, left_id: str
     def cell(t: Column) -> Column:
         w = F.lit(width)
         if hot:
-            shift = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
-            w = F.greatest(F.lit(1), F.shiftright(w, F.coalesce(F.try_element_at(shift, F.col("e")), F.lit(0))))
+            narrow = F.create_map(*[F.lit(x) for e, k in hot.items() for x in (e, max(1, width >> k))])
+            w = F.coalesce(F.try_element_at(narrow, F.col("e")), w)
         return F.floor(t / w).cast("long")
 
     # neighbours: inside the cell by one ordered pass, beyond it from the summary of cells, of which an entity has few
