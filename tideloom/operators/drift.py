@@ -69,7 +69,8 @@ def overlap(a: Column, b: Column) -> Column:
 def best_overlap(statements: DataFrame, units: DataFrame, group: str, statement_id: str, unit_id: str, words: str) -> DataFrame:
     """For each statement the unit of its group with the greatest overlap, first on ties.
 
-    Candidates come from shared words by an equi-join; only counts of common words travel, never all pairs of a group.
+    Candidates come from shared words by an equi-join, and only counts of common words travel. Its cost grows with the pairs of a
+    group that share a word, so groups should be units such as a page, not open-ended.
     Statements that share no word with any unit have no row.
     """
     s = statements.select(group, statement_id, F.size(words).alias("ns"), F.explode(words).alias("w"))

@@ -87,11 +87,26 @@ def next_event(left: DataFrame, right: DataFrame, entity: str, left_id: str, lef
     return out.select(F.col("lid").alias(left_id), F.col("t").alias(left_t), F.col("hit.rid").alias(right_id), F.col("hit.t").alias(right_t))
 
 
-def in_windows(windows: DataFrame, events: DataFrame, entity: str, start: str, end: str, ts: str) -> DataFrame:
-    """Events within the closed windows of their entity; an open window ends never. The hash join is by entity, the range a residual."""
-    w, e = windows.alias("w"), events.alias("e")
-    inside = (F.col(f"e.{ts}") >= F.col(f"w.{start}")) & (F.col(f"e.{ts}") <= F.coalesce(F.col(f"w.{end}"), F.lit((1 << 62))))
-    return w.join(e, (F.col(f"w.{entity}") == F.col(f"e.{entity}")) & inside, "left")
+def in_windows(windows: DataFrame, events: DataFrame, window_id: str, entity: str, start: str, end: str, ts: str, cell: int = 30 * 86_400) -> DataFrame:
+    """Windows (alias w) left-joined with the events (alias e) of their entity within them, both ends included; a null end is open.
+
+    Both sides are cut into time cells: a window enters each cell it touches, up to the last event, and meets only the events
+    of that cell, so a busy entity is spread over its cells and the range check is never run on all its pairs.
+    Windows with a null id, entity or start have no events. Events with a null entity or time lie in no window.
+    """
+    e = events.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
+    last = e.agg(F.max(ts)).first()[0]
+    row = F.struct(*events.columns).alias("_row")
+    if last is None:
+        found = e.select(F.lit(None).cast(windows.schema[window_id].dataType).alias("_id"), row)
+    else:
+        until = F.least(F.coalesce(F.col(end), F.lit(last)), F.lit(last))
+        spans = windows.where(F.col(window_id).isNotNull() & F.col(entity).isNotNull() & (F.col(start) <= until)).select(F.col(window_id).alias("_id"), F.col(entity).alias("_e"), F.col(start).alias("_a"), until.alias("_b"))
+        spans = spans.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_a") / cell), F.floor(F.col("_b") / cell))))
+        dots = e.select(F.col(entity).alias("_e"), F.floor(F.col(ts) / cell).alias("_c"), F.col(ts).alias("_t"), row)
+        found = spans.join(dots, ["_e", "_c"]).where("_t >= _a AND _t <= _b").select("_id", "_row")
+    inside = found.select("_id", "_row.*").alias("e")
+    return windows.alias("w").join(inside, F.col(f"w.{window_id}") == F.col("e._id"), "left")
 
 
 def as_of(left: DataFrame, right: DataFrame, entity: str, at: str, ts: str, value: str) -> DataFrame:

@@ -159,15 +159,15 @@ SELECT w.open_rev_id, count(e.rev) AS n_edits, count(DISTINCT e.closer) AS n_par
 def _(s, d):
     windows = _matched(s, d).join(_opens(s, d).select("open_rev_id", "page_id"), "open_rev_id")
     edits = _closes(s, d).select(F.col("close_rev_id").alias("rev"), "page_id", "closer", F.col("close_s").alias("t"))
-    rows = H.in_windows(windows, edits, "page_id", "open_s", "close_s", "t")
-    return rows.groupBy("open_rev_id").agg(F.count("e.rev").alias("n_edits"), F.count_distinct("e.closer").alias("n_participants"), F.min_by("e.closer", F.struct("e.t", "e.rev")).alias("initiator"))
+    rows = H.in_windows(windows, edits, "open_rev_id", "page_id", "open_s", "close_s", "t")
+    return rows.groupBy("w.open_rev_id").agg(F.count("e.rev").alias("n_edits"), F.count_distinct("e.closer").alias("n_participants"), F.min_by("e.closer", F.struct("e.t", "e.rev")).alias("initiator"))
 
 
 @reg("x06_comment_timing", f"""WITH m AS ({_MATCH}), w AS (SELECT m.*, o.page_id FROM m JOIN ({_OPEN}) o USING (open_rev_id) WHERE close_s IS NOT NULL), e AS ({_CLOSE}), r AS (SELECT (epoch(strptime(e.close_ts, '%Y%m%d%H%M%S')) - w.open_s) / (w.close_s - w.open_s) AS x
 FROM w JOIN e ON w.page_id = e.page_id AND epoch(strptime(e.close_ts, '%Y%m%d%H%M%S')) BETWEEN w.open_s AND w.close_s) SELECT count(*) AS n, round(quantile_cont(x, 0.5), 4) AS median, round(avg(x), 4) AS mean FROM r""")
 def _(s, d):
     windows = _matched(s, d).where("close_s IS NOT NULL").join(_opens(s, d).select("open_rev_id", "page_id"), "open_rev_id")
-    rows = H.in_windows(windows, _closes(s, d).select("close_rev_id", "page_id", F.col("close_s").alias("t")), "page_id", "open_s", "close_s", "t").where("e.t IS NOT NULL")
+    rows = H.in_windows(windows, _closes(s, d).select("close_rev_id", "page_id", F.col("close_s").alias("t")), "open_rev_id", "page_id", "open_s", "close_s", "t").where("e.t IS NOT NULL")
     x = rows.select(((F.col("e.t") - F.col("w.open_s")) / (F.col("w.close_s") - F.col("w.open_s"))).alias("x"))
     return x.agg(F.count("*").alias("n"), F.round(F.percentile("x", F.lit(0.5)), 4).alias("median"), F.round(F.avg("x"), 4).alias("mean"))
 

@@ -206,7 +206,7 @@ def _(s, d):
 
 @reg("x04_vector_pairs")
 def _(s, d):
-    """Cosine of vectors within a label's blocks of random hyperplanes; queries are the vectors with ids divisible by 100."""
+    """Exact search: the vectors with ids divisible by 100 against all vectors of their label; the nearest by cosine, the smaller id on ties."""
     e = T(s, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), "label")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)

@@ -105,13 +105,13 @@ def _(s, d):
 _STOP = ["the", "and", "for", "from", "with", "was", "has"]
 
 
-@reg("tx04_best_overlap", f"""WITH w AS (SELECT DISTINCT cand_id, year, unnest(list_filter(regexp_extract_all(lower(title), '[a-zà-ÿ0-9%]+'), lambda z: length(z) > 1 AND z NOT IN ({', '.join(repr(x) for x in _STOP)}))) AS w FROM candidate WHERE year >= 2020),
-v AS (SELECT DISTINCT work_id, year, unnest(list_filter(regexp_extract_all(lower(title), '[a-zà-ÿ0-9%]+'), lambda z: length(z) > 1 AND z NOT IN ({', '.join(repr(x) for x in _STOP)}))) AS w FROM crossref_work WHERE year >= 2020),
+@reg("tx04_best_overlap", f"""WITH w AS (SELECT DISTINCT cand_id, year || lower(split_part(title, ' ', 1)) AS g, unnest(list_filter(regexp_extract_all(lower(title), '[a-zà-ÿ0-9%]+'), lambda z: length(z) > 1 AND z NOT IN ({', '.join(repr(x) for x in _STOP)}))) AS w FROM candidate WHERE year >= 2020),
+v AS (SELECT DISTINCT work_id, year || lower(split_part(title, ' ', 1)) AS g, unnest(list_filter(regexp_extract_all(lower(title), '[a-zà-ÿ0-9%]+'), lambda z: length(z) > 1 AND z NOT IN ({', '.join(repr(x) for x in _STOP)}))) AS w FROM crossref_work WHERE year >= 2020),
 wn AS (SELECT *, count(*) OVER (PARTITION BY cand_id) AS n FROM w), vn AS (SELECT *, count(*) OVER (PARTITION BY work_id) AS n FROM v),
-c AS (SELECT wn.year, cand_id, work_id, round(count(*) / least(min(wn.n), min(vn.n)), 4) AS overlap FROM wn JOIN vn USING (year, w) GROUP BY 1, 2, 3) SELECT year, cand_id, max_by(work_id, (overlap, -work_id)) AS work_id, max(overlap) AS overlap FROM c GROUP BY 1, 2""")
+c AS (SELECT g, cand_id, work_id, round(count(*) / least(min(wn.n), min(vn.n)), 4) AS overlap FROM wn JOIN vn USING (g, w) GROUP BY 1, 2, 3) SELECT g, cand_id, max_by(work_id, (overlap, -work_id)) AS work_id, max(overlap) AS overlap FROM c GROUP BY 1, 2""")
 def _(s, d):
-    words = lambda name, key: T(s, d, name, key, "year", "title").where("year >= 2020").dropDuplicates([key]).select(key, "year", D.content_words(F.col("title"), _STOP).alias("w"))
-    return D.best_overlap(words("candidate", "cand_id"), words("crossref_work", "work_id"), "year", "cand_id", "work_id", "w")
+    words = lambda name, key: T(s, d, name, key, "year", "title").where("year >= 2020").dropDuplicates([key]).select(key, F.concat(F.col("year").cast("string"), F.lower(F.split_part("title", F.lit(" "), F.lit(1)))).alias("g"), D.content_words(F.col("title"), _STOP).alias("w"))
+    return D.best_overlap(words("candidate", "cand_id"), words("crossref_work", "work_id"), "g", "cand_id", "work_id", "w")
 
 
 @reg("w13_windows", "SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0), 250))::INTEGER AS start FROM documents WHERE text IS NOT NULL")
