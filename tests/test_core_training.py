@@ -29,6 +29,11 @@ def test_snapshot_changes(spark):
     assert [(d.field, d.old, d.new) for r in full for d in r.diffs] == [("status_tier", "policy", "essay")]
 
 
+def test_delivery_without_usable_keys_removes_all(spark):
+    rows = [node("a", 1, 2015), node("a", None, 2016), node("a", 1, 2017)]
+    assert changes(spark, rows) == {("a", 1, 2016, "removed"), ("a", 1, 2017, "added")}
+
+
 def test_snapshot_changes_unicode_and_empty(spark):
     assert changes(spark, [node("a", 1, 2015, "é"), node("a", 1, 2016, "é")]) == set()
     assert changes(spark, []) == set()

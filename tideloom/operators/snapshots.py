@@ -40,7 +40,8 @@ class SnapshotIndex:
         self.result = f"{self.root}/changes"
         self.staged = self._stage(df)
         order = Window.partitionBy("wiki").orderBy("year")
-        delivered = self.spark.table(self.staged).select("wiki", "year").distinct()
+        # any row of a site in a year is a delivery, be its key usable or not
+        delivered = df.select("wiki", F.col("year").cast("int").alias("year")).dropna().distinct()
         # one row per site and delivery; joined by its measured size
         self.deliveries = materialise(delivered.select("wiki", "year", F.lag("year").over(order).alias("prev")), "deliveries")
 
@@ -69,7 +70,7 @@ class SnapshotIndex:
 
     def years(self) -> list[int]:
         """Delivered years, a bounded number (a smallint)."""
-        return sorted(r[0] for r in self.spark.table(self.staged).select("year").distinct().collect())
+        return sorted(r[0] for r in self.deliveries.select("year").distinct().collect())
 
     def advance(self, year: int) -> None:
         snap = self.spark.table(self.staged).where(F.col("year") == year)
