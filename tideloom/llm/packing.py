@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.session import parallelism
+
+#: Least number of parts a length is ranked in; more where the session has more shuffle partitions.
 SALTS = 64
 
 
@@ -83,7 +86,7 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
 def _pack_kind(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
     over = F.col("n_tokens") > capacity
     items = sizes.where("n_tokens > 0").select("doc_id", "n_tokens", F.when(over, F.col("n_tokens") % capacity).otherwise(F.col("n_tokens")).alias("length"), F.when(over, F.floor(F.col("n_tokens") / capacity)).otherwise(0).alias("full"))
-    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    items = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(SALTS, parallelism(sizes.sparkSession)))).cast("int"))
     counts = items.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most one row a length up to the capacity
     rows, used = plan(histogram, capacity)
