@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import email.header
 import email.utils
+import hashlib
 import quopri
 import re
 import zlib
@@ -391,15 +392,20 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(msg_id, at, h): each shingle of a message once, hashed together with its thread. Words are aligned later, so equal hashes do no harm."""
     for b in batches:
+        ids, ats, hs = [], [], []
         for i, thread, at, body in zip(b["msg_id"], b["thread"], b["at"], b["body"]):
-            lines = logical_lines(body or "")
-            if not lines:
-                continue
-            every = [w for _, t in lines for w in _WORD.findall(strip_marks(t).lower())]
-            hs = np.unique(rolling(word_hashes(every)))
-            if len(hs):
-                yield pd.DataFrame({"msg_id": i, "thread": thread, "at": at, "h": hs})
+            h = np.unique(rolling(word_hashes(words(body))))
+            if len(h):
+                salt = int.from_bytes(hashlib.blake2b(thread.encode(), digest_size=8).digest(), "little") | 1
+                with np.errstate(over="ignore"):
+                    h = (h.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt)) * np.uint64(salt)
+                ids.append(np.full(len(h), i, np.int64))
+                ats.append(np.full(len(h), at))
+                hs.append(h.astype(np.int64))
+        if ids:
+            yield pd.DataFrame({"msg_id": np.concatenate(ids), "at": np.concatenate(ats), "h": np.concatenate(hs)})
 
 
 def written_lines(df: DataFrame) -> DataFrame:
@@ -410,12 +416,12 @@ def written_lines(df: DataFrame) -> DataFrame:
     """
     one = df.where("msg_id IS NOT NULL").groupBy("msg_id").agg(F.max(F.struct("body", "subject", "msg_date", "sender")).alias("r")).select("msg_id", "r.subject", "r.msg_date", "r.sender", "r.body").where("trim(body) <> ''")
     mails = materialise(one.mapInPandas(_describe, "msg_id bigint, thread string, at double, sender string, body string"), "mails")
-    grams = mails.where("thread <> '' AND at IS NOT NULL AND NOT isnan(at)").mapInPandas(_shingles, "msg_id bigint, thread string, at double, h bigint")
+    grams = mails.where("thread <> '' AND at IS NOT NULL AND NOT isnan(at)").mapInPandas(_shingles, "msg_id bigint, at double, h bigint")
     grams = materialise(grams, "mail-shingles")
     origin = F.struct(F.col("at").alias("at"), F.col("msg_id").alias("id"))
     # of each shingle of a thread the earliest message is enough: it is an ancestor of all others that have it
-    first = grams.groupBy("thread", "h").agg(F.min(origin).alias("first"), F.count("*").alias("n")).where("n > 1").select("thread", "h", "first")
-    shared = grams.join(first, ["thread", "h"]).where("first.at < at").groupBy("msg_id", F.col("first.id").alias("from_id")).agg(F.count("*").alias("n"))
+    first = grams.groupBy("h").agg(F.min(origin).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    shared = grams.join(first, "h").where("first.at < at").groupBy("msg_id", F.col("first.id").alias("from_id")).agg(F.count("*").alias("n"))
     # an ancestor with fewer shared shingles has no run of RUN words; each shingle counts for one ancestor, which bounds them by the message's length
     best = shared.where(F.col("n") > RUN - SHINGLE).select("msg_id", "from_id")
     texts = best.join(mails.select(F.col("msg_id").alias("from_id"), F.col("body").alias("old")), "from_id").groupBy("msg_id").agg(F.concat_ws("\n\n", F.sort_array(F.collect_list("old"))).alias("old"))
