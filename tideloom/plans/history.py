@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.timestamps import compact_utc
 from tideloom.operators import history as H
+from tideloom.operators.timestamps import feed_instants
+from tideloom.session import materialise
 from tideloom.sources.tables import table as T
 
 Q, S = {}, {}
@@ -129,8 +131,11 @@ FROM ({_OPEN}) o LEFT JOIN ({_CLOSE}) c ON o.page_id = c.page_id AND c.close_ts
 
 
 def _opens(s, d):
-    o = T(s, d, "rfc_opens", "open_rev_id", "page_id", "open_ts", "feed").where("feed = 'botlog'")
-    return o.select("open_rev_id", "page_id", compact_utc("open_ts").alias("open_s")).where("open_s IS NOT NULL").distinct()
+    """The opens of all feeds with their instants, as p1_found has them; the SQL states those of botlog. Opens without one instant have no row."""
+    o = T(s, d, "rfc_opens", "open_rev_id", "page_id", "open_ts", "feed")
+    when = feed_instants(o, T(s, d, "ts_feeds"))
+    pages = o.select("open_rev_id", "page_id").distinct()
+    return materialise(pages.join(when, F.col("open_rev_id") == F.col("rec_id")).select("open_rev_id", "page_id", F.col("utc_s").alias("open_s")), "opens")
 
 
 def _closes(s, d):
@@ -138,8 +143,8 @@ def _closes(s, d):
     return c.select("close_rev_id", "page_id", "closer", compact_utc("close_ts").alias("close_s")).where("close_s IS NOT NULL").distinct()
 
 
-def _matched(s, d):
-    return H.next_event(_opens(s, d), _closes(s, d), "page_id", "open_rev_id", "open_s", "close_rev_id", "close_s")
+def _matched(s, d, opens=None):
+    return H.next_event(opens if opens is not None else _opens(s, d), _closes(s, d), "page_id", "open_rev_id", "open_s", "close_rev_id", "close_s")
 
 
 @reg("j06_next_close", _MATCH)
@@ -157,7 +162,8 @@ def _(s, d):
 WHERE regexp_matches(close_ts, '^[0-9]{{14}}$') AND try_strptime(close_ts, '%Y%m%d%H%M%S') IS NOT NULL)
 SELECT w.open_rev_id, count(e.rev) AS n_edits, count(DISTINCT e.closer) AS n_participants, min_by(e.closer, (e.t, e.rev)) AS initiator FROM w LEFT JOIN e ON w.page_id = e.page_id AND e.t >= w.open_s AND e.t <= coalesce(w.close_s, 99999999999) GROUP BY 1""")
 def _(s, d):
-    windows = _matched(s, d).join(_opens(s, d).select("open_rev_id", "page_id"), "open_rev_id")
+    opens = _opens(s, d)
+    windows = _matched(s, d, opens).join(opens.select("open_rev_id", "page_id"), "open_rev_id")
     edits = _closes(s, d).select(F.col("close_rev_id").alias("rev"), "page_id", "closer", F.col("close_s").alias("t"))
     rows = H.in_windows(windows, edits, "open_rev_id", "page_id", "open_s", "close_s", "t")
     return rows.groupBy("w.open_rev_id").agg(F.count("e.rev").alias("n_edits"), F.count_distinct("e.closer").alias("n_participants"), F.min_by("e.closer", F.struct("e.t", "e.rev")).alias("initiator"))
@@ -166,7 +172,8 @@ def _(s, d):
 @reg("x06_comment_timing", f"""WITH m AS ({_MATCH}), w AS (SELECT m.*, o.page_id FROM m JOIN ({_OPEN}) o USING (open_rev_id) WHERE close_s IS NOT NULL), e AS ({_CLOSE}), r AS (SELECT (epoch(strptime(e.close_ts, '%Y%m%d%H%M%S')) - w.open_s) / (w.close_s - w.open_s) AS x
 FROM w JOIN e ON w.page_id = e.page_id AND epoch(strptime(e.close_ts, '%Y%m%d%H%M%S')) BETWEEN w.open_s AND w.close_s) SELECT count(*) AS n, round(quantile_cont(x, 0.5), 4) AS median, round(avg(x), 4) AS mean FROM r""")
 def _(s, d):
-    windows = _matched(s, d).where("close_s IS NOT NULL").join(_opens(s, d).select("open_rev_id", "page_id"), "open_rev_id")
+    opens = _opens(s, d)
+    windows = _matched(s, d, opens).where("close_s IS NOT NULL").join(opens.select("open_rev_id", "page_id"), "open_rev_id")
     rows = H.in_windows(windows, _closes(s, d).select("close_rev_id", "page_id", F.col("close_s").alias("t")), "open_rev_id", "page_id", "open_s", "close_s", "t").where("e.t IS NOT NULL")
     x = rows.select(((F.col("e.t") - F.col("w.open_s")) / (F.col("w.close_s") - F.col("w.open_s"))).alias("x"))
     return x.agg(F.count("*").alias("n"), F.round(F.percentile("x", F.lit(0.5)), 4).alias("median"), F.round(F.avg("x"), 4).alias("mean"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideloom.functions.timestamps import compact_utc
+from tideloom.functions.timestamps import compact_utc, with_instant
 from tideloom.session import scratch_path
 from tideloom.sources.tables import table as T
 from tideloom.streaming import events as E
@@ -52,9 +52,10 @@ def _(s, d):
 
 @reg("in05_stream_match")
 def _(s, d):
-    kind = lambda df, i, t, k: df.select("page_id", F.lit(k).alias("kind"), F.col(i).alias("id"), compact_utc(t).alias("t"))
-    opens = kind(_stream(s, d, "rfc_opens").where("feed = 'botlog'"), "open_rev_id", "open_ts", "open")
-    both = opens.unionByName(kind(_stream(s, d, "rfc_human_closes"), "close_rev_id", "close_ts", "close")).where("t IS NOT NULL AND page_id IS NOT NULL")
+    kind = lambda df, i, t, k: df.select("page_id", F.lit(k).alias("kind"), F.col(i).alias("id"), t.alias("t"))
+    feeds = T(s, d, "ts_feeds").where("feed IS NOT NULL").groupBy(F.col("feed").alias("_feed")).agg(F.min("tz_name").alias("_tz"), F.min("date_order").alias("_order"))
+    timely = with_instant(_stream(s, d, "rfc_opens").join(feeds, F.col("feed") == F.col("_feed"), "left"), "open_ts", "_tz", "_order")
+    both = kind(timely, "open_rev_id", F.col("utc_s"), "open").unionByName(kind(_stream(s, d, "rfc_human_closes"), "close_rev_id", compact_utc("close_ts"), "close")).where("t IS NOT NULL AND page_id IS NOT NULL")
     timed = both.withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", "30 days").dropDuplicatesWithinWatermark(["kind", "id"])
     return _drain(E.match_opens(timed, 365 * 86_400), "stream-match")
 
