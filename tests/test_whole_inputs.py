@@ -1,9 +1,13 @@
 """Queries on small tables whose rows a narrower query would leave out, against brute force."""
 
 import datetime as dt
+import math
+import random
 from zoneinfo import ZoneInfo
 
+from tideloom.operators import records
 from tideloom.plans import history, streams
+from tideloom.plans import records as record_plans
 
 
 def _save(spark, base, name, rows, schema):
@@ -42,3 +46,18 @@ def test_opens_of_all_feeds(spark, tmp_path):
     assert history.QUERIES["x06_comment_timing"](spark, base).first().n == sum(len(x) for i, x in inside.items() if first[i])
     matched = {r.open_id: (r.open_s, r.close_id) for r in streams.QUERIES["in05_stream_match"](spark, base).where("outcome = 'closed'").collect()}
     assert matched == {i: (s, first[i][1]) for i, (p, s) in opens.items() if first[i]}
+
+
+def test_nearest_vectors_of_any_label(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], i % 10 if i % 7 else None) for i in range(350)]
+    rows += [(701, [0.0, 0.0, 0.0], 1), (702, None, 1), (703, [1.0, 2.0], 1), (704, rows[200][1], 5), (705, rows[200][1], 6)]
+    _save(spark, str(tmp_path), "embeddings", rows, "vec_id long, embedding array<float>, label int")
+    f4 = {r.vec_id: r.embedding for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect() if r.embedding and len(r.embedding) == 3 and any(r.embedding)}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    want = {q: min((-round(cos(f4[q], v), 5), i) for i, v in f4.items() if i != q) for q in f4 if q % 100 == 0}
+    got = {r.q: (-r.cosine, r.vec_id) for r in record_plans.QUERIES["x04_vector_pairs"](spark, str(tmp_path)).collect()}
+    assert got == want and got[200][1] == 704
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.q: (-r.cosine, r.vec_id) for r in records.nearest_vectors(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 1, 20).collect()}
+    assert got == want

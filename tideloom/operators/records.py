@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +126,40 @@ def salvage_json(c: Column, schema: str) -> Column:
     whole = F.from_json(F.regexp_extract(plain, r"(?s)\[.*\]", 0), f"array<{schema}>")
     single = F.transform(F.regexp_extract_all(plain, F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda x: F.from_json(x, schema))
     return F.coalesce(whole, F.filter(single, lambda x: x.isNotNull()))
+
+
+def _vector_blocks(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(ids, flat, dim): vectors of one length in blocks of about `size`; null, empty and zero vectors and those with null or NaN parts are left out."""
+    good = df.where(F.col(key).isNotNull() & (F.size(vector) > 0) & F.exists(vector, lambda x: x != 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
+    v = good.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
+    n = v.count() // size + 1
+    b = v.groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return b.select(F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat"), "dim")
+
+
+def nearest_vectors(queries: DataFrame, vectors: DataFrame, key: str, vector: str, query_block: int = 256, vector_block: int = 2048) -> DataFrame:
+    """(q, key, cosine): for each query the other vector with the greatest cosine, to five places, the smaller id on ties. Exact.
+
+    Every block of queries meets every block of vectors as one matrix product; one row per query and pair of blocks travels on.
+    Vectors of different lengths aren't compared. A query without any comparable vector has no row.
+    """
+    qs, vs = _vector_blocks(queries, key, vector, query_block), _vector_blocks(vectors, key, vector, vector_block)
+    pairs = vs.crossJoin(qs.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.col("dim").alias("q_dim")))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit = lambda flat, dim: (m := np.asarray(flat, dtype="f8").reshape(-1, dim)) / np.linalg.norm(m, axis=1, keepdims=True)
+        for b in batches:
+            for ids, flat, dim, q_ids, q_flat, q_dim in b.itertuples(index=False):
+                if dim != q_dim:
+                    continue
+                order = np.argsort(ids)
+                i, q = np.asarray(ids)[order], np.asarray(q_ids)
+                cos = np.floor(unit(q_flat, dim) @ unit(flat, dim)[order].T * 1e5 + 0.5) / 1e5
+                cos[q[:, None] == i[None, :]] = -np.inf
+                at = cos.argmax(axis=1)  # the first of equal ones has the smallest id
+                found = pd.DataFrame({"q": q, "id": i[at], "cosine": cos[np.arange(len(q)), at]})
+                yield found[found["cosine"] > -np.inf]
+
+    each = pairs.mapInPandas(best, "q long, id long, cosine double")
+    m = each.groupBy("q").agg(F.max_by(F.struct("id", "cosine"), F.struct("cosine", -F.col("id"))).alias("m"))
+    return m.select("q", F.col("m.id").alias(key), "m.cosine")
