@@ -3,11 +3,13 @@
 import datetime as dt
 import math
 import random
+import re
 from zoneinfo import ZoneInfo
 
-from tideloom.operators import records
+from tideloom.operators import drift, records
 from tideloom.plans import history, streams
 from tideloom.plans import records as record_plans
+from tideloom.plans import texts
 
 
 def _save(spark, base, name, rows, schema):
@@ -61,3 +63,26 @@ def test_nearest_vectors_of_any_label(spark, tmp_path):
     e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.q: (-r.cosine, r.vec_id) for r in records.nearest_vectors(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 1, 20).collect()}
     assert got == want
+
+
+def test_best_overlap_over_all_years(spark, tmp_path):
+    rng = random.Random(6)
+    words = "wiki open the quality edits of editors survey trust model growth bots study".split()
+    title = lambda: " ".join(rng.sample(words, rng.randrange(1, 5)))
+    year = lambda: rng.choice([None, 1999, 2011, 2020, 2021])
+    cands = [(i, year(), title()) for i in range(60)] + [(90, 2021, "Zebra crossings"), (91, 2020, None), (92, None, "<i>Wiki</i> growth model")]
+    works = [(700 + i, year(), title()) for i in range(80)] + [(990, None, None)]
+    _save(spark, str(tmp_path), "candidate", cands, "cand_id long, year int, title string")
+    _save(spark, str(tmp_path), "crossref_work", works, "work_id long, year int, title string")
+    bag = lambda t: {w for w in re.findall("[a-z]+", (t or "").lower()) if len(w) > 1 and w not in texts._STOP}
+    want = {}
+    for i, _, t in cands:
+        c = bag(t)
+        scores = [(-round(len(c & bag(u)) / min(len(c), len(bag(u))), 4), k) for k, _, u in works if c & bag(u)]
+        if scores:
+            want[i] = min(scores)
+    got = {r.cand_id: (-r.overlap, r.work_id) for r in texts.QUERIES["tx04_best_overlap"](spark, str(tmp_path)).collect()}
+    assert got == want and 92 in got and 90 not in got
+    sets = lambda rows: spark.createDataFrame([(i, sorted(bag(t))) for i, _, t in rows], "i long, w array<string>")
+    got = {r.s: (-r.overlap, r.u) for r in drift.best_overlap_of_all(sets(cands).withColumnRenamed("i", "s"), sets(works).withColumnRenamed("i", "u"), "s", "u", "w", 7, 9).collect()}
+    assert got == want

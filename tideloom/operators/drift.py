@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +84,43 @@ def best_overlap(statements: DataFrame, units: DataFrame, group: str, statement_
     return scored.groupBy(group, statement_id).agg(F.max_by(F.struct(unit_id, "overlap"), F.struct("overlap", -F.col(unit_id))).alias("m")).select(group, statement_id, f"m.{unit_id}", "m.overlap")
 
 
+def best_overlap_of_all(statements: DataFrame, units: DataFrame, statement_id: str, unit_id: str, words: str, statement_block: int = 1024, unit_block: int = 4096) -> DataFrame:
+    """For each statement the unit among all with the greatest overlap to four places, the smaller id on ties. Exact; `best_overlap` without groups.
+
+    Every block of statements meets every block of units, whose words are indexed once a meeting; of a pair of blocks one row per
+    statement travels on. Work grows with statements times units. `words` are arrays without repeats, the ids of each side
+    whole numbers that occur once. Statements that share no word with any unit have no row.
+    """
+
+    def blocks(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+        some = df.where((F.size(words) > 0) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(words).alias("w"))
+        n = some.count() // size + 1
+        return some.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block")).agg(F.collect_list(F.struct("id", "w")).alias("r")).select(F.col("r.id").alias(f"{name}_ids"), F.col("r.w").alias(f"{name}_words"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for u_ids, u_words, s_ids, s_words in b.itertuples(index=False):
+                order = np.argsort(u_ids)
+                ids, sizes = np.asarray(u_ids)[order], np.array([len(u_words[i]) for i in order])
+                at: dict = {}
+                for k, i in enumerate(order):
+                    for w in u_words[i]:
+                        at.setdefault(w, []).append(k)
+                at = {w: np.array(ks) for w, ks in at.items()}
+                out = []
+                for i, ws in zip(s_ids, s_words):
+                    hits = [at[w] for w in ws if w in at]
+                    if hits:
+                        share = np.floor(np.bincount(np.concatenate(hits), minlength=len(ids)) / np.minimum(sizes, len(ws)) * 1e4 + 0.5)
+                        k = share.argmax()  # the first of equal ones has the smallest id
+                        out.append((i, ids[k], share[k] / 1e4))
+                yield pd.DataFrame(out, columns=["s", "u", "overlap"])
+
+    pairs = blocks(units, unit_id, unit_block, "u").crossJoin(blocks(statements, statement_id, statement_block, "s"))
+    each = pairs.mapInPandas(best, "s long, u long, overlap double")
+    return each.groupBy(F.col("s").alias(statement_id)).agg(F.max_by(F.struct(F.col("u").alias(unit_id), "overlap"), F.struct("overlap", -F.col("u"))).alias("m")).select(statement_id, f"m.{unit_id}", "m.overlap")
+
+
 def text_windows(c: Column, width: int, stride: int) -> Column:
     """Overlapping windows of a text as structs (start, text)."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(c) - 1, F.lit(0)), F.lit(stride))

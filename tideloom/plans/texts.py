@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideloom.functions.text import page_title
 from tideloom.operators import drift as D
 from tideloom.operators import reshape as R
+from tideloom.session import materialise
 from tideloom.sources.tables import table as T
 
 Q, S = {}, {}
@@ -110,8 +111,12 @@ v AS (SELECT DISTINCT work_id, year || lower(split_part(title, ' ', 1)) AS g, un
 wn AS (SELECT *, count(*) OVER (PARTITION BY cand_id) AS n FROM w), vn AS (SELECT *, count(*) OVER (PARTITION BY work_id) AS n FROM v),
 c AS (SELECT g, cand_id, work_id, round(count(*) / least(min(wn.n), min(vn.n)), 4) AS overlap FROM wn JOIN vn USING (g, w) GROUP BY 1, 2, 3) SELECT g, cand_id, max_by(work_id, (overlap, -work_id)) AS work_id, max(overlap) AS overlap FROM c GROUP BY 1, 2""")
 def _(s, d):
-    words = lambda name, key: T(s, d, name, key, "year", "title").where("year >= 2020").dropDuplicates([key]).select(key, F.concat(F.col("year").cast("string"), F.lower(F.split_part("title", F.lit(" "), F.lit(1)))).alias("g"), D.content_words(F.col("title"), _STOP).alias("w"))
-    return D.best_overlap(words("candidate", "cand_id"), words("crossref_work", "work_id"), "g", "cand_id", "work_id", "w")
+    """Over all years and titles; g only tells year and first word of the candidate, and the SQL states the pairs that agree in both since 2020."""
+    words = lambda name, key: T(s, d, name, key, "year", "title").dropDuplicates([key]).withColumn("w", D.content_words(F.col("title"), _STOP))
+    c = materialise(words("candidate", "cand_id"), "candidates")
+    m = D.best_overlap_of_all(c, words("crossref_work", "work_id"), "cand_id", "work_id", "w")
+    g = F.concat(F.col("year").cast("string"), F.lower(F.split_part("title", F.lit(" "), F.lit(1))))
+    return m.join(c.select("cand_id", g.alias("g")), "cand_id").select("g", "cand_id", "work_id", "overlap")
 
 
 @reg("w13_windows", "SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0), 250))::INTEGER AS start FROM documents WHERE text IS NOT NULL")
