@@ -110,7 +110,7 @@ def _(s, d):
 
 @reg("w14_apart")
 def _(s, d):
-    w = T(s, d, "documents", "doc_id", "text").where("length(text) > 2000").select("doc_id", D.text_windows(F.col("text"), 600, 250).alias("ws"))
+    w = T(s, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", D.text_windows(F.col("text"), 600, 250).alias("ws"))
     scored = F.transform("ws", lambda x: F.struct(F.size(F.regexp_extract_all(F.lower(x.text), F.lit("consensus|vote"), F.lit(0))).alias("score"), x.start.alias("start")))
     return w.select("doc_id", F.explode(Z.apart(F.filter(scored, lambda x: x.score > 0), 300, 3)).alias("p")).select("doc_id", "p.score", "p.start")
 
@@ -210,7 +210,7 @@ def _(s, d):
 @reg("f26_subjects", "SELECT DISTINCT msg_id, trim(regexp_replace(regexp_replace(lower(subject), '\\[[^\\]]*\\]|\\b(re|fwd|aw|sv)\\s*:', ' ', 'g'), '\\s+', ' ', 'g')) AS norm FROM parse_messages WHERE subject IS NOT NULL AND regexp_matches(subject, '^[ -~]*$')")
 def _(s, d):
     t = F.trim(F.regexp_replace(F.regexp_replace(F.lower("subject"), r"\[[^\]]*\]|\b(re|fwd|aw|sv)\s*:", " "), r"\s+", " "))
-    return T(s, d, "parse_messages", "msg_id", "subject").where(F.col("subject").rlike("^[ -~]*$")).select("msg_id", t.alias("norm")).distinct()
+    return T(s, d, "parse_messages", "msg_id", "subject").where("subject IS NOT NULL").select("msg_id", t.alias("norm")).distinct()
 
 
 @reg("d04_month_windows", "SELECT c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderdate >= DATE '1998-06-01' - INTERVAL 9 MONTH AND o.o_orderdate < DATE '1998-06-01' + INTERVAL 2 MONTH GROUP BY 1")

