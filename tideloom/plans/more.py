@@ -104,8 +104,7 @@ def _(s, d):
 @reg("w11_greedy_batches")
 def _(s, d):
     m = T(s, d, "parse_messages", "list_name", "msg_id", "body").where("body IS NOT NULL").groupBy("list_name", "msg_id").agg(F.max(F.length("body")).alias("n"))
-    block = m.withColumn("block", F.concat_ws("/", "list_name", F.expr("msg_id div 200")))
-    return Z.greedy_batches(block, "block", "msg_id", "n", 18_000)
+    return Z.greedy_batches(m, "list_name", "msg_id", "n", 18_000)
 
 
 @reg("w14_apart")
