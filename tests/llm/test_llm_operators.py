@@ -105,6 +105,15 @@ def test_mail_lines(spark):
     assert mail.written_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", range(10))
+def test_mail_of_few_words(spark, n):
+    body = " ".join("yes please see you there then at the old place".split()[:n])
+    rows = [(i, "Re: plan", f"Fri, 3 May 2013 1{i}:00:00 +0000", "Bo <b@x.org>", b, None, None) for i, b in enumerate([body, body, "> " + body, body + "\n\n" + body])]
+    got = {(r.msg_id, r.line_no) for r in mail.written_lines(spark.createDataFrame(rows, MAIL)).collect()}
+    assert got == ({(0, 1), (1, 1), (3, 1), (3, 3)} if n else set())
+    assert len(mail.rolling(mail.word_hashes(mail.words(body)))) == max(0, n - 7)
+
+
 def test_rolling_hash_is_that_of_each_run():
     h = np.array([random.Random(i).getrandbits(32) for i in range(50)], np.uint64)
     every = mail.rolling(h, 8)

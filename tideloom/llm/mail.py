@@ -117,11 +117,11 @@ def words(body: str | None) -> list[str]:
 
 def rolling(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     """64-bit hashes of all runs of k words: a polynomial over word hashes, rolled in one pass."""
-    n = len(hashes) - k + 1
-    out = np.zeros(max(0, n), np.uint64)
+    n = max(0, len(hashes) - k + 1)
+    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(k):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]  # of no runs nothing
     return out.astype(np.int64)
 
 
