@@ -242,3 +242,41 @@ def test_presence_is_a_set():
     assert len(set(ids[: first[1]])) == first[1] and first[-1] == len(ids)
     again, f2 = languages.presence(np.frombuffer(b"abcabc xyz", np.uint8), np.array([0, 6]))
     assert set(ids[: first[1]]) == set(again[: f2[1]])
+
+
+def test_long_even_mails_take_time_in_proportion():
+    import time
+
+    body = "on and " * 100_000
+    grams = mail.thread_grams(mail.words(body), "t")
+    h, place = np.unique(grams, return_index=True)
+    start = time.time()
+    assert mail.new_lines(body, "Bo", "t", (h, np.full(len(h), 7), place)) == [1]
+    again = "The second option removed the template after a long debate and nobody objected to it.\n\n" * 20_000
+    h, place = np.unique(mail.thread_grams(mail.words(again), "t"), return_index=True)
+    assert mail.new_lines(again + "New.", "Bo", "t", (h, np.full(len(h), 7), place)) == [40_001]
+    lines = "yes\n\n" * 40_000 + "-- \nBo\n"
+    assert len(mail.new_lines(lines, "Bo")) == 40_000
+    footers = "x mailing list\n\nshort text here\n\n" * 10_000
+    mail.new_lines(footers, "Bo")
+    assert time.time() - start < 20
+
+
+def test_chains_follow_one_diagonal():
+    ws = [f"w{i}" for i in range(60)]
+    mine = ws[5:25] + ["other"] * 3 + ws[40:46]
+    theirs = mail.thread_grams(ws, "t")
+    hit = mail.inherited(len(mine), mail.thread_grams(mine, "t"), theirs, np.ones(len(theirs), np.int64), np.arange(len(theirs)))
+    assert hit.tolist() == [20] * 20 + [0] * 9
+    edited = ws[:20] + ["new"] + ws[21:50]  # an edited word is bridged, a removed one starts another chain
+    hit = mail.inherited(50, mail.thread_grams(edited, "t"), theirs, np.ones(len(theirs), np.int64), np.arange(len(theirs)))
+    assert hit.tolist() == [20] * 20 + [0] + [29] * 29 or hit.tolist() == [50] * 50
+
+
+def test_hot_threads_give_the_same_lines(spark, monkeypatch):
+    text = "The second option removed the template after a long debate and nobody at the noticeboard objected to it at all number {}."
+    rows = [(i, "Re: plan", f"Fri, {3 + i % 9} May 2013 10:00:{i % 60:02d} +0000", "Bo <b@x.org>", (text.format(i % 4) + "\n\n") * 2 + f"Word {i} is new.", None, None) for i in range(60)]
+    df = spark.createDataFrame(rows, MAIL)
+    cold = sorted(map(tuple, mail.written_lines(df).collect()))
+    monkeypatch.setattr(mail, "HOT_LEAST", 1)
+    assert sorted(map(tuple, mail.written_lines(df).collect())) == cold and len(cold) < 80

@@ -1,11 +1,10 @@
 """Problem 5: reducing mails to the lines newly written by their sender.
 
-Threads are rebuilt from list-independent subjects (the messages carry no reference headers) and dates. The plain lines of a
-message - those without a quote mark - are compared with the thread's earlier messages by rolling-hash shingles: each thread
-keeps a hash only once, with its earliest message, so neither long threads nor common phrases multiply. The earlier messages
-that own enough of the shared shingles are then fetched and aligned word by word; runs of common words mark inherited spans,
-which also ends quoted blocks that carry no marks. What is left is cut at introductions, signatures, device notes, footers
-and legal notices by their form.
+Threads are rebuilt from list-independent subjects (the messages carry no reference headers) and dates. Messages are compared
+with their thread by rolling-hash shingles of words: each shingle of a message names the nearest earlier message that has it, and
+its place there. Matches with one message on one diagonal (place here less place there) are chained over small gaps, which
+aligns the two word sequences without any body leaving its row; long chains mark inherited spans, which also ends quoted
+blocks that carry no marks. What is left is cut at introductions, signatures, device notes, footers and legal notices by their form.
 """
 
 from __future__ import annotations
@@ -21,13 +20,15 @@ from datetime import timezone
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.session import materialise
 
-#: Words in a shingle of the thread index; common words in a run that end a quoted block; in a run that are inherited wherever they stand.
-SHINGLE, RUN, SURE = 8, 10, 20
+#: Words in a shingle; places between two matches that a chain bridges; words of a chain that end a quoted block; of one that is inherited wherever it stands.
+SHINGLE, GAP, RUN, SURE = 8, 8, 10, 20
+#: Threads of more than 1/HOT_SHARE of all messages, and more than HOT_LEAST, are cut into days; at most HOT_SHARE can be hot.
+HOT_SHARE, HOT_LEAST, DAY = 500, 50_000, 86_400
 
 # Reply and forward prefixes, closing formulas, and marks of device notes, footers and legal notices.
 _PREFIX = re.compile(r"^\s*(?:\[[^\]]{1,40}\]|(?:re|aw|antw|antwort|sv|vs|vb|fwd?|fw|wg|tr|rv|rif|res|enc|odp|doorst)\s*(?:\[\d+\]|\^\d+|\(\d+\))?\s*[:：])\s*", re.I)
@@ -76,12 +77,12 @@ def thread_subject(s: str | None) -> str:
         t = u
 
 
-def sent_at(s: str | None) -> float | None:
+def sent_at(s: str | None) -> int | None:
     try:
         d = email.utils.parsedate_to_datetime(s)
-    except (TypeError, ValueError, IndexError):
+        return int((d if d.tzinfo else d.replace(tzinfo=timezone.utc)).timestamp())
+    except (TypeError, ValueError, IndexError, OverflowError):
         return None
-    return (d if d.tzinfo else d.replace(tzinfo=timezone.utc)).timestamp()
 
 
 def logical_lines(body: str) -> list[tuple[list[int], str]]:
@@ -129,25 +130,40 @@ def word_hashes(ws: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(w.encode()) for w in ws], np.uint64)
 
 
-def inherited(mine: list[str], theirs: list[str]) -> np.ndarray:
-    """For each of my words the length of the run of at least RUN common words it lies in, else 0. Seeds are shared runs of 4 words."""
-    hit = np.zeros(len(mine), int)
-    seeds: dict[tuple, list[int]] = {}
-    for j in range(len(theirs) - 3):
-        seeds.setdefault(tuple(theirs[j : j + 4]), []).append(j)
-    i = 0
-    while i < len(mine) - 3:
-        best = 0
-        for j in seeds.get(tuple(mine[i : i + 4]), ()):
-            k = 4
-            while i + k < len(mine) and j + k < len(theirs) and mine[i + k] == theirs[j + k]:
-                k += 1
-            best = max(best, k)
-        if best >= RUN:
-            hit[i : i + best] = best
-            i += best
-        else:
-            i += 1
+def thread_grams(ws: list[str], thread: str) -> np.ndarray:
+    """Rolling hashes of the words, mixed with the thread."""
+    salt = np.uint64(int.from_bytes(hashlib.blake2b(thread.encode("utf-8", "replace"), digest_size=8).digest(), "little") | 1)
+    with np.errstate(over="ignore"):
+        return ((rolling(word_hashes(ws)).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + salt) * salt).astype(np.int64)
+
+
+def inherited(n: int, grams: np.ndarray, h: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each of n words the length of the longest chain of at least RUN words it lies in, else 0.
+
+    grams are the shingles of the words in order; h, owner and place tell for each shared shingle who had it, and where. Every
+    match belongs to one chain and a chain is at most GAP times as long as its matches, so the work is in proportion to n.
+    """
+    hit = np.zeros(n, np.int64)
+    if not len(grams) or not len(h):
+        return hit
+    order = np.argsort(h, kind="stable")
+    h, owner, place = h[order], owner[order], place[order]
+    at = np.minimum(np.searchsorted(h, grams), len(h) - 1)
+    here = np.flatnonzero(h[at] == grams)
+    who, diagonal = owner[at[here]], here - place[at[here]]
+    order = np.lexsort((here, diagonal, who))
+    here, who, diagonal = here[order], who[order], diagonal[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(diagonal) != 0) | (np.diff(here) > GAP)])[: len(here)]
+    start, end = here[first], here[np.r_[first[1:], len(here)] - 1] + SHINGLE
+    chain = np.zeros(len(grams), np.int64)
+    for a, b in zip(start[end - start >= RUN], end[end - start >= RUN]):
+        np.maximum(hit[a:b], b - a, out=hit[a:b])
+        chain[a : b - SHINGLE + 1] = np.maximum(chain[a : b - SHINGLE + 1], b - a)
+    # only first places are known: a shingle met again is as inherited as where it stood first
+    _, first, again = np.unique(grams, return_index=True, return_inverse=True)
+    chain = np.where(np.isin(grams, h), chain[first][again], 0)
+    for k in range(SHINGLE):
+        np.maximum(hit[k : k + len(chain)], chain, out=hit[k : k + len(chain)])
     return hit
 
 
@@ -159,28 +175,40 @@ def _introduces(text: str) -> bool:
     return bool(_VERB.search(t) and (_DATE.search(t) or len(t) < 70)) or bool(_DATE.search(t) and re.search(r"\[[^\]]*\d[^\]]*\]:$|@\S+>?:$", t))
 
 
-def new_lines(body: str | None, sender: str | None, ancestor: str | None = None) -> list[int]:
-    """Numbers of the stored lines newly written by the sender."""
+def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[int]:
+    """Numbers of the stored lines newly written by the sender. shared: the hashes, owners and places of shingles earlier messages of the thread have."""
     if not body or not body.strip():
         return []
     lines = logical_lines(body)
     text = [t for _, t in lines]
     n = len(lines)
     blank = [not t.strip() for t in text]
+    count = [len(_WORD.findall(t)) for t in text]
     # a mail program puts a mark before a line that starts with From
     quoted = [bool(_QUOTE.match(t)) and not re.match(r"^>From ", t) for t in text]
     quoted = [q and not re.match(r"^\s*:[-)(DPp/]", t) for q, t in zip(quoted, text)]
     old = list(quoted)
 
-    # words of plain lines against the ancestor
+    # where lines stand against blank and quoted ones
+    nxt: list[int | None] = [None] * n
+    prv: list[int] = [-1] * n  # -1: none before
+    stop = [n] * (n + 1)
+    for k in range(n - 2, -1, -1):
+        nxt[k] = nxt[k + 1] if blank[k + 1] else k + 1
+    for k in range(1, n):
+        prv[k] = prv[k - 1] if blank[k - 1] else k - 1
+    for k in range(n - 1, -1, -1):
+        stop[k] = k if blank[k] or quoted[k] else stop[k + 1]
+
+    # words of plain lines against the thread
     share, sure = [0.0] * n, [0.0] * n
-    if ancestor:
+    if shared is not None:
         ws, at = [], []
         for k in range(n):
-            for w in _WORD.findall(strip_marks(text[k]).lower()):
-                ws.append(w)
-                at.append(k)
-        hit = inherited(ws, words(ancestor))
+            some = _WORD.findall(strip_marks(text[k]).lower())
+            ws += some
+            at += [k] * len(some)
+        hit = inherited(len(ws), thread_grams(ws, thread), *shared)
         if at:
             total = np.maximum(1, np.bincount(at, minlength=n))
             share = (np.bincount(at, weights=hit > 0, minlength=n) / total).tolist()
@@ -197,11 +225,11 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
         k = max(e, k + 1)
     taken = []
     for par in paragraphs:
-        size = [len(_WORD.findall(text[k])) for k in par]
+        size = [count[k] for k in par]
         got = sum(sure[k] * w for k, w in zip(par, size))
         taken.append(got >= 0.5 * max(1, sum(size)))
         for k in par:
-            if taken[-1] or sure[k] >= 0.9 and len(_WORD.findall(text[k])) >= 6:
+            if taken[-1] or sure[k] >= 0.9 and count[k] >= 6:
                 old[k] = True
     small = lambda par: len(par) <= 6 and all(len(text[k].strip()) <= 45 and not text[k].strip().endswith((".", "?", "!")) for k in par)
     for i in range(1, len(paragraphs)):
@@ -211,11 +239,9 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
                 old[k] = True
     for i in range(1, len(paragraphs) - 1):
         par = paragraphs[i]
-        if taken[i + 1] and not taken[i] and len(par) == 1 and len(_WORD.findall(text[par[0]])) <= 5 and text[par[0]].strip().endswith((",", ":", "!")) and not any(quoted[par[-1] : paragraphs[i + 1][0]]):
+        if taken[i + 1] and not taken[i] and len(par) == 1 and count[par[0]] <= 5 and text[par[0]].strip().endswith((",", ":", "!")) and not any(quoted[par[-1] : paragraphs[i + 1][0]]):
             old[par[0]] = True
 
-    nxt = lambda k: next((j for j in range(k + 1, n) if not blank[j]), None)
-
     # wrapped remainders of quoted lines
     for k in range(1, n - 1):
         if not old[k] and not blank[k] and quoted[k - 1] and strip_marks(text[k - 1]).strip() and len(text[k]) < 45:
@@ -233,7 +259,7 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
                 break
             joined = " ".join(text[j].strip() for j in span)
             if not quoted[k] and _introduces(joined) and (width == 1 or not text[k].strip().endswith((".", "?", "!"))):
-                after = nxt(span[-1])
+                after = nxt[span[-1]]
                 if (width == 1 or k == 0 or blank[k - 1] or old[k - 1]) or (after is not None and quoted[after]):
                     for j in span:
                         intro[j] = old[j] = True
@@ -241,7 +267,7 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
         k += 1
     # an introduction whose sentence was too unusual: the line before a quotation ends with a colon and names a time or address
     for k in range(n):
-        after = nxt(k)
+        after = nxt[k]
         if not old[k] and not blank[k] and text[k].strip().endswith(":") and after is not None and quoted[after] and _DATE.search(text[k]):
             intro[k] = old[k] = True
             j = k - 1
@@ -254,7 +280,7 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
         if quoted[k] or blank[k]:
             continue
         if _FORWARD.match(text[k]) and not _RULER.match(text[k]):
-            after = nxt(k)
+            after = nxt[k]
             if after is not None and (_HEADER.match(strip_marks(text[after])) or quoted[after] or _introduces(text[after])):
                 intro[k] = old[k] = True
         run = k
@@ -273,7 +299,7 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
         last = k
         while last + 1 < n and (intro[last + 1]):
             last += 1
-        first = nxt(last)
+        first = nxt[last]
         k = last + 1
         if first is None or quoted[first] or intro[first]:
             continue
@@ -284,12 +310,12 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
                 j += 1
             k = j
             continue
-        known = [j for j in range(first, n) if share[j] >= 0.7 and not quoted[j] and len(_WORD.findall(text[j])) >= 3]
+        known = [j for j in range(first, n) if share[j] >= 0.7 and not quoted[j] and count[j] >= 3]
         end = n
         if known:
             # the ancestor tells where the block ends: after its last inherited line, its closing and name included
             end = known[-1] + 1
-            while end < n and (blank[end] or len(text[end]) < 40 and not quoted[end] and (_CLOSING.match(text[end].strip()) or len(_WORD.findall(text[end])) <= 3)):
+            while end < n and (blank[end] or len(text[end]) < 40 and not quoted[end] and (_CLOSING.match(text[end].strip()) or count[end] <= 3)):
                 end += 1
         for j in range(first, end):
             old[j] = True
@@ -305,10 +331,29 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
             return False
         return all(w in tokens for w in ws) or (len(ws) == 1 and len(ws[0]) == 1 and bool(tokens) and ws[0] == tokens[0][0]) or (len(ws) == 2 and all(any(x[0] == w[0] and (len(w) == 1 or w == x) for x in tokens) for w in ws) and len(ws[0]) + len(ws[1]) <= 2)
 
-    def paragraph_end(k: int) -> int:
-        while k < n and not blank[k] and not quoted[k]:
-            k += 1
-        return k
+    known_tail: dict[int, bool] = {n: True}
+
+    def tail(k: int) -> bool:
+        """Whether nothing but standing matter follows the paragraph at k (a list footer or legal notice ends a mail or its new part)."""
+        e, passed = k, []
+        while e < n and not blank[e]:
+            e += 1
+        while e not in known_tail:
+            passed.append(e)
+            if blank[e] or old[e] or _RULER.match(text[e].strip()) or _DEVICE.match(text[e].strip()):
+                e += 1
+                continue
+            f = e
+            while f < n and not blank[f]:
+                f += 1
+            block = " ".join(text[e:f])
+            if not (_FOOTER.search(block) or _LEGAL.search(block) or _introduces(block)):
+                known_tail[e] = False
+                break
+            e = f
+        for x in passed:
+            known_tail[x] = known_tail[e]
+        return known_tail[e]
 
     signed = False
     for k in range(n):
@@ -320,92 +365,97 @@ def new_lines(body: str | None, sender: str | None, ancestor: str | None = None)
         ws = _WORD.findall(t)
         if signed and (blank[k - 1] or old[k - 1]) and not _POSTSCRIPT.match(t):
             # standing matter below the signature: only a postscript is new there
-            e = paragraph_end(k)
+            e = stop[k]
             old[k:e] = [True] * (e - k)
             continue
         start = k == 0 or blank[k - 1] or old[k - 1]
         if re.fullmatch(r"--\s?", t) or t == "--":
-            j = paragraph_end(k + 1)
+            j = stop[k + 1]
             old[k:j] = [True] * (j - k)
             signed = True
         elif _RULER.match(t):
-            j = nxt(k)
+            j = nxt[k]
             if j is None or old[j] or is_name(text[j]):
                 signed = signed or j is not None and is_name(text[j])
-                e = paragraph_end(j) if j is not None and is_name(text[j]) else k + 1
+                e = stop[j] if j is not None and is_name(text[j]) else k + 1
                 old[k:e] = [True] * (e - k)
             else:
-                e = paragraph_end(j)
+                e = stop[j]
                 block = " ".join(text[j:e])
                 if _FOOTER.search(block) or _LEGAL.search(block) or _DEVICE.match(text[j].strip()):
                     old[k:e] = [True] * (e - k)
         elif start and _DEVICE.match(t) and len(t) < 120:
             old[k] = True
-        elif start and (_FOOTER.search(" ".join(text[k : paragraph_end(k)])) and _tail(k, n, old, blank, text) or _LEGAL.search(" ".join(text[k : paragraph_end(k)])) and _tail(k, n, old, blank, text)):
-            e = paragraph_end(k)
+        elif start and (_FOOTER.search(block := " ".join(text[k : stop[k]])) or _LEGAL.search(block)) and tail(k):
+            e = stop[k]
             old[k:e] = [True] * (e - k)
         elif is_name(t):
             # a name ends the text: with the lines of the signature below it, and a closing formula above
-            j = k - 1
-            while j >= 0 and blank[j]:
-                j -= 1
-            e = paragraph_end(k)
+            j = prv[k]
+            e = stop[k]
             old[k:e] = [True] * (e - k)
             signed = True
-            if j >= 0 and not old[j] and (_CLOSING.match(text[j].strip()) or len(_WORD.findall(text[j])) <= 4 and text[j].strip().endswith(",") and len(text[j].strip()) <= 32) and (j == 0 or blank[j - 1] or old[j - 1]) and j > next(i for i in range(n) if not blank[i]):
+            if j >= 0 and not old[j] and (_CLOSING.match(text[j].strip()) or count[j] <= 4 and text[j].strip().endswith(",") and len(text[j].strip()) <= 32) and (j == 0 or blank[j - 1] or old[j - 1]) and prv[j] >= 0:
                 old[j] = True
         elif _CLOSING.match(t) and len(ws) <= 5:
-            j = nxt(k)
+            j = nxt[k]
             if j is None or old[j] or is_name(text[j]) or _RULER.match(text[j]) or _DEVICE.match(text[j].strip()):
                 old[k] = True
     for k in range(n):  # closing formulas above what has become a footer only now
-        j = nxt(k)
+        j = nxt[k]
         if not old[k] and not blank[k] and _CLOSING.match(text[k].strip()) and len(text[k]) <= 40 and (j is None or old[j]) and (k == 0 or blank[k - 1] or old[k - 1]):
             old[k] = True
-        elif not old[k] and not blank[k] and _CLOSING.match(text[k].strip()) and j == k + 1 and paragraph_end(k) == k + 2 and len(_WORD.findall(text[j])) <= 3 and not text[j].strip().endswith((".", "?", "!")):
+        elif not old[k] and not blank[k] and _CLOSING.match(text[k].strip()) and j == k + 1 and stop[k] == k + 2 and count[j] <= 3 and not text[j].strip().endswith((".", "?", "!")):
             old[k] = old[j] = True  # a name in a spelling of its own
-    return [no for k, (nos, _) in enumerate(lines) if not old[k] and not blank[k] for no in nos if body.split("\n")[no - 1].strip()]
-
-
-def _tail(k: int, n: int, old: list[bool], blank: list[bool], text: list[str]) -> bool:
-    """Whether nothing but standing matter follows the paragraph at k (a list footer or legal notice ends a mail or its new part)."""
-    e = k
-    while e < n and not blank[e]:
-        e += 1
-    while e < n:
-        if blank[e] or old[e] or _RULER.match(text[e].strip()) or _DEVICE.match(text[e].strip()):
-            e += 1
-            continue
-        f = e
-        while f < n and not blank[f]:
-            f += 1
-        block = " ".join(text[e:f])
-        if not (_FOOTER.search(block) or _LEGAL.search(block) or _introduces(block)):
-            return False
-        e = f
-    return True
+    stored = body.split("\n")
+    return [no for k, (nos, _) in enumerate(lines) if not old[k] and not blank[k] for no in nos if stored[no - 1].strip()]
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"msg_id": b["msg_id"], "thread": [thread_subject(s) for s in b["subject"]], "at": [sent_at(s) for s in b["msg_date"]], "sender": b["sender"], "body": b["body"]})
+        at = pd.array([sent_at(s) for s in b["msg_date"]], "Int64")
+        yield pd.DataFrame({"msg_id": b["msg_id"], "thread": [thread_subject(s) for s in b["subject"]], "at": at, "sender": b["sender"], "body": b["body"]})
 
 
-def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(msg_id, at, h): each shingle of a message once, hashed together with its thread. Words are aligned later, so equal hashes do no harm."""
-    for b in batches:
-        ids, ats, hs = [], [], []
-        for i, thread, at, body in zip(b["msg_id"], b["thread"], b["at"], b["body"]):
-            h = np.unique(rolling(word_hashes(words(body))))
-            if len(h):
-                salt = int.from_bytes(hashlib.blake2b(thread.encode(), digest_size=8).digest(), "little") | 1
-                with np.errstate(over="ignore"):
-                    h = (h.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(salt)) * np.uint64(salt)
-                ids.append(np.full(len(h), i, np.int64))
-                ats.append(np.full(len(h), at))
-                hs.append(h.astype(np.int64))
-        if ids:
-            yield pd.DataFrame({"msg_id": np.concatenate(ids), "at": np.concatenate(ats), "h": np.concatenate(hs)})
+def _shingles(hot: set[str]):
+    """(msg_id, at, h, place, cell): each shingle of a message once, with its first place; cell is the day in hot threads, else 0."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = []
+            for i, thread, at, body in zip(b["msg_id"], b["thread"], b["at"], b["body"]):
+                h, place = np.unique(thread_grams(words(body), thread), return_index=True)
+                if len(h):
+                    parts.append((np.full(len(h), i, np.int64), np.full(len(h), at, np.int64), h, place.astype(np.int32), np.full(len(h), at // DAY + (1 << 40) if thread in hot else 0, np.int64)))
+            if parts:
+                yield pd.DataFrame(dict(zip(("msg_id", "at", "h", "place", "cell"), map(np.concatenate, zip(*parts)))))
+
+    return each
+
+
+def shared_shingles(mails: DataFrame) -> DataFrame:
+    """(msg_id, h, owner, place): shingles of a message that an earlier one of its thread has; arrays as long as the message at most.
+
+    The owner is the nearest earlier message, most likely the one replied to; messages of one instant aren't earlier than each
+    other. A shingle of a hot thread may be in very many messages, so it is looked up within its day first and then in a summary of days.
+    """
+    dated = mails.where("thread <> '' AND at IS NOT NULL")
+    sizes = dated.groupBy("thread").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = {r.thread for r in sizes.where(F.col("n") > max(HOT_LEAST, total / HOT_SHARE)).limit(HOT_SHARE).collect()}
+    grams = dated.mapInPandas(_shingles(hot), "msg_id bigint, at bigint, h bigint, place int, cell bigint")
+    grams = materialise(grams, "mail-shingles") if hot else grams
+    origin = F.struct("at", F.col("msg_id").alias("id"), "place")
+    earlier = Window.partitionBy("h", "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    near = grams.withColumn("origin", F.max(origin).over(earlier))
+    shared = near.where("origin IS NOT NULL").select("msg_id", "h", "origin")
+    if hot:
+        days = grams.where("cell > 0").groupBy("h", "cell").agg(F.max(origin).alias("latest"))
+        before = days.select("h", "cell", F.lag("latest").over(Window.partitionBy("h").orderBy("cell")).alias("before")).where("before IS NOT NULL")
+        first = near.where("origin IS NULL AND cell > 0").join(before, ["h", "cell"]).select("msg_id", "h", F.col("before").alias("origin"))
+        shared = shared.unionByName(first)
+    lists = shared.groupBy("msg_id").agg(F.collect_list(F.struct("h", F.col("origin.id").alias("owner"), "origin.place")).alias("s"))
+    return lists.select("msg_id", "s.h", "s.owner", "s.place")
 
 
 def written_lines(df: DataFrame) -> DataFrame:
@@ -415,21 +465,12 @@ def written_lines(df: DataFrame) -> DataFrame:
     subject has no ancestors; repeated rows count once, and of rows with one id but other contents the greatest holds.
     """
     one = df.where("msg_id IS NOT NULL").groupBy("msg_id").agg(F.max(F.struct("body", "subject", "msg_date", "sender")).alias("r")).select("msg_id", "r.subject", "r.msg_date", "r.sender", "r.body").where("trim(body) <> ''")
-    mails = materialise(one.mapInPandas(_describe, "msg_id bigint, thread string, at double, sender string, body string"), "mails")
-    grams = mails.where("thread <> '' AND at IS NOT NULL AND NOT isnan(at)").mapInPandas(_shingles, "msg_id bigint, at double, h bigint")
-    grams = materialise(grams, "mail-shingles")
-    origin = F.struct(F.col("at").alias("at"), F.col("msg_id").alias("id"))
-    # of each shingle of a thread the earliest message is enough: it is an ancestor of all others that have it
-    first = grams.groupBy("h").agg(F.min(origin).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    shared = grams.join(first, "h").where("first.at < at").groupBy("msg_id", F.col("first.id").alias("from_id")).agg(F.count("*").alias("n"))
-    # an ancestor with fewer shared shingles has no run of RUN words; each shingle counts for one ancestor, which bounds them by the message's length
-    best = shared.where(F.col("n") > RUN - SHINGLE).select("msg_id", "from_id")
-    texts = best.join(mails.select(F.col("msg_id").alias("from_id"), F.col("body").alias("old")), "from_id").groupBy("msg_id").agg(F.concat_ws("\n\n", F.sort_array(F.collect_list("old"))).alias("old"))
-    todo = mails.select("msg_id", "sender", "body").join(texts, "msg_id", "left")
+    mails = materialise(one.mapInPandas(_describe, "msg_id bigint, thread string, at bigint, sender string, body string"), "mails")
+    todo = mails.select("msg_id", "thread", "sender", "body").join(shared_shingles(mails), "msg_id", "left")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, no) for i, s, body, old in zip(b["msg_id"], b["sender"], b["body"], b["old"]) for no in new_lines(body, s, old)]
+            rows = [(i, no) for i, t, s, body, h, o, p in b.itertuples(index=False) for no in new_lines(body, s, t, None if h is None else (h, o, p))]
             yield pd.DataFrame(rows, columns=["msg_id", "line_no"])
 
     return todo.mapInPandas(each, "msg_id bigint, line_no int")
