@@ -62,12 +62,32 @@ def test_orphans(spark):
 def test_orphans_hot_target(spark, monkeypatch):
     from tideloom.operators import references
 
-    monkeypatch.setattr(references, "ROWS_PER_CELL", 50)
+    monkeypatch.setattr(references, "HEAVY", 50)
+    monkeypatch.setattr(references, "HOT", 20)
     links = [("a", 2016, i, 4, "t", 1 if i % 3 else 2, True, T0, "k") for i in range(900)]
     out = orphan_references(spark.createDataFrame(links, LINK), spark.createDataFrame([node("a", 2, 2016), node("a", 1, 2017)], NODE))
     assert out.count() == 600 and {r.kind for r in out.select("kind").distinct().collect()} == {"later"}
 
 
+def test_only_parents_of_hot_targets_are_repeated(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tideloom.operators import references
+
+    monkeypatch.setattr(references, "HEAVY", 10)
+    monkeypatch.setattr(references, "HOT", 25)
+    # 1,000 ranges, each heavy by its many references; three targets are hot
+    refs = spark.range(60_000).select((F.col("id") % 20_000).cast("string").alias("key"), F.col("id").alias("from_page"), F.lit(1).alias("year"), F.lit("t").alias("to_title"))
+    hot = spark.range(3_000).select(F.concat(F.lit("hot"), (F.col("id") % 3).cast("string")).alias("key"), F.col("id").alias("from_page"), F.lit(1).alias("year"), F.lit("t").alias("to_title"))
+    parents = refs.select("key").union(hot.select("key")).distinct()
+    left, right = references.spread(refs.union(hot), parents, 1000)
+    assert left.groupBy("rid").count().where("count > 10").count() > 990
+    per = {r.key: r["count"] for r in right.groupBy("key").count().where("count > 1").collect()}
+    assert per == {f"hot{i}": 40 for i in range(3)} and left.where("salt > 0").count() == 3000
+    assert left.groupBy("rid", "salt").count().where("salt > 0 AND count > 100").count() == 0
+    assert left.join(right, ["rid", "salt", "h", "key"]).count() == 63_000
+
+
 def test_equal_hashes_of_different_keys():
     import pyarrow as pa
 

@@ -3,7 +3,8 @@
 Keys are range-partitioned by their 64-bit hash, which spreads evenly whatever the keys are. The parents of a range form
 sorted arrays; batches of references probe them by binary search, keys are compared in full so that equal hashes of
 different keys do no harm, and misses come out with the years in which the target does exist.
-A target that draws very many references makes its range heavy: such ranges are split by salt and their parents repeated.
+Ranges are as many as both sides need. A target that draws very many references is split by salt into cells of its own,
+and only the parents of such targets are repeated.
 """
 
 from __future__ import annotations
@@ -15,12 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions.text import page_title
-from tideloom.session import materialise
+from tideloom.session import materialise, parallelism
 
-#: A range is split by salt once it holds more than this many references.
-ROWS_PER_CELL = 200_000
-ROWS_PER_RANGE = 50_000
-MAX_RANGES = 4096
+#: Rows of both sides a range is meant for; a range of more references than HEAVY is searched for targets of more than HOT.
+ROWS_PER_RANGE, HEAVY, HOT = 50_000, 200_000, 50_000
 
 OUT = "wiki string, year smallint, from_page bigint, to_ns int, to_title string, kind string"
 
@@ -89,25 +88,31 @@ def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
     return out.append_column("kind", pa.array(kind[miss.to_numpy()], pa.string())).cast(empty)
 
 
+def spread(refs: DataFrame, parents: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with hash h, range rid and salt: 0, but for hot targets 1 up to as many as their references need."""
+    cell = lambda df: df.withColumn("h", F.xxhash64("key")).withColumn("rid", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * ranges).cast("bigint"))
+    refs, parents = cell(refs), cell(parents)
+    heavy = refs.groupBy("rid").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("rid")
+    if heavy.isEmpty():
+        return refs.withColumn("salt", F.lit(0)), parents.withColumn("salt", F.lit(0))
+    # written, so that their measured size decides how they are joined
+    hot = refs.join(heavy, "rid", "left_semi").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = materialise(hot.select("h", F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "hot-targets")
+    part = F.pmod(F.xxhash64("from_page", "year", "to_title"), F.col("salts")).cast("int") + 1
+    left = refs.join(hot, "h", "left").withColumn("salt", F.coalesce(part, F.lit(0))).drop("salts")
+    right = parents.join(hot, "h", "left").withColumn("salt", F.explode(F.when(F.col("salts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.col("salts"))))).drop("salts")
+    return left, right
+
+
 def orphan_references(links: DataFrame, nodes: DataFrame, ranges: int | None = None) -> DataFrame:
     """Distinct (wiki, year, from_page, to_ns, to_title, kind) of links with to_admitted whose target isn't there in that wiki and year.
 
     A link without year, or naming no target at all, is missing. Null to_admitted claims nothing. Repeated links count once.
     """
-    spark = links.sparkSession
     refs = materialise(reference_keys(links), "references")
-    if ranges is None:  # several ranges a task, and more as the data grow, so that hashing ranges to tasks evens out
-        ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), refs.count() // ROWS_PER_RANGE)
-    n = min(MAX_RANGES, ranges)
-    cell = lambda df: df.withColumn("h", F.xxhash64("key")).withColumn("rid", (F.shiftrightunsigned("h", 40) * n / F.lit(1 << 24)).cast("int"))
-    refs = cell(refs)
-    # references per range: at most MAX_RANGES rows
-    heavy = [(r.rid, -(-r.n // ROWS_PER_CELL)) for r in refs.groupBy("rid").agg(F.count("*").alias("n")).where(F.col("n") > ROWS_PER_CELL).collect()]
-    salts = F.lit(1)
-    if heavy:
-        salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for pair in heavy for x in pair]), F.col("rid")), F.lit(1))
-    left = refs.withColumn("salt", F.pmod(F.xxhash64("from_page", "year", "to_title"), salts).cast("int"))
-    right = cell(parent_keys(nodes)).withColumn("salt", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)))
+    if ranges is None:  # several ranges a task, and more as either side grows; a node has two keys at most
+        ranges = max(4 * parallelism(links.sparkSession), (refs.count() + 2 * nodes.count()) // ROWS_PER_RANGE)
+    left, right = spread(refs, parent_keys(nodes), ranges)
     found = left.groupBy("rid", "salt").cogroup(right.groupBy("rid", "salt")).applyInArrow(_probe, OUT)
     return found.distinct()
 
