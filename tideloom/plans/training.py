@@ -34,8 +34,8 @@ def p6_counts(spark, d):
 QUERIES = {"p2_found": p2_found, "p2_diffs": p2_diffs, "p3_found": p3_found, "p6_found": p6_found, "p6_counts": p6_counts}
 
 _HELD = """held AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wiki, page_id, year ORDER BY loaded_at DESC) AS rn FROM node) WHERE rn = 1)"""
-_CANON = """c AS (SELECT wiki, page_id, year, nullif(replace(nfc_normalize(title), ' ', '_'), '') AS title, CAST(namespace AS VARCHAR) AS namespace, CAST(is_redirect AS VARCHAR) AS is_redirect, nullif(trim(wikidata_qid), '') AS wikidata_qid,
-  nullif(trim(confidence), '') AS confidence, nullif(trim(admitted_via), '') AS admitted_via, nullif(lower(trim(status_tier)), '') AS status_tier FROM held),
+_CANON = """c AS (SELECT wiki, page_id, year, nullif(replace(nfc_normalize(title), ' ', '_'), '') AS title, CAST(namespace AS VARCHAR) AS namespace, CAST(is_redirect AS VARCHAR) AS is_redirect, CASE WHEN trim(wikidata_qid) <> '' THEN wikidata_qid END AS wikidata_qid,
+  CASE WHEN trim(confidence) <> '' THEN confidence END AS confidence, CASE WHEN trim(admitted_via) <> '' THEN admitted_via END AS admitted_via, nullif(lower(trim(status_tier)), '') AS status_tier FROM held),
 years AS (SELECT wiki, year, lead(year) OVER (PARTITION BY wiki ORDER BY year) AS next_year FROM (SELECT DISTINCT wiki, year FROM node)),
 a AS (SELECT c.*, y.next_year FROM c JOIN years y USING (wiki, year)),
 first_year AS (SELECT wiki, min(year) AS year FROM node GROUP BY wiki)"""
