@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tideloom.operators import drift, graph, history, records, reshape
+from tideloom.operators import dates, drift, graph, history, records, reshape
 
 
 def test_next_event_against_brute_force(spark):
@@ -79,14 +79,36 @@ def test_shared_neighbours_against_brute_force(spark):
 
 
 def test_figures_dates_and_merges(spark):
-    df = spark.createDataFrame([("~1,762+",), ("600 to 1,400",), ("15th",), ("none",), (None,)], "v string")
-    assert [r[0] for r in df.select(records.figure_value(F.col("v"))).collect()] == [1762, None, None, None, None]
-    dates = spark.createDataFrame([("on 2017-02-02",), ("February 2nd, 2017",), ("2 February 2017",), ("31 March",), ("2 Foo",), (None,)], "v string")
-    got = [(r.x.date, r.x.confidence) if r.x else None for r in dates.select(records.first_date(F.col("v"), F.lit(2019)).alias("x")).collect()]
-    assert got == [("2017-02-02", "confirmed")] * 3 + [("2019-03-31", "approximate"), None, None]
-    rows = [("a", 1, "x", "approximate"), ("a", 2, "y", "approximate"), ("b", 1, "x", "approximate"), ("b", 2, "y", "confirmed"), ("b", 3, "z", "confirmed")]
-    out = records.precedence_merge(spark.createDataFrame(rows, "k string, s int, v string, st string"), ["k"], "s", "v", "st", ["confirmed"])
-    assert {r.k: r.v for r in out.collect()} == {"a": "x", "b": "y"}
+    figures = {"~1,762+": 1762, "600 to 1,400": None, "600–1,400": None, "15th": None, "8 January 2023": 82023, "none": None, "": None, None: None, "≈ 1 762": 1762, "about 20 people": 20, "9" * 40: None}
+    df = spark.createDataFrame([(k,) for k in figures], "v string")
+    assert {r.v: r.n for r in df.withColumn("n", records.figure_value(F.col("v"))).collect()} == figures
+    found = {
+        "on 2017-02-02": ("2017-02-02", "confirmed"), "February 2nd, 2017": ("2017-02-02", "confirmed"), "2 February 2017": ("2017-02-02", "confirmed"), "31 March": ("2019-03-31", "approximate"), "March 31st": ("2019-03-31", "approximate"),
+        "2 Feb": (None, "unknown"), "2 Foo": (None, "unknown"), "": (None, "unknown"), None: (None, "unknown"), "closed 1 May, then 3 June 2018": ("2018-06-03", "confirmed"),
+    }
+    assert {r.v: tuple(r.x) for r in spark.createDataFrame([(k,) for k in found], "v string").withColumn("x", dates.first_date(F.col("v"), F.lit(2019))).collect()} == found
+    ranges = {
+        "5–8 August 2005": ("2005-08-05", "2005-08-08", "confirmed"), "du 3 au 7 août 2026": ("2026-08-03", "2026-08-07", "confirmed"), "du 30 juillet au 2 août 2026": ("2026-07-30", "2026-08-02", "confirmed"),
+        "1–2 May 1999, July 10 to 14, 2005": ("2005-07-10", "2005-07-14", "confirmed"), "1&ndash;2 May 1999": ("1999-05-01", "1999-05-02", "confirmed"), "in August 2005": (None, None, "approximate"), "August 2004": (None, None, "unknown"),
+        "July 9 through Sunday, July 12": ("2005-07-09", "2005-07-12", "confirmed"), "3rd to 7th of August 2005": ("2005-08-03", "2005-08-07", "confirmed"), None: (None, None, "unknown"),
+    }
+    assert {r.v: tuple(r.x) for r in spark.createDataFrame([(k,) for k in ranges], "v string").withColumn("x", dates.date_range(F.col("v"), F.lit(2005))).collect()} == ranges
+    assert [tuple(r[0]) for r in spark.sql("SELECT '2017-02' d, 'confirmed' c UNION ALL SELECT '2017-02-03', 'confirmed' ORDER BY d").select(dates.settle_month(F.col("d"), F.col("c"))).collect()] == [("2017-02-01", "approximate"), ("2017-02-03", "confirmed")]
+    span = spark.createDataFrame([("2017-02-01", "confirmed", "2017-02-11", "confirmed", "2017-03-01", "approximate"), ("2017-02-20", "confirmed", "2017-02-11", "confirmed", None, "unknown"), (None, "not_applicable", "2017-02-11", None, None, None), (None, None, None, None, None, None)], "a string, b string, c string, d string, e string, f string")
+    assert [r[0] for r in span.select(dates.days_open(*map(F.col, "abcdef"))).collect()] == ["~28d", "?", "—", "?"]
+    rng = random.Random(11)
+    states = ["confirmed", "approximate", "unknown", "not_applicable", None]
+    rows = [(k, s, rng.choice([None, f"v{s}"]), rng.choice(states)) for k in range(400) for s in range(rng.randrange(1, 7))]
+    want = {}
+    for k, _, v, st in rows:
+        if k not in want:
+            want[k] = (v, st)
+        elif v is not None:
+            cv, cs = want[k]
+            if not (cs == "not_applicable" or cs == "confirmed" and cv or cs == "approximate" and cv and st != "confirmed"):
+                want[k] = (v, st)
+    out = records.precedence_merge(spark.createDataFrame(rows, "k long, s int, v string, st string"), ["k"], "s", "v", "st")
+    assert {r.k: (r.v, r.st) for r in out.collect()} == want
     keep = records.keep_first(spark.createDataFrame([(1, "k"), (2, "k"), (3, None), (4, None)], "i int, k string"), F.col("k"), [F.asc("i")])
     assert sorted(r.i for r in keep.collect()) == [1, 3, 4]
     js = spark.createDataFrame([('```json\n[{"a": 1}, {"a": 2}]\n```',), ('text {"a": 5} and {bad} {"a": 6}',)], "t string")

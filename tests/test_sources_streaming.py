@@ -78,3 +78,43 @@ def test_streams(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("wc").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM wc").first()[0] == 6
+
+
+def test_awkward_sources(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "s.txt").write_text("citekey: a\ntitle: Pros --- and cons\nurl: u\n---\ncitekey: b\ncitekey: c\n")
+    assert [r.fields for r in readers.read_blocks(spark, str(tmp_path / "s.txt")).collect()] == [{"citekey": "a", "title": "Pros --- and cons", "url": "u"}, {"citekey": "c"}]
+    (tmp_path / "b.bib").write_text("@misc{k, year = 2019, year = {2020}}\n")
+    assert readers.read_bibtex(spark, str(tmp_path / "b.bib")).first().fields == {"year": "2020"}
+    (tmp_path / "c.json").write_text(json.dumps([["a", "b"], ["1"], ["1", "2", "3"], []]))
+    assert [r.fields for r in readers.read_header_rows(spark, str(tmp_path / "c.json")).collect()] == [{"a": "1"}, {"a": "1", "b": "2"}, {}]
+    dump = "-- it's a dump\nINSERT INTO `t` VALUES (1,'one;\nstill one'),\n(2,'two','extra'),(3);\nINSERT INTO `t` (`b`, `a`) VALUES ('x', 4);\nINSERT INTO `tt` VALUES (9,'x');\n"
+    for name, opened in (("d.sql", open), ("d.sql.gz", gzip.open)):
+        with opened(tmp_path / name, "wt") as f:
+            f.write(dump)
+        got = sorted(map(tuple, readers.read_sql_dump(spark, str(tmp_path / name), "t", ["a", "b"]).collect()))
+        assert got == [("1", "one;\nstill one"), ("2", "two"), ("3", None), ("4", "x")]
+    with gzip.open(tmp_path / "m.mbox.gz", "wb") as f:
+        f.write(b"From x Fri\nFrom: a@example.org\nSubject: one\n\ntext\n\nFrom y Sat\nSubject: two\n\nmore\n")
+    assert [(r.no, r.subject, r.body.strip()) for r in readers.read_mailbox(spark, str(tmp_path / "m.mbox.gz")).orderBy("no").collect()] == [(1, "one", "text"), (2, "two", "more")]
+    (tmp_path / "l.jsonl").write_text('{"a": 1}\nnot json\n{"a": 2, "b": 3}\n')
+    assert [r.a for r in readers.read_json_lines(spark, str(tmp_path / "l.jsonl"), "a int").collect()] == [1, None, 2]
+
+
+def test_closes_that_arrive_before_their_open(spark, tmp_path):
+    src = str(tmp_path / "src")
+    schema = "page_id bigint, kind string, id bigint, t bigint"
+    put = lambda *x: spark.createDataFrame(x, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", "3000 seconds")
+    run = lambda: st.match_opens(stream(), 9000).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    put((1, "close", 9, 2000), (1, "close", 8, 2500))
+    run()
+    put((1, "open", 1, 1000), (1, "open", 2, 2200))
+    run()
+    put((2, "open", 3, 90_000))
+    run()
+    put((1, "open", 4, 100_000))
+    run()
+    got = {(r.open_id, r.close_id, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 9, "closed"), (2, 8, "closed")}

@@ -9,42 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideloom.functions.timestamps import MONTHS
-
 
 def figure_value(c: Column) -> Column:
-    """"~1,762+" to 1762; ranges, ordinals and texts without a number give null."""
-    t = F.lower(F.trim(c))
-    bad = t.rlike(r"\d\s*(?:to|-|–|and)\s*[\d,]*\d") | t.rlike(r"\d(?:st|nd|rd|th)\b")
-    digits = F.regexp_replace(F.regexp_extract(t, r"(\d[\d,. ]*)", 1), r"[^0-9]", "")
-    return F.when(~bad & (digits != ""), digits.try_cast("bigint"))
-
-
-def first_date(text: Column, context_year: Column) -> Column:
-    """Struct (date string, confidence) of the first date form that occurs: ISO, month day year, day month year, then without a year."""
-    month = F.create_map(*[F.lit(x) for k, names in MONTHS.items() for n in names.split() for x in (n, f"{k:02d}")])
-    name = r"(\p{L}{3,9})\.?"
-
-    def form(pattern: str, y, m: int, d: int, sure: str) -> Column:
-        got = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-        mm = F.try_element_at(month, F.lower(got(m))) if sure != "iso" else got(m)
-        yy = got(y) if isinstance(y, int) else y.cast("string")
-        iso = F.concat_ws("-", yy, mm, F.lpad(got(d), 2, "0"))
-        ok = yy.isNotNull() & mm.isNotNull() & got(d).isNotNull() & iso.try_cast("date").isNotNull()
-        return F.when(ok, F.struct(iso.alias("date"), F.lit("approximate" if not isinstance(y, int) else "confirmed").alias("confidence")))
-
-    return F.coalesce(
-        form(r"\b((?:19|20)\d\d)-(\d\d)-(\d\d)\b", 1, 2, 3, "iso"),
-        form(r"(?i)\b" + name + r" (\d{1,2})(?:st|nd|rd|th)?, ((?:19|20)\d\d)\b", 3, 1, 2, "name"),
-        form(r"(?i)\b(\d{1,2})\.? " + name + r",? ((?:19|20)\d\d)\b", 3, 2, 1, "name"),
-        form(r"(?i)\b(\d{1,2})\.? " + name + r"(?![\p{L}\d])", context_year, 2, 1, "name"),
-    )
-
-
-def partial_equal(a: Column, b: Column) -> Column:
-    """Dates of different precision agree if the shorter is a prefix of the longer (year-month or full)."""
-    n = F.least(F.length(a), F.length(b))
-    return F.when(n.isin(7, 10), F.substring(a, 1, 10).substr(F.lit(1), n) == F.substring(b, 1, 10).substr(F.lit(1), n)).otherwise(False)
+    """"~1,762+" to 1762: all digits as one number. Ranges, ordinals and texts without a digit give null. "8 January 2023" gives
+    82023; that it is a date is left to the rules that follow."""
+    bad = c.rlike(r"\d\s*(to|-|–|—)\s*\d") | c.rlike(r"(?i)\d(st|nd|rd|th)\b")
+    digits = F.nullif(F.regexp_replace(c, "[^0-9]", ""), F.lit(""))
+    return F.when(~bad, digits.try_cast("bigint"))
 
 
 def first_rule(df: DataFrame, rules: list[tuple[str, Column]], name: str = "reason") -> DataFrame:
@@ -95,16 +66,22 @@ def append_unseen(old: DataFrame, new: DataFrame, key: Column, order: list[Colum
     return old.unionByName(fresh.join(seen, key == F.col("_seen"), "left_anti"))
 
 
-def precedence_merge(df: DataFrame, key: list[str], seq: str, value: str, state: str, frozen: list[str]) -> DataFrame:
-    """Folds records of a key in arrival order: a record in a frozen state with a value stays; an approximate one gives way only to
-    a confirmed one; else the later replaces. The fold is a window over the key's records: nothing after the first frozen counts."""
-    w = Window.partitionBy(*key).orderBy(seq)
-    first_frozen = F.min(F.when(F.col(state).isin(frozen), F.col(seq))).over(Window.partitionBy(*key))
-    rows = df.withColumn("_stop", first_frozen).where(F.col("_stop").isNull() | (F.col(seq) <= F.col("_stop")))
-    rank = F.when(F.col(state).isin(frozen), 2).when(F.col(state) == "approximate", 1).otherwise(0)
-    best = F.max_by(F.struct(value, state), F.struct(rank, F.when(rank == 1, -F.col(seq)).otherwise(F.col(seq))))
-    del w
-    return rows.groupBy(*key).agg(best.alias("m")).select(*key, f"m.{value}", f"m.{state}")
+def precedence_merge(df: DataFrame, key: list[str], seq: str, value: str, state: str) -> DataFrame:
+    """Folds the records of a key in the order of seq to one (value, state); the first is what is there, later ones need a value.
+
+    not_applicable stays for ever, and so does a confirmed record that has a value; an approximate one with a value gives way only
+    to a confirmed one; anything else to whatever comes next. The fold needs no order of rows: it ends at the first record
+    that stays, or, if that is approximate, at the first confirmed one. Equal seq: the smaller value first.
+    """
+    rec = F.struct(seq, value, state)
+    has = F.col(value).isNotNull()
+    least = lambda cond: F.min(F.when(cond, rec))
+    g = df.groupBy(*key).agg(
+        F.min(rec).alias("first"), F.max(F.when(has, rec)).alias("last"), least(has & F.col(state).isin("not_applicable", "confirmed", "approximate")).alias("stays"), least(has & (F.col(state) == "confirmed")).alias("sure")
+    )
+    stays = F.when(F.col(f"stays.{state}") == "approximate", F.coalesce("sure", "stays")).otherwise(F.col("stays"))
+    kept = F.when(F.col(f"first.{state}") == "not_applicable", F.col("first")).otherwise(F.coalesce(stays, "last", "first"))
+    return g.select(*key, kept.alias("m")).select(*key, f"m.{value}", f"m.{state}")
 
 
 def tally(dimension: DataFrame, facts: DataFrame, key: str, counts: dict[str, Column]) -> DataFrame:

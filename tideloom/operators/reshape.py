@@ -32,6 +32,13 @@ def invert(df: DataFrame, item: str, holder: str) -> DataFrame:
     return df.select(item, holder).dropna().distinct().groupBy(holder).agg(F.array_join(F.sort_array(F.collect_list(item)), " | ").alias("items"), F.count("*").alias("n"))
 
 
+def text_of_index(df: DataFrame, keys: list[str], word: str, places: str) -> DataFrame:
+    """(keys, text) of an inverted index of words with their places: words in the order of places, joined by blanks. A text is one row anyway, so its words fit one."""
+    pairs = df.select(*keys, F.explode(places).alias("_i"), F.col(word).alias("_w"))
+    ordered = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_w"))).alias("_s"))
+    return ordered.select(*keys, F.array_join(F.transform("_s", lambda x: x["_w"]), " ").alias("text"))
+
+
 def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """Top rows with their rank. The limit comes first, so ranking is over `limit` rows only."""
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tideloom.operators import dates as DT
 from tideloom.operators import drift as D
 from tideloom.operators import records as R
 from tideloom.sources.tables import table as T
 
 Q, S = {}, {}
-URL_HEAD = 60  # of source_url, as the reference compares figures; the SQL of u08 has 26
+URL_HEAD = 60  # of source_url
 
 
 def reg(name, sql=None):
@@ -23,30 +24,116 @@ def reg(name, sql=None):
     return add
 
 
-@reg("f20_figures", """SELECT DISTINCT fig_id, figure_raw, CASE WHEN NOT regexp_matches(lower(trim(figure_raw)), '\\d\\s*(?:to|-|–|and)\\s*[\\d,]*\\d') AND NOT regexp_matches(lower(trim(figure_raw)), '\\d(?:st|nd|rd|th)\\b')
-AND regexp_replace(regexp_extract(lower(trim(figure_raw)), '(\\d[\\d,. ]*)', 1), '[^0-9]', '', 'g') <> '' THEN try_cast(regexp_replace(regexp_extract(lower(trim(figure_raw)), '(\\d[\\d,. ]*)', 1), '[^0-9]', '', 'g') AS BIGINT) END AS value FROM wikimania_2017""")
+@reg("f20_figures", """SELECT DISTINCT fig_id, figure_raw, CASE WHEN regexp_matches(figure_raw, '[0-9]\\s*(to|-|–|—)\\s*[0-9]') THEN NULL WHEN regexp_matches(figure_raw, '[0-9](st|nd|rd|th)\\b', 'i') THEN NULL
+ELSE try_cast(regexp_replace(figure_raw, '[^0-9]', '', 'g') AS BIGINT) END AS value FROM wikimania_2017""")
 def _(s, d):
     return T(s, d, "wikimania_2017", "fig_id", "figure_raw").distinct().withColumn("value", R.figure_value(F.col("figure_raw")))
 
 
-@reg("d05_first_date")
+_EN, _FR = "|".join(DT.ENGLISH), "|".join(DT.FRENCH)
+
+
+def _mon(x):
+    return f"lpad(CAST(coalesce(nullif(list_position([{', '.join(repr(n) for n in DT.ENGLISH)}], lower({x})), 0), list_position([{', '.join(repr(n) for n in DT.FRENCH)}], lower({x}))) AS VARCHAR), 2, '0')"
+
+
+def _ymd(y, m, d):
+    return f"{y} || '-' || {_mon(m)} || '-' || lpad({d}, 2, '0')"
+
+
+def _x(t, p, k):
+    return f"regexp_extract({t}, '{p}', {k})"
+
+
+_MDY, _DMY = f"(?i)({_EN})\\s+(\\d{{1,2}})(?:st|nd|rd|th)?,?\\s+(\\d{{4}})".replace("\\\\", "\\"), f"(?i)(\\d{{1,2}})(?:st|nd|rd|th)?\\s+({_EN})\\s+(\\d{{4}})".replace("\\\\", "\\")
+_DM = f"list_filter(regexp_extract_all(t, '(?i)\\d{{1,2}}\\s+(?:{_EN})\\s*\\d{{0,3}}'), lambda x: NOT regexp_matches(x, '[a-z]\\s*\\d{{3}}$', 'i'))[1]".replace("\\\\", "\\")
+_MD = f"list_filter(regexp_extract_all(t, '(?i)(?:{_EN})\\s+\\d{{1,2}}(?:st|nd|rd|th)?\\s*,?\\s*\\d{{0,3}}'), lambda x: NOT regexp_matches(x, '\\d(st|nd|rd|th)?(\\s*,\\s*|\\s+)\\d{{3}}$', 'i'))[1]".replace("\\\\", "\\")
+_D05 = f"""WITH e AS (SELECT DISTINCT edition_id, conference_start AS t, CAST(year AS VARCHAR) AS y FROM edition_index), g AS (SELECT *, {_DM} AS dm, {_MD} AS md FROM e),
+r AS (SELECT edition_id, CASE WHEN regexp_matches(t, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b') THEN regexp_extract(t, '\\b\\d{{4}}-\\d{{2}}-\\d{{2}}\\b') WHEN regexp_matches(t, '{_MDY}') THEN {_ymd(_x('t', _MDY, 3), _x('t', _MDY, 1), _x('t', _MDY, 2))}
+WHEN regexp_matches(t, '{_DMY}') THEN {_ymd(_x('t', _DMY, 3), _x('t', _DMY, 2), _x('t', _DMY, 1))} END AS sure, CASE WHEN dm IS NOT NULL THEN {_ymd('y', "regexp_extract(dm, '(?i)(" + _EN + ")', 1)", "regexp_extract(dm, '^(\\\\d+)', 1)")}
+WHEN md IS NOT NULL THEN {_ymd('y', "regexp_extract(md, '(?i)(" + _EN + ")', 1)", "regexp_extract(md, '(\\\\d{1,2})', 1)")} END AS rough FROM g)
+SELECT edition_id, coalesce(sure, rough) AS date, CASE WHEN sure IS NOT NULL THEN 'confirmed' WHEN rough IS NOT NULL THEN 'approximate' ELSE 'unknown' END AS confidence FROM r""".replace("\\\\", "\\")
+
+
+@reg("d05_first_date", _D05)
 def _(s, d):
     e = T(s, d, "edition_index", "edition_id", "conference_start", "year").distinct()
-    return e.select("edition_id", R.first_date(F.col("conference_start"), F.col("year")).alias("x")).select("edition_id", "x.date", "x.confidence")
+    return e.select("edition_id", DT.first_date(F.col("conference_start"), F.col("year")).alias("x")).select("edition_id", "x.date", "x.confidence")
+
+
+_TEXT = f"""SELECT DISTINCT edition_id, CAST(year AS VARCHAR) AS y, CASE edition_id % 4 WHEN 0 THEN day(b) || '–' || day(c) || ' ' || strftime(c, '%B') || ' ' || year(c) WHEN 1 THEN '1–2 May 1999; ' || strftime(c, '%B') || ' ' || day(b) || ' to ' || day(c) || ', ' || year(c)
+WHEN 2 THEN 'du ' || day(b) || ' au ' || day(c) || ' ' || [{', '.join(repr(n) for n in DT.FRENCH)}][month(c)] || ' ' || year(c) ELSE 'some time in ' || strftime(c, '%B') || ' ' || year END AS t
+FROM (SELECT *, try_cast(conference_end AS DATE) AS c, try_cast(conference_end AS DATE) - INTERVAL 2 DAY AS b FROM edition_index)"""
+_ANY = f"{_EN}|{_FR}"
+_FORMS = [(f"(?i)(\\d{{1,2}})\\s*[–-]\\s*(\\d{{1,2}})\\s+({_ANY})\\s+(\\d{{4}})", 4, 3, 1, 2), (f"(?i)({_ANY})\\s+(\\d{{1,2}})\\s+to\\s+(\\d{{1,2}}),?\\s+(\\d{{4}})", 4, 1, 2, 3), (f"(?i)du\\s+(\\d{{1,2}})\\s+au\\s+(\\d{{1,2}})\\s+({_ANY})\\s+(\\d{{4}})", 4, 3, 1, 2)]
+_HITS = " || ".join(f"list_transform(regexp_extract_all(t, '{p}'), lambda x: {{'s': {_ymd(_x('x', p, y), _x('x', p, m), _x('x', p, a))}, 'e': {_ymd(_x('x', p, y), _x('x', p, m), _x('x', p, b))}, 'y': {_x('x', p, y)}}})" for p, y, m, a, b in _FORMS)
+_D06 = f"""WITH e AS ({_TEXT}), h AS (SELECT *, {_HITS} AS hits FROM e), b AS (SELECT *, coalesce(list_filter(hits, lambda x: x.y = y)[1], hits[1]) AS best FROM h)
+SELECT edition_id, best.s AS first_day, best.e AS last_day, CASE WHEN best IS NOT NULL THEN 'confirmed' WHEN regexp_matches(t, '(?i)({_ANY})\\s+' || y) THEN 'approximate' ELSE 'unknown' END AS confidence FROM b"""
+
+
+@reg("d06_date_range", _D06)
+def _(s, d):
+    e = T(s, d, "edition_index", "edition_id", "year", "conference_end").distinct()
+    c = F.col("conference_end").try_cast("date")
+    b = F.date_sub(c, 2)
+    say = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v.cast("string") for v in x])
+    name, mois = F.date_format(c, "MMMM"), F.element_at(F.array(*map(F.lit, DT.FRENCH)), F.month(c))
+    k = F.col("edition_id") % 4
+    text = F.when(k == 0, say(F.day(b), "–", F.day(c), " ", name, " ", F.year(c))).when(k == 1, say("1–2 May 1999; ", name, " ", F.day(b), " to ", F.day(c), ", ", F.year(c)))
+    text = text.when(k == 2, say("du ", F.day(b), " au ", F.day(c), " ", mois, " ", F.year(c))).otherwise(say("some time in ", name, " ", F.col("year")))
+    return e.select("edition_id", DT.date_range(text, F.col("year")).alias("x")).select("edition_id", F.col("x.start").alias("first_day"), F.col("x.end").alias("last_day"), "x.confidence")
 
 
 @reg("d07_partial_dates", """SELECT DISTINCT edition_id, CASE WHEN least(length(conference_start), length(conference_end)) IN (7, 10) THEN substr(conference_start, 1, least(length(conference_start), length(conference_end))) = substr(conference_end, 1, least(length(conference_start), length(conference_end))) ELSE false END AS same
-FROM edition_index WHERE regexp_matches(conference_start, '^\\d{4}-\\d{2}(-\\d{2})?$')""")
+FROM edition_index""")
 def _(s, d):
-    e = T(s, d, "edition_index", "edition_id", "conference_start", "conference_end").where(r"conference_start RLIKE '^\\d{4}-\\d{2}(-\\d{2})?$'")
-    return e.select("edition_id", R.partial_equal(F.col("conference_start"), F.col("conference_end")).alias("same")).distinct()
+    e = T(s, d, "edition_index", "edition_id", "conference_start", "conference_end")
+    return e.select("edition_id", DT.partial_equal(F.col("conference_start"), F.col("conference_end")).alias("same")).distinct()
+
+
+_LABEL = "CASE WHEN regexp_matches({0}, '^\\d{{4}}-\\d{{2}}$') THEN substr({0}, 6, 2) || '/' || substr({0}, 3, 2) WHEN try_cast(substr({0}, 1, 10) AS DATE) IS NOT NULL THEN strftime(try_cast(substr({0}, 1, 10) AS DATE), '%d/%m') END"
+_ISO = "CASE WHEN regexp_matches(conference_start, '^\\d{4}-\\d{2}(-\\d{2})?') THEN conference_start END"
 
 
-@reg("d08_date_format", "SELECT DISTINCT edition_id, CASE WHEN regexp_matches(conference_end, '^\\d{4}-\\d{2}-\\d{2}$') THEN substr(conference_end, 9, 2) || '/' || substr(conference_end, 6, 2) WHEN conference_end IS NULL THEN '?' ELSE '~' END AS shown FROM edition_index")
+@reg("d08_date_format", f"""SELECT DISTINCT edition_id, CASE WHEN t IS NULL OR coalesce(date_confidence = 'not_applicable', false) THEN '—' WHEN date_confidence = 'unknown' THEN '?' ELSE coalesce(CASE WHEN date_confidence = 'approximate' THEN '~' ELSE '' END || {_LABEL.format('t')}, substr(t, 1, 10)) END AS shown
+FROM (SELECT *, {_ISO} AS t FROM edition_index)""")
 def _(s, d):
-    c = F.col("conference_end")
-    shown = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(F.substring(c, 9, 2), F.lit("/"), F.substring(c, 6, 2))).when(c.isNull(), "?").otherwise("~")
-    return T(s, d, "edition_index", "edition_id", "conference_end").select("edition_id", shown.alias("shown")).distinct()
+    iso = F.when(F.col("conference_start").rlike(r"^\d{4}-\d{2}(-\d{2})?"), F.col("conference_start"))
+    return T(s, d, "edition_index", "edition_id", "conference_start", "date_confidence").select("edition_id", DT.show_date(iso, F.col("date_confidence")).alias("shown")).distinct()
+
+
+_END = "coalesce(date_confidence, 'unknown')"
+
+
+@reg("d09_days_open", f"""SELECT DISTINCT edition_id, CASE WHEN {_END} = 'not_applicable' THEN '—' WHEN {_END} = 'unknown' THEN '?' WHEN n IS NULL OR n < 0 THEN '?' ELSE CASE WHEN {_END} = 'approximate' THEN '~' ELSE '' END || n || 'd' END AS shown
+FROM (SELECT *, date_diff('day', try_cast(CASE WHEN length({_ISO}) = 7 THEN {_ISO} || '-01' ELSE substr({_ISO}, 1, 10) END AS DATE), try_cast(conference_end AS DATE)) AS n FROM edition_index)""")
+def _(s, d):
+    iso = F.when(F.col("conference_start").rlike(r"^\d{4}-\d{2}(-\d{2})?"), F.col("conference_start"))
+    state, end = F.col("date_confidence"), F.col("conference_end")
+    shown = DT.days_open(iso, state, F.lit("1999-01-01"), state, end, F.lit("confirmed"))
+    return T(s, d, "edition_index", "edition_id", "conference_start", "conference_end", "date_confidence").select("edition_id", shown.alias("shown")).distinct()
+
+
+@reg("d10_settle_month", f"SELECT DISTINCT edition_id, CASE WHEN regexp_matches(conference_start, '^\\d{{4}}-\\d{{2}}$') THEN conference_start || '-01' ELSE conference_start END AS date, CASE WHEN regexp_matches(conference_start, '^\\d{{4}}-\\d{{2}}$') THEN 'approximate' ELSE date_confidence END AS confidence FROM edition_index")
+def _(s, d):
+    e = T(s, d, "edition_index", "edition_id", "conference_start", "date_confidence").distinct()
+    return e.select("edition_id", DT.settle_month(F.col("conference_start"), F.col("date_confidence")).alias("x")).select("edition_id", "x.date", "x.confidence")
+
+
+@reg("cl05_cell_states", "SELECT state, count(*) AS n FROM (SELECT DISTINCT edition_id, CASE WHEN date_confidence = 'not_applicable' THEN 'not_applicable' WHEN date_confidence = 'confirmed' AND conference_start IS NOT NULL THEN 'confirmed' WHEN date_confidence = 'approximate' AND conference_start IS NOT NULL THEN 'approximate' ELSE 'unknown' END AS state FROM edition_index) GROUP BY 1")
+def _(s, d):
+    e = T(s, d, "edition_index", "edition_id", "conference_start", "date_confidence")
+    return e.select("edition_id", DT.cell_state(F.col("conference_start"), F.col("date_confidence")).alias("state")).distinct().groupBy("state").agg(F.count("*").alias("n"))
+
+
+@reg("cl06_date_checks", """WITH v AS (SELECT DISTINCT edition_id, substr(conference_start, 1, 10) AS a, conference_end AS b, substr(conference_end, 1, 7) AS c, year % 5 = 0 AS noted FROM edition_index),
+m AS (SELECT *, lambda_ab, lambda_ac, lambda_bc FROM (SELECT *, CASE WHEN least(length(a), length(b)) IN (7, 10) THEN substr(a, 1, least(length(a), length(b))) = substr(b, 1, least(length(a), length(b))) ELSE false END AS lambda_ab,
+CASE WHEN least(length(a), length(c)) IN (7, 10) THEN substr(a, 1, least(length(a), length(c))) = substr(c, 1, least(length(a), length(c))) ELSE false END AS lambda_ac, CASE WHEN least(length(b), length(c)) IN (7, 10) THEN substr(b, 1, least(length(b), length(c))) = substr(c, 1, least(length(b), length(c))) ELSE false END AS lambda_bc FROM v))
+SELECT CASE WHEN a IS NULL THEN 'nothing_stored' WHEN b IS NULL THEN 'not_found' WHEN lambda_ab THEN 'pass' WHEN noted THEN 'noted' WHEN c IS NULL THEN 'inconclusive' WHEN lambda_ac THEN 'stored_confirmed' WHEN lambda_bc THEN 'corrected' ELSE 'third_date' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
+def _(s, d):
+    e = T(s, d, "edition_index", "edition_id", "conference_start", "conference_end", "year").distinct()
+    v = DT.verdict(F.substring("conference_start", 1, 10), F.col("conference_end"), F.substring("conference_end", 1, 7), F.col("year") % 5 == 0)
+    return e.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"))
 
 
 _RULES_SQL = "CASE WHEN contains(lower(definition_as_reported), 'online') THEN 'online' WHEN regexp_matches(lower(definition_as_reported), 'countries|volunteers') THEN 'other_unit' WHEN verified THEN 'kept' WHEN figure_numeric IS NULL THEN 'no_number' WHEN figure_numeric < 20 THEN 'too_small' ELSE 'kept' END"
@@ -90,7 +177,7 @@ def _(s, d):
     return R.keep_first(rows, F.col("k"), [rank, F.asc("cand_id")]).select("k", "cand_id")
 
 
-@reg("u08_longest_context", "SELECT figure_numeric, u, fig_id FROM (SELECT figure_numeric, substr(source_url, 1, 26) AS u, fig_id, row_number() OVER (PARTITION BY figure_numeric, substr(source_url, 1, 26) ORDER BY length(context) DESC NULLS LAST, fig_id) AS r FROM (SELECT DISTINCT fig_id, figure_numeric, source_url, context FROM wikimania_2017 WHERE figure_numeric IS NOT NULL)) WHERE r = 1")
+@reg("u08_longest_context", "SELECT figure_numeric, u, fig_id FROM (SELECT figure_numeric, substr(source_url, 1, 60) AS u, fig_id, row_number() OVER (PARTITION BY figure_numeric, substr(source_url, 1, 60) ORDER BY length(context) DESC NULLS LAST, fig_id) AS r FROM (SELECT DISTINCT fig_id, figure_numeric, source_url, context FROM wikimania_2017 WHERE figure_numeric IS NOT NULL)) WHERE r = 1")
 def _(s, d):
     f = T(s, d, "wikimania_2017", "fig_id", "figure_numeric", "source_url", "context").where("figure_numeric IS NOT NULL").distinct().withColumn("u", F.substring("source_url", 1, URL_HEAD))
     # length first: only it and the id are compared, contexts don't travel
@@ -111,12 +198,15 @@ def _(s, d):
     return R.append_unseen(c.where("strategy = 'S3_keyword'"), c.where("strategy = 'S2_forward'"), F.lower("doi"), [F.asc("cand_id")]).select("cand_id")
 
 
-@reg("u12_precedence_merge", """WITH r AS (SELECT wiki, page_id, year AS seq, min(status_tier) AS v, min(CASE WHEN confidence = 'confirmed' THEN 'confirmed' ELSE 'approximate' END) AS st FROM node WHERE year IS NOT NULL GROUP BY 1, 2, 3),
-f AS (SELECT wiki, page_id, min(seq) FILTER (st = 'confirmed') AS stop, min(seq) AS start FROM r GROUP BY 1, 2) SELECT r.wiki, r.page_id, r.v, r.st FROM r JOIN f ON r.wiki = f.wiki AND r.page_id = f.page_id AND r.seq = coalesce(f.stop, f.start)""")
+_STATE = "CASE WHEN confidence = 'confirmed' THEN 'confirmed' WHEN admitted_via LIKE 'scored%' THEN 'approximate' WHEN admitted_via = 'wikidata' THEN 'not_applicable' ELSE 'unknown' END"
+
+
+@reg("u12_precedence_merge", f"""WITH r AS (SELECT wiki, page_id, year AS seq, min(nullif(trim(status_tier), '')) AS v, min({_STATE}) AS st FROM node WHERE year IS NOT NULL GROUP BY 1, 2, 3)
+SELECT wiki, page_id, m.v AS v, m.st AS st FROM (SELECT wiki, page_id, list_reduce(list({{'v': v, 'st': st}} ORDER BY seq), lambda a, x: CASE WHEN x.v IS NULL OR a.st = 'not_applicable' OR (a.st = 'confirmed' AND a.v IS NOT NULL) OR (a.st = 'approximate' AND a.v IS NOT NULL AND x.st <> 'confirmed') THEN a ELSE x END) AS m FROM r GROUP BY 1, 2)""")
 def _(s, d):
-    st = F.when(F.col("confidence") == "confirmed", "confirmed").otherwise("approximate")
-    n = T(s, d, "node", "wiki", "page_id", "year", "status_tier", "confidence").where("year IS NOT NULL").groupBy("wiki", "page_id", F.col("year").alias("seq")).agg(F.min("status_tier").alias("v"), F.min(st).alias("st"))
-    return R.precedence_merge(n, ["wiki", "page_id"], "seq", "v", "st", ["confirmed"])
+    st = F.expr(_STATE)
+    n = T(s, d, "node", "wiki", "page_id", "year", "status_tier", "confidence", "admitted_via").where("year IS NOT NULL").groupBy("wiki", "page_id", F.col("year").alias("seq")).agg(F.min(F.nullif(F.trim("status_tier"), F.lit(""))).alias("v"), F.min(st).alias("st"))
+    return R.precedence_merge(n, ["wiki", "page_id"], "seq", "v", "st")
 
 
 @reg("u18_fill_missing", "SELECT c.cand_id, coalesce(min(c.year), min(w.year)) AS year FROM candidate c LEFT JOIN crossref_work w ON lower(c.doi) = lower(w.doi) GROUP BY 1")

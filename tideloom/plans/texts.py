@@ -162,13 +162,12 @@ def _(s, d):
     return T(s, d, "candidate", "url").where("url LIKE 'http%'").distinct().select("url", F.expr("parse_url(url, 'HOST')").alias("host"), F.expr("parse_url(url, 'PATH')").alias("path"))
 
 
-@reg("a04_inverted_text", "SELECT work_id, array_to_string(list_sort(string_split(lower(title), ' ')), ' ') AS sorted_words FROM (SELECT DISTINCT work_id, title FROM crossref_work)")
+@reg("a04_inverted_text", "SELECT DISTINCT work_id, title AS text FROM crossref_work WHERE title IS NOT NULL")
 def _(s, d):
-    w = T(s, d, "crossref_work", "work_id", "title").distinct()
-    # to an index word -> positions and back by position, then in order
-    pos = w.select("work_id", F.posexplode(F.split(F.lower("title"), " ")).alias("i", "w")).groupBy("work_id", "w").agg(F.collect_list("i").alias("at"))
-    back = pos.select("work_id", F.explode("at").alias("i"), "w").groupBy("work_id").agg(F.sort_array(F.collect_list("w")).alias("ws"))
-    return back.select("work_id", F.array_join("ws", " ").alias("sorted_words"))
+    """To an index of words and their places and back: the text of each work comes out as it was."""
+    w = T(s, d, "crossref_work", "work_id", "title").where("title IS NOT NULL").distinct().withColumn("k", F.xxhash64("title"))
+    index = w.select("work_id", "k", F.posexplode(F.split("title", " ")).alias("i", "w")).groupBy("work_id", "k", "w").agg(F.collect_list("i").alias("at"))
+    return R.text_of_index(index, ["work_id", "k"], "w", "at").drop("k")
 
 
 @reg("x02_lifespans", f"""WITH {_VERS}, m AS (SELECT wiki, page_title, year, md5(text) AS h FROM v), f AS (SELECT *, CASE WHEN h IS NOT DISTINCT FROM lag(h) OVER (PARTITION BY wiki, page_title ORDER BY year) THEN 0 ELSE 1 END AS n FROM m),

@@ -6,9 +6,11 @@ import email
 import email.policy
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideloom.operators.reshape import unpack_counts
@@ -34,49 +36,86 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_blocks(spark: SparkSession, path: str, key: str = "citekey") -> DataFrame:
-    """Blocks of `name: value` lines between `---` lines as maps; blocks without the key are notes and are skipped."""
-    blocks = spark.read.option("lineSep", "---").text(path)
+def _last_wins(pairs: Column) -> Column:
+    """A map of structs (k, v); of a name given twice the last holds."""
+    empty = F.expr("cast(map() as map<string,string>)")
+    return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p.k), F.create_map(p.k, p.v)))
+
+
+def read_blocks(spark: SparkSession, path: str, key: str = "citekey", newline: str = "\n") -> DataFrame:
+    """Blocks of `name: value` lines between lines of `---` as maps; blocks without the key are notes and are skipped. Dashes inside
+    a line cut nothing."""
+    blocks = spark.read.option("lineSep", f"{newline}---{newline}").text(path)
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"^\s*[A-Za-z_]+\s*:"))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^\s*([A-Za-z_]+)\s*:", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
-    # a name given twice in one block: the last holds
-    last = F.aggregate(pairs, F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p.k), F.create_map(p.k, p.v)))
-    return blocks.select(last.alias("fields")).where(F.coalesce(F.try_element_at("fields", F.lit(key)), F.lit("")) != "")
+    return blocks.select(_last_wins(pairs).alias("fields")).where(F.coalesce(F.try_element_at("fields", F.lit(key)), F.lit("")) != "")
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, citekey, fields map) of bibliography entries; values in braces or quotes, a byte-order mark is dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
+    """(kind, citekey, fields map) of bibliography entries; values in braces or quotes, a byte-order mark is dropped, of a field given
+    twice the last holds."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
     entry = whole.select(F.explode(F.split("value", r"(?m)^(?=\s*@\w+\s*\{)")).alias("e")).where(F.col("e").rlike(r"^\s*@\w+\s*\{"))
     found = F.regexp_extract_all("e", F.lit(r'(?s)(\w+)\s*=\s*(\{(?:[^{}]|\{[^{}]*\})*\}|"[^"]*"|\d+)'), F.lit(0))
     pairs = F.transform(found, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^(\w+)", 1)).alias("k"), F.regexp_replace(F.regexp_replace(x, r'(?s)^\w+\s*=\s*[{"]?', ""), r'(?s)[}"]?$', "").alias("v")))
-    return entry.select(F.lower(F.regexp_extract("e", r"@(\w+)", 1)).alias("kind"), F.trim(F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1)).alias("citekey"), F.map_from_entries(F.array_distinct(pairs)).alias("fields"))
+    return entry.select(F.lower(F.regexp_extract("e", r"@(\w+)", 1)).alias("kind"), F.trim(F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1)).alias("citekey"), _last_wins(pairs).alias("fields"))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths only: the content column is pruned, so nothing is read here."""
+    return spark.read.format("binaryFile").load(path).select("path")
+
+
+def _lines(path: str) -> Iterator[bytes]:
+    """Lines of a file, compressed or not, in chunks of bounded size."""
+    fs, p = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    rest = b""
+    with fs.open_input_stream(p, compression="detect") as f:
+        while chunk := f.read(1 << 22):
+            *whole, rest = (rest + chunk).split(b"\n")
+            yield from (x + b"\n" for x in whole)
+    if rest:
+        yield rest
 
 
 MESSAGE = "path string, no int, sender string, subject string, sent string, body string"
 
 
+def _message(raw: bytes) -> tuple[str | None, str | None, str | None, str]:
+    m = email.message_from_bytes(raw, policy=email.policy.default)
+    texts = []
+    for part in m.walk():
+        if part.get_content_type() == "text/plain":
+            try:
+                texts.append(part.get_content())
+            except (LookupError, UnicodeError):
+                texts.append((part.get_payload(decode=True) or b"").decode("latin-1"))
+    return str(m["From"] or "") or None, str(m["Subject"] or "") or None, str(m["Date"] or "") or None, "\n".join(texts)
+
+
 def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of mbox files: decoded headers and the plain-text parts. One file is read by one task, as its framing is sequential."""
+    """Messages of mbox files, plain or gzip: decoded headers and the plain-text parts. Framing is sequential, so one task passes a
+    file, line by line; it holds one message at a time."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "no", "sender", "subject", "sent", "body"]
         for b in batches:
-            rows = []
-            for p, data in zip(b["path"], b["content"]):
-                parts = re.split(rb"(?m)^From [^\n]*\n", bytes(data))
-                for no, raw in enumerate((x for x in parts if x.strip()), 1):
-                    m = email.message_from_bytes(raw, policy=email.policy.default)
-                    texts = []
-                    for part in m.walk():
-                        if part.get_content_type() == "text/plain":
-                            try:
-                                texts.append(part.get_content())
-                            except (LookupError, UnicodeError):
-                                texts.append((part.get_payload(decode=True) or b"").decode("latin-1"))
-                    rows.append((p, no, str(m["From"] or "") or None, str(m["Subject"] or "") or None, str(m["Date"] or "") or None, "\n".join(texts)))
-            yield pd.DataFrame(rows, columns=["path", "no", "sender", "subject", "sent", "body"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, MESSAGE)
+            for p in b["path"]:
+                no, raw, out = 0, [], []
+                for line in chain(_lines(p), [b"From "]):
+                    if not line.startswith(b"From "):
+                        raw.append(line)
+                        continue
+                    if b"".join(raw).strip():
+                        no += 1
+                        out.append((p, no, *_message(b"".join(raw))))
+                    raw = []
+                    if len(out) >= 500:
+                        yield pd.DataFrame(out, columns=columns)
+                        out = []
+                yield pd.DataFrame(out, columns=columns)
+
+    return _files(spark, path).mapInPandas(parse, MESSAGE)
 
 
 def _tuples(text: str) -> Iterator[list[str | None]]:
@@ -97,16 +136,42 @@ def _tuples(text: str) -> Iterator[list[str | None]]:
                 row.append(None if m[2].upper() == "NULL" else m[2])
 
 
+def _statements(lines: Iterator[bytes]) -> Iterator[str]:
+    """SQL statements: they end with a semicolon at the end of a line outside of quotes."""
+    parts: list[str] = []
+    quoted = False
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if not parts and re.match(r"\s*(--|/\*|#|$)", text):
+            continue
+        parts.append(text)
+        for m in re.finditer(r"\\.|''|'", text):
+            quoted ^= m[0] == "'"
+        if not quoted and text.rstrip().endswith(";"):
+            yield "".join(parts)
+            parts = []
+    if parts:
+        yield "".join(parts)
+
+
 def read_sql_dump(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
-    """Rows a SQL dump inserts into one table, as strings. Statements end with a semicolon at a line end; they are parsed in parallel."""
-    statements = spark.read.option("lineSep", ";\n").text(path).where(F.col("value").rlike(rf"(?i)INSERT INTO [`\"]?{name}[`\"]?\s"))
+    """Rows a SQL dump inserts into one table, as strings. One task passes a file, plain or gzip, and holds one statement at a time.
+
+    If a statement names its columns, values follow the names; else their position. Rows with fewer values are filled with nulls,
+    surplus values are left out.
+    """
+    head = re.compile(rf"\s*INSERT\s+INTO\s+[`\"]?{re.escape(name)}[`\"]?\s*(?:\(([^)]*)\))?\s*VALUES", re.I)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for v in b["value"] for r in _tuples(v[re.search(r"(?i)\bVALUES\b", v).end() :]) if len(r) == len(columns)]
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            for p in b["path"]:
+                for statement in _statements(_lines(p)):
+                    if m := head.match(statement):
+                        names = [x.strip(' `"') for x in m[1].split(",")] if m[1] else columns
+                        rows = [dict(zip(names, r)) for r in _tuples(statement[m.end() :])]
+                        yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
 
-    return statements.mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
+    return _files(spark, path).mapInPandas(parse, ", ".join(f"`{c}` string" for c in columns))
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
@@ -116,9 +181,11 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_header_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of arrays whose first row is the header, as one map a row."""
+    """A JSON array of arrays whose first row is the header, as one map a row. A short row lacks the last names, a long one loses the rest."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("a"))
-    return rows.select(F.explode(F.slice("a", 2, 1 << 30)).alias("r"), F.col("a")[0].alias("h")).select(F.map_from_arrays("h", "r").alias("fields"))
+    both = rows.select(F.explode(F.slice("a", 2, 1 << 30)).alias("r"), F.col("a")[0].alias("h"))
+    pairs = F.zip_with(F.slice("h", F.lit(1), F.least(F.size("h"), F.size("r"))), F.slice("r", F.lit(1), F.least(F.size("h"), F.size("r"))), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    return both.select(_last_wins(F.filter(pairs, lambda x: x.k.isNotNull())).alias("fields"))
 
 
 def read_database(spark: SparkSession, url: str, table: str, column: str, bounds: tuple[int, int], partitions: int, **options: str) -> DataFrame:

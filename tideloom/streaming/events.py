@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,35 +34,43 @@ def match_opens(events: DataFrame, stale_after_s: int) -> DataFrame:
     """Opens matched with the first later close of their page as both arrive: (page_id, open_id, open_s, close_id, close_s, outcome).
 
     events: page_id, kind (open or close), id, t in seconds, ts as event time with a watermark set by the caller. State per page
-    holds its unmatched opens only; an open the watermark has passed by `stale_after_s` is given out as stale and forgotten.
+    holds unmatched opens, and closes until the watermark passes them, as an open that is still to come may be earlier. An open gets
+    the first later close known when both are there; one the watermark has passed by `stale_after_s` is given out as stale.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(zip(*state.get)) if state.exists else []
-        closes = []
+        ids, ts, close_ids, close_ts = state.get if state.exists else ([], [], [], [])
+        opens, closes = list(zip(ts, ids)), set(zip(close_ts, close_ids))
         for b in batches:
             for kind, i, t in zip(b["kind"], b["id"], b["t"]):
-                (waiting if kind == "open" else closes).append((int(i), int(t)))
-        out, closes = [], sorted(closes, key=lambda c: (c[1], c[0]))
-        left = []
-        for i, t in sorted(waiting, key=lambda o: (o[1], o[0])):
-            hit = next((c for c in closes if c[1] > t), None)
-            if hit:
-                out.append((key[0], i, t, hit[0], hit[1], "closed"))
-            else:
-                left.append((i, t))
+                if kind == "open":
+                    opens.append((int(t), int(i)))
+                else:
+                    closes.add((int(t), int(i)))
         mark = state.getCurrentWatermarkMs() // 1000
-        late = [o for o in left if mark and o[1] + stale_after_s <= mark]
-        out += [(key[0], i, t, None, None, "stale") for i, t in late]
-        left = [o for o in left if o not in late]
-        if left:
-            state.update(([i for i, _ in left], [t for _, t in left]))
-            state.setTimeoutTimestamp(max(mark * 1000 + 1, (min(t for _, t in left) + stale_after_s) * 1000))
+        order = sorted(closes)
+        times = [t for t, _ in order]
+        out, left = [], []
+        for t, i in sorted(opens):
+            at = bisect_right(times, t)
+            if at < len(order):
+                out.append((key[0], i, t, order[at][1], order[at][0], "closed"))
+            elif mark and t + stale_after_s <= mark:
+                out.append((key[0], i, t, None, None, "stale"))
+            else:
+                left.append((t, i))
+        kept = [(t, i) for t, i in order if t > mark]
+        if left or kept:
+            state.update(([i for _, i in left], [t for t, _ in left], [i for _, i in kept], [t for t, _ in kept]))
+            due = [left[0][0] + stale_after_s] if left else []
+            due += [kept[-1][0]] if kept else []
+            state.setTimeoutTimestamp(max(mark * 1000 + 1, min(due) * 1000))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["page_id", "open_id", "open_s", "close_id", "close_s", "outcome"]).astype({"close_id": "Int64", "close_s": "Int64"})
 
-    return events.groupBy("page_id").applyInPandasWithState(step, MATCHED, "ids array<bigint>, ts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    held = "ids array<bigint>, ts array<bigint>, close_ids array<bigint>, close_ts array<bigint>"
+    return events.groupBy("page_id").applyInPandasWithState(step, MATCHED, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def backfill(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, transform=lambda df: df, files: int = 100) -> None:
