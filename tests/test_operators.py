@@ -43,13 +43,28 @@ def test_components_and_reach(spark):
 
 def test_pagerank_against_power_iteration(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 1)]
-    got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(edges, "a long, b long"), rounds=12).collect()}
+    got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame(edges, "a long, b long"), tolerance=1e-6).collect()}
     nodes, out = [1, 2, 3, 4, 5], {a: [b for x, b in edges if x == a] for a in range(1, 6)}
     r = {v: 0.2 for v in nodes}
-    for _ in range(12):
+    for _ in range(200):
         f = {v: 0.85 * sum(r[a] / len(out[a]) for a in nodes if v in out[a]) for v in nodes}
         r = {v: f[v] + (1 - sum(f.values())) * 0.2 for v in nodes}
-    assert all(abs(got[v] - r[v]) < 1e-9 for v in nodes)
+    assert all(abs(got[v] - r[v]) < 1e-5 for v in nodes)
+    two = [(a + 10 * k, b + 10 * k) for a, b in edges for k in (0, 1)]
+    pairs, group = spark.createDataFrame(two, "a long, b long"), F.expr("node div 10")
+    both = {x.node: x.rank for x in graph.pagerank(pairs, group=group, tolerance=1e-6).collect()}
+    assert all(abs(both[v + k] - r[v]) < 1e-5 for v in nodes for k in (0, 10))
+    seeds = spark.createDataFrame([(5, "x"), (2, "y")], "node long, anchor string")
+    ranks = graph.pagerank(pairs, seeds, group, tolerance=1e-5)
+    near = {x.node: x.anchor for x in graph.strongest_anchor(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), ranks, ["x", "y"]).collect()}
+    own = {}
+    for start in (5, 2):
+        q = {v: 0.2 for v in nodes}
+        for _ in range(200):
+            f = {v: 0.85 * sum(q[a] / len(out[a]) for a in nodes if v in out[a]) for v in nodes}
+            q = {v: f[v] + (1 - sum(f.values())) * (v == start) for v in nodes}
+        own[start] = q
+    assert near == {**{v: "xy"[own[5][v] < own[2][v]] for v in nodes}, **{v: "Other" for v in range(11, 16)}}
 
 
 def test_rewire_keeps_degrees(spark):
@@ -62,11 +77,17 @@ def test_rewire_keeps_degrees(spark):
 
 
 def test_bootstrap_and_permutation(spark):
-    df = spark.createDataFrame([("g" if i % 2 else "h", float(i), i > 150) for i in range(200)], "g string, v double, f boolean")
-    ci = graph.bootstrap_mean(df, "v", 200).first()
+    df = spark.createDataFrame([("g" if i % 2 else "h", float(i), i > 150, i) for i in range(200)], "g string, v double, f boolean, i long")
+    ci = graph.bootstrap_mean(df, "v", "i", 200).first()
+    assert graph.bootstrap_mean(df.repartition(7), "v", "i", 200).first() == pytest.approx(ci)
     assert 85 < ci.low < 99.5 < ci.high < 115
-    p = graph.permutation_test(df, "g", "v", "f", 30).first()
-    assert p.p == pytest.approx(1 / 31) and p.observed > p.null_mean
+    p = graph.permutation_test(df, "g", "v", "f", "i", 30).first()
+    assert p.p == pytest.approx(1 / 31) and p.observed > p.null_mean and 90 < p.null_mean < 110
+    even = graph.permutation_test(df.withColumn("f", F.col("i") % 3 == 0), "g", "v", "f", "i", 200).first()
+    assert 0.05 < even.p < 0.95
+    close = lambda *ps: graph.undirected(spark.createDataFrame([(b + i, b + j) for b in (0, 10, 20) for i in range(6) for j in range(i)] + list(ps), "s long, t long"), "s", "t")
+    got = {r.node: r.community for r in graph.label_communities(close((0, 10), (15, 20))).collect()}
+    assert len(set(got.values())) == 3 and all(len({got[b + i] for i in range(6)}) == 1 for b in (0, 10, 20))
 
 
 def test_shared_neighbours_against_brute_force(spark):
@@ -78,6 +99,31 @@ def test_shared_neighbours_against_brute_force(spark):
     assert got == want and want
 
 
+def test_clusters_of_sites(spark):
+    rng = random.Random(5)
+    site = {v: "abc"[v % 3] for v in range(60)}
+    cluster = {v: v - v % 3 if v < 45 else v for v in site if v % 7}  # clusters of three sites; some nodes in none
+    edges = {tuple(rng.sample(range(60), 2)) for _ in range(700)}
+    nodes, cl = spark.createDataFrame(list(site.items()), "node long, site string"), spark.createDataFrame(list(cluster.items()), "node long, component long")
+    pairs = graph.undirected(spark.createDataFrame(list(edges), "s long, t long"), "s", "t")
+    comp = {v: cluster.get(v, v) for v in site}
+    wide = {c for c in comp.values() if len({site[v] for v in site if comp[v] == c}) >= 2}
+    near = {v: {comp[b] for a, b in edges | {(b, a) for a, b in edges} if a == v} & wide for v in site}
+    prints = graph.cluster_fingerprints(pairs, cl, nodes, "site")
+    got = {}
+    for r in prints.collect():
+        got.setdefault(r.node, set()).add(r.f)
+    assert got == {v: f for v, f in near.items() if f}
+    alike = {(a, b) for a in site for b in site if a < b and site[a] != site[b] and comp[a] != comp[b] and min(len(near[a]), len(near[b])) >= 6 and len(near[a] & near[b]) / len(near[a] | near[b]) >= 0.45}
+    assert {(r.a, r.b) for r in graph.hidden_equivalents(prints, "site").collect()} == alike and alike
+    shares = {r.site: tuple(r)[1:] for r in graph.style_shares(nodes, cl, F.col("node") % 5 == 0, "site", "a").collect()}
+    styled = {comp[v] for v in site if site[v] == "a" and v % 5 == 0}
+    alone = [v for v in site if site[v] == "a" and v % 5 == 0 and {site[w] for w in site if comp[w] == comp[v]} == {"a"}]
+    for x in "abc":
+        own = [v for v in site if site[v] == x]
+        assert shares[x] == (len(own), sum(comp[v] in styled for v in own), sum(v % 5 == 0 for v in own) if x == "a" else 0, len(alone) if x == "a" else 0)
+
+
 def test_figures_dates_and_merges(spark):
     figures = {"~1,762+": 1762, "600 to 1,400": None, "600–1,400": None, "15th": None, "8 January 2023": 82023, "none": None, "": None, None: None, "≈ 1 762": 1762, "about 20 people": 20, "9" * 40: None}
     df = spark.createDataFrame([(k,) for k in figures], "v string")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.session import materialise
@@ -28,24 +28,24 @@ def degrees(pairs: DataFrame, nodes: DataFrame, key: str, group: str) -> DataFra
     """Degree of every node, isolated ones included, and its ratio to the mean of its group."""
     deg = pairs.groupBy(F.col("a").alias(key)).agg(F.count("*").alias("degree"))
     out = nodes.select(key, group).distinct().join(deg, key, "left").fillna(0, ["degree"])
-    mean = F.avg("degree").over(Window.partitionBy(group))
-    return out.withColumn("relative", F.round(F.when(mean > 0, F.col("degree") / mean).otherwise(0.0), 4))
+    mean = out.groupBy(group).agg(F.avg("degree").alias("_mean"))  # a row a group: no task holds a group
+    out = out.join(mean, group)
+    return out.withColumn("relative", F.round(F.when(F.col("_mean") > 0, F.col("degree") / F.col("_mean")).otherwise(0.0), 4)).select(key, group, "degree", "relative")
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(node, component): the least node id reachable. Labels move along edges and, by pointer jumping, along labels, so the
-    number of rounds grows with the logarithm of the diameter. Each round is written to the shared folder."""
+    number of rounds grows with the logarithm of the diameter; they end when no label moves. Each round is written to the shared folder."""
     pairs = materialise(pairs, "pairs")
     state = materialise(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("c")), "labels")
-    for _ in range(rounds):
+    moved = True
+    while moved:
         seen = pairs.join(state, pairs.b == state.node).groupBy("a").agg(F.min("c").alias("m"))
         hop = state.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         nxt = state.join(seen, state.node == seen.a, "left").join(hop, "c", "left").select("node", F.least("c", F.coalesce("m", "c"), F.coalesce("cc", "c")).alias("n"), F.col("c").alias("old"))
         nxt = materialise(nxt, "labels")
-        moved = nxt.where("n <> old").limit(1).count()
+        moved = not nxt.where("n <> old").isEmpty()
         state = nxt.select("node", F.col("n").alias("c"))
-        if not moved:
-            break
     return state.withColumnRenamed("c", "component")
 
 
@@ -69,33 +69,61 @@ def shared_neighbours(members: DataFrame, key: str, feature: str, group: str, le
     return both.select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def pagerank(pairs: DataFrame, seeds: DataFrame | None = None, alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank) by power iteration; with seeds(node) personalised. Mass of nodes without links goes to the restart vector."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    out = pairs.groupBy("a").agg(F.count("*").alias("out"))
-    base = nodes.withColumn("p", F.lit(1.0)) if seeds is None else nodes.join(seeds.select("node").distinct().withColumn("s", F.lit(1.0)), "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("p"))
-    base = materialise(base, "restart")
-    total = base.agg(F.sum("p")).first()[0] or 1.0
-    base = base.withColumn("p", F.col("p") / total)
-    links = materialise(pairs.join(out, "a"), "links")
-    state = base.select("node", F.col("p").alias("r"))
-    for k in range(rounds):
-        flow = links.join(state, links.a == state.node).groupBy(F.col("b").alias("node")).agg(F.sum(F.col("r") / F.col("out")).alias("f"))
-        new = base.join(flow, "node", "left").select("node", "p", (alpha * F.coalesce("f", F.lit(0.0))).alias("f"))
-        kept = new.agg(F.sum("f")).first()[0] or 0.0
-        state = materialise(new.select("node", (F.col("f") + (1 - kept) * F.col("p")).alias("r")), "rank")
-    return state.withColumnRenamed("r", "rank")
-
+def pagerank(pairs: DataFrame, seeds: DataFrame | None = None, group: Column | None = None, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
+    """(node[, anchor], rank) by power iteration until a round moves the ranks of a graph by less than tolerance times its nodes.
 
-def label_communities(pairs: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by synchronous label propagation with ties to the smaller label; deterministic."""
+    group, an expression of node, tells independent graphs apart, each of which has the sum 1. seeds(node, anchor) give one personalised
+    rank per anchor; an anchor without a seed in a graph has no rows there. Mass of nodes without links goes to the restart
+    vector. Ranks that don't settle within `rounds` are an error.
+    """
+    group = F.lit(0).cast("long") if group is None else group
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().withColumn("g", group)
+    anchors = seeds.select("node", "anchor").distinct().withColumn("p", F.lit(1.0)) if seeds is not None else nodes.select("node", F.lit("").alias("anchor"), F.lit(1.0).alias("p"))
+    placed = nodes.join(anchors, "node")
+    total = placed.groupBy("g", "anchor").agg(F.sum("p").alias("s"))
+    n = nodes.groupBy("g").agg(F.count("*").alias("size"))
+    own = placed.join(total, ["g", "anchor"]).select("node", "anchor", (F.col("p") / F.col("s")).alias("p"))
+    base = nodes.join(total.select("g", "anchor"), "g").join(n, "g").join(own, ["node", "anchor"], "left").fillna(0.0, ["p"])
+    base = materialise(base.select("node", "g", "anchor", "size", "p"), "restart")
+    links = materialise(pairs.join(pairs.groupBy("a").agg(F.count("*").alias("out")), "a"), "links")
+    state = base.withColumn("r", F.lit(1.0) / F.col("size"))
+    for _ in range(rounds):
+        flow = links.join(state.select(F.col("node").alias("a"), "anchor", "r"), "a").groupBy(F.col("b").alias("node"), "anchor").agg((alpha * F.sum(F.col("r") / F.col("out"))).alias("f"))
+        new = state.join(flow, ["node", "anchor"], "left").fillna(0.0, ["f"])
+        kept = new.groupBy("g", "anchor").agg(F.sum("f").alias("kept"))  # a row a graph and anchor
+        moved = new.join(kept, ["g", "anchor"]).withColumn("n", F.col("f") + (1 - F.col("kept")) * F.col("p"))
+        state = materialise(moved.select("node", "g", "anchor", "size", "p", F.col("n").alias("r"), F.abs(F.col("n") - F.col("r")).alias("moved")), "rank")
+        off = state.groupBy("g", "anchor").agg((F.sum("moved") / F.first("size")).alias("off")).agg(F.max("off")).first()[0]
+        state = state.drop("moved")
+        if off is None or off < tolerance:
+            return state.select("node", *(["anchor"] if seeds is not None else []), F.col("r").alias("rank"))
+    raise RuntimeError(f"ranks still move by {off} a node after {rounds} rounds")
+
+
+def strongest_anchor(nodes: DataFrame, ranks: DataFrame, order: list[str], other: str = "Other") -> DataFrame:
+    """(node, anchor): the anchor with the greatest rank, the earlier in `order` on ties; `other` for nodes that none reaches."""
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, i)])
+    best = ranks.where("rank > 0").groupBy("node").agg(F.max_by("anchor", F.struct("rank", -F.try_element_at(place, F.col("anchor")))).alias("anchor"))
+    return nodes.select("node").distinct().join(best, "node", "left").fillna(other, ["anchor"])
+
+
+def label_communities(pairs: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, community) by label propagation: a node takes the most frequent label around it, keeps its own if that is among them,
+    else the smallest. The halves of the nodes, by a new hash each round, take turns, so that labels don't swing; they end when
+    neither half moves. Labels that don't settle within `rounds` are an error."""
     pairs = materialise(pairs.where("a <> b"), "pairs")
     state = materialise(pairs.select(F.col("a").alias("node"), F.col("a").alias("l")).distinct(), "labels")
-    for _ in range(rounds):
+    for k in range(rounds):
         votes = pairs.join(state, pairs.b == state.node).groupBy("a", "l").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("a").alias("node")).agg(F.max_by("l", F.struct("n", -F.col("l"))).alias("l"))
-        state = materialise(best, "labels")
-    return state.withColumnRenamed("l", "community")
+        voted = votes.withColumnRenamed("a", "node").join(state.withColumnRenamed("l", "own"), "node")
+        best = voted.groupBy("node").agg(F.max_by("l", F.struct("n", (F.col("l") == F.col("own")).cast("int").alias("same"), (-F.col("l")).alias("least"))).alias("best"), F.first("own").alias("own"))
+        turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
+        nxt = materialise(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("l"), (F.col("best") != F.col("own")).alias("moves")), "labels")
+        still = nxt.where("moves").isEmpty()
+        state = nxt.select("node", "l")
+        if still:
+            return state.withColumnRenamed("l", "community")
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def reach(pairs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -116,49 +144,111 @@ def support_density(members: DataFrame, core: DataFrame, key: str, feature: str,
     return g.withColumn("density", F.round(density, 4)).withColumn("is_indicator", (F.col("support") >= s_min) & (density >= d_min))
 
 
-def lift(members: DataFrame, core: DataFrame, key: str, feature: str, least: int) -> DataFrame:
-    """Share of core members among the holders of a feature over the share among all."""
+def lift(members: DataFrame, core: DataFrame, key: str, feature: str, group: str, least: int) -> DataFrame:
+    """Per group and feature: share of core members among its holders over the share among all members of the group."""
     flag = core.select(key).distinct().withColumn("core", F.lit(1))
-    rows = members.select(key, feature).distinct().join(flag, key, "left").withColumn("core", F.coalesce("core", F.lit(0)))
-    base = rows.select(key, "core").distinct().agg(F.avg("core").alias("base"))
-    g = rows.groupBy(feature).agg(F.count("*").alias("has"), F.sum("core").alias("has_core")).where(F.col("has") >= least)
+    rows = members.select(group, key, feature).distinct().join(flag, key, "left").withColumn("core", F.coalesce("core", F.lit(0)))
+    base = rows.select(group, key, "core").distinct().groupBy(group).agg(F.avg("core").alias("base"))
+    g = rows.groupBy(group, feature).agg(F.count("*").alias("has"), F.sum("core").alias("has_core")).where(F.col("has") >= least)
     p = F.col("has_core") / F.col("has")
-    return g.crossJoin(F.broadcast(base)).select(feature, "has", "has_core", F.round(F.when(F.col("base") > 0, p / F.col("base")).otherwise(0.0), 4).alias("lift"))
+    return g.join(base, group).select(group, feature, "has", "has_core", F.round(F.when(F.col("base") > 0, p / F.col("base")).otherwise(0.0), 4).alias("lift"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, reps: int, seed: int = 12345) -> DataFrame:
-    """Percentile interval of the mean by the Poisson bootstrap: each row draws its weight in each replicate on its own, so no
-    replicate is ever assembled; partial sums per replicate are all that is shuffled."""
-    rows = df.select(F.col(value).cast("double").alias("v")).dropna()
+def best_features(lifts: DataFrame, group: str, feature: str, k: int) -> DataFrame:
+    """The k features of each group with the greatest lift, then support, then the smaller name."""
+    w = Window.partitionBy(group).orderBy(F.desc("lift"), F.desc("has"), feature)
+    return lifts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def likely_misses(members: DataFrame, core: DataFrame, top: DataFrame, key: str, feature: str, group: str, least: int = 2) -> DataFrame:
+    """(group, key, n): members outside the core that hold at least `least` of the best features of their group."""
+    held = members.select(group, key, feature).distinct().join(top.select(group, feature), [group, feature], "left_semi")
+    return held.join(core.select(key).distinct(), key, "left_anti").groupBy(group, key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def style_shares(nodes: DataFrame, clusters: DataFrame, style: Column, site: str, main: str) -> DataFrame:
+    """Per site: pages and those in a cluster that holds a style page of the main site; for the main site also its style pages and
+    how many of them are in no cluster of another site. nodes(node, site, ...), clusters(node, component)."""
+    n = nodes.join(clusters, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = n.groupBy("component").agg(F.max((style & (F.col(site) == main)).cast("int")).alias("styled"), F.count_distinct(site).alias("n_sites"))
+    n = n.join(per, "component")
+    own = style & (F.col(site) == main)
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return n.groupBy(site).agg(F.count("*").alias("n_pages"), count(F.col("styled") == 1).alias("n_styled"), count(own).alias("n_style"), count(own & (F.col("n_sites") == 1)).alias("n_only_here"))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+def cluster_fingerprints(pairs: DataFrame, clusters: DataFrame, nodes: DataFrame, site: str) -> DataFrame:
+    """(node, site, component, f): the clusters of at least two sites in which the neighbours of a node lie."""
+    c = nodes.join(clusters, "node", "left").select("node", site, F.coalesce("component", "node").alias("component"))
+    wide = c.groupBy("component").agg(F.count_distinct(site).alias("n")).where("n >= 2").select(F.col("component").alias("f"))
+    near = pairs.join(c.select(F.col("node").alias("b"), F.col("component").alias("f")), "b").join(wide, "f", "left_semi").select(F.col("a").alias("node"), "f").distinct()
+    return near.join(c, "node")
+
+
+def hidden_equivalents(prints: DataFrame, site: str, least: int = 6, threshold: float = 0.45) -> DataFrame:
+    """(a, b, jaccard) of nodes of different sites and clusters whose fingerprints agree by the threshold."""
+    found = shared_neighbours(prints, "node", "f", site, least, threshold)
+    own = prints.select("node", "component").distinct()
+    both = found.join(own.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(own.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    return both.where("ca <> cb").select("a", "b", "jaccard")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers well mixed (a published finaliser)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+#: Chances of at most 0, 1, ... events of a Poisson law of mean 1.
+_POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1), initial=1.0) for k in range(20)])
+
+
+def bootstrap_mean(df: DataFrame, value: str, key: str, reps: int, seed: int = 12345) -> DataFrame:
+    """Percentile interval of the mean by the Poisson bootstrap: each row draws its weight in each replicate from its key, so the
+    result doesn't depend on the layout and no replicate is ever assembled; partial sums per replicate are all that is shuffled.
+    Rows without a value are left out; keys should be unique."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.xxhash64(F.lit(seed), key).alias("k"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s, w = np.zeros(reps), np.zeros(reps)
-        for b in batches:
-            for v in b["v"].to_numpy():
-                k = rng.poisson(1.0, reps)
-                s += k * v
-                w += k
+        with np.errstate(over="ignore"):
+            steps = np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            for b in batches:
+                v, k = b["v"].to_numpy(), b["k"].to_numpy().astype(np.uint64)
+                for at in range(0, len(v), 2048):
+                    draw = _mixed(k[at : at + 2048, None] + steps[None, :]) / 2.0**64
+                    n = np.searchsorted(_POISSON, draw, "right")
+                    s += v[at : at + 2048] @ n
+                    w += n.sum(0)
         yield pd.DataFrame({"rep": np.arange(reps), "s": s, "w": w})
 
     reps_ = rows.mapInPandas(each, "rep int, s double, w double").groupBy("rep").agg((F.sum("s") / F.sum("w")).alias("m"))
     return reps_.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"), F.avg("m").alias("mean"))
 
 
-def permutation_test(df: DataFrame, group: str, value: str, flag: str, reps: int, seed: int = 12345) -> DataFrame:
-    """p = (1 + replicates with at least the observed flagged mean) / (reps + 1), values permuted within groups by random order."""
-    rows = df.select(group, value, flag).dropna()
-    order = Window.partitionBy(group, "rep").orderBy(F.xxhash64(F.lit(seed), "rep", "_id"))
-    fixed = Window.partitionBy(group, "rep").orderBy("_id")
-    base = rows.withColumn("_id", F.xxhash64(group, value, flag, F.monotonically_increasing_id())).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    base = materialise(base, "replicates")
-    vals = base.select(group, "rep", value, F.when(F.col("rep") == 0, F.row_number().over(fixed)).otherwise(F.row_number().over(order)).alias("k"))
-    flags = base.select(group, "rep", flag, F.row_number().over(fixed).alias("k"))
-    means = vals.join(flags, [group, "rep", "k"]).where(flag).groupBy("rep").agg(F.avg(value).alias("m"))
-    seen = means.where("rep = 0").select(F.col("m").alias("observed"))
-    return means.where("rep > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(((F.lit(1) + F.sum((F.col("m") >= F.col("observed")).cast("int"))) / (reps + 1)).alias("p"), F.avg("m").alias("null_mean"))
+def permutation_test(df: DataFrame, group: str, value: str, flag: str, key: str, reps: int, seed: int = 12345) -> DataFrame:
+    """p = (1 + replicates with at least the observed flagged mean) / (reps + 1): in each replicate as many values of a group are drawn
+    without return as are flagged in it.
+
+    The draw is the smallest hashes of key and replicate. A group's bound of the hash is found among those near it: by the law of
+    order statistics the bound of k of n lies within 12 deviations of k / n, so only that band is ranked, and what lies below is summed.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias("v"), F.col(flag).alias("f"), F.xxhash64(F.lit(seed), key).alias("h")).dropna()
+    rows = materialise(rows, "rows")
+    per = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col("f").cast("long")).alias("k"))
+    share = F.col("k") / F.col("n")
+    wide = 12 * F.sqrt(share * (1 - share) / F.col("n")) + 24 / F.col("n")
+    per = per.where("k > 0").select(group, "k", F.greatest(share - wide, F.lit(0.0)).alias("lo"), F.least(share + wide, F.lit(1.0)).alias("hi"))
+    drawn = rows.join(per, group).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("u", F.pmod(F.xxhash64("h", "rep"), F.lit(1 << 52)) / float(1 << 52)).where("u < hi")
+    below = drawn.where("u < lo").groupBy(group, "rep").agg(F.count("*").alias("c"), F.sum("v").alias("s"))
+    band = drawn.where("u >= lo").join(below.select(group, "rep", "c"), [group, "rep"], "left").withColumn("rank", F.row_number().over(Window.partitionBy(group, "rep").orderBy("u", "h")))
+    rest = band.where("rank <= k - coalesce(c, 0)").groupBy("rep").agg(F.sum("v").alias("s"))
+    sums = below.select("rep", "s").unionByName(rest).groupBy("rep").agg(F.sum("s").alias("s"))
+    seen = rows.where("f").agg(F.sum("v").alias("observed_sum"), F.count("*").alias("k"))
+    m = sums.crossJoin(F.broadcast(seen)).select((F.col("s") / F.col("k")).alias("m"), (F.col("observed_sum") / F.col("k")).alias("observed"))  # one row
+    return m.groupBy("observed").agg(((F.lit(1) + F.sum((F.col("m") >= F.col("observed")).cast("int"))) / (reps + 1)).alias("p"), F.avg("m").alias("null_mean"))
 
 
 def rewire(edges: DataFrame, group: str, src: str, dst: str, reps: int, seed: int = 12345) -> DataFrame:

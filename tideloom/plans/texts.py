@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tideloom.functions.text import page_title
 from tideloom.operators import drift as D
 from tideloom.operators import reshape as R
-from tideloom.session import materialise
 from tideloom.sources.tables import table as T
 
 Q, S = {}, {}
@@ -46,9 +45,8 @@ def _(s, d):
     return R.long_to_wide(_long(s, d), "actor_id", "ym", "n", _MONTHS)
 
 
-@reg("ag18_inverted", "SELECT wiki || ':' || from_page AS page, count(*) AS n, string_agg(to_title, ' | ' ORDER BY to_title) AS items FROM (SELECT DISTINCT wiki, from_page, to_title FROM link WHERE year = 2020 AND to_ns = 4 AND to_title IS NOT NULL AND from_page IS NOT NULL AND regexp_matches(to_title, '^[A-Za-z_]+$')) GROUP BY 1")
+@reg("ag18_inverted", "SELECT wiki || ':' || from_page AS page, count(*) AS n, string_agg(to_title, ' | ' ORDER BY to_title) AS items FROM (SELECT DISTINCT wiki, from_page, to_title FROM link WHERE to_title IS NOT NULL AND from_page IS NOT NULL AND wiki IS NOT NULL) GROUP BY 1")
 def _(s, d):
-    """Titles of all years and namespaces; the SQL states those of project pages in 2020 with ASCII letters only."""
     return R.invert(T(s, d, "link", "wiki", "from_page", "to_title").select("to_title", F.concat("wiki", F.lit(":"), F.col("from_page").cast("string")).alias("page")), "to_title", "page")
 
 
@@ -80,13 +78,12 @@ def _(s, d):
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9_]+')"
 
 
-@reg("tx01_word_changes", f"""WITH {_VERS}, x AS (SELECT doc_id, previous, regexp_replace(lower(text), '[^\\x00-\\x7f]', ' ', 'g') AS t, regexp_replace(lower(previous), '[^\\x00-\\x7f]', ' ', 'g') AS q FROM p),
-a AS (SELECT doc_id, w, count(*) AS a FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[a-z0-9_]+')) AS w FROM x) GROUP BY 1, 2), b AS (SELECT doc_id, w, count(*) AS b FROM (SELECT doc_id, unnest(regexp_extract_all(q, '[a-z0-9_]+')) AS w FROM x WHERE q IS NOT NULL) GROUP BY 1, 2),
+@reg("tx01_word_changes", f"""WITH {_VERS}, x AS (SELECT doc_id, previous, lower(text) AS t, lower(previous) AS q FROM p),
+a AS (SELECT doc_id, w, count(*) AS a FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\\pL\\pM\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+')) AS w FROM x) GROUP BY 1, 2), b AS (SELECT doc_id, w, count(*) AS b FROM (SELECT doc_id, unnest(regexp_extract_all(q, '[\\pL\\pM\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+')) AS w FROM x WHERE q IS NOT NULL) GROUP BY 1, 2),
 m AS (SELECT doc_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL JOIN b USING (doc_id, w)), g AS (SELECT doc_id, sum(a) AS n_words, sum(greatest(a - b, 0)) AS ad, sum(greatest(b - a, 0)) AS re, sum(a * b) AS dot, sum(a * a) AS aa, sum(b * b) AS bb FROM m GROUP BY 1)
 SELECT x.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, CASE WHEN previous IS NOT NULL THEN coalesce(ad, 0)::BIGINT END AS words_added, CASE WHEN previous IS NOT NULL THEN coalesce(re, 0)::BIGINT END AS words_removed,
 CASE WHEN previous IS NOT NULL THEN round(CASE WHEN aa > 0 AND bb > 0 THEN dot / sqrt(aa::DOUBLE * bb) ELSE 0 END, 4) END AS cosine FROM x LEFT JOIN g USING (doc_id)""")
 def _(s, d):
-    """Words of all scripts; the SQL, without Unicode classes, counts those of ASCII letters."""
     return D.word_changes(_versions(s, d), "text", "previous", ["doc_id"])
 
 
@@ -105,17 +102,14 @@ def _(s, d):
 _STOP = ["the", "and", "for", "from", "with", "was", "has"]
 
 
-@reg("tx04_best_overlap", f"""WITH w AS (SELECT DISTINCT cand_id, year || lower(split_part(title, ' ', 1)) AS g, unnest(list_filter(regexp_extract_all(lower(title), '[a-zà-ÿ0-9%]+'), lambda z: length(z) > 1 AND z NOT IN ({', '.join(repr(x) for x in _STOP)}))) AS w FROM candidate WHERE year >= 2020),
-v AS (SELECT DISTINCT work_id, year || lower(split_part(title, ' ', 1)) AS g, unnest(list_filter(regexp_extract_all(lower(title), '[a-zà-ÿ0-9%]+'), lambda z: length(z) > 1 AND z NOT IN ({', '.join(repr(x) for x in _STOP)}))) AS w FROM crossref_work WHERE year >= 2020),
-wn AS (SELECT *, count(*) OVER (PARTITION BY cand_id) AS n FROM w), vn AS (SELECT *, count(*) OVER (PARTITION BY work_id) AS n FROM v),
-c AS (SELECT g, cand_id, work_id, round(count(*) / least(min(wn.n), min(vn.n)), 4) AS overlap FROM wn JOIN vn USING (g, w) GROUP BY 1, 2, 3) SELECT g, cand_id, max_by(work_id, (overlap, -work_id)) AS work_id, max(overlap) AS overlap FROM c GROUP BY 1, 2""")
+_BAG = "list_distinct(list_filter(regexp_extract_all(lower(title), '[a-zà-ÿ0-9%]+'), lambda z: length(z) > 1 AND z NOT IN ({0})))".format(", ".join(repr(x) for x in _STOP))
+
+
+@reg("tx04_best_overlap", f"""WITH w AS (SELECT DISTINCT cand_id, len({_BAG}) AS n, unnest({_BAG}) AS w FROM candidate), v AS (SELECT DISTINCT work_id, len({_BAG}) AS n, unnest({_BAG}) AS w FROM crossref_work),
+c AS (SELECT cand_id, work_id, round(count(*) / least(min(w.n), min(v.n)), 4) AS overlap FROM w JOIN v USING (w) GROUP BY 1, 2) SELECT cand_id, max_by(work_id, (overlap, -work_id)) AS work_id, max(overlap) AS overlap FROM c GROUP BY 1""")
 def _(s, d):
-    """Over all years and titles; g only tells year and first word of the candidate, and the SQL states the pairs that agree in both since 2020."""
-    words = lambda name, key: T(s, d, name, key, "year", "title").dropDuplicates([key]).withColumn("w", D.content_words(F.col("title"), _STOP))
-    c = materialise(words("candidate", "cand_id"), "candidates")
-    m = D.best_overlap_of_all(c, words("crossref_work", "work_id"), "cand_id", "work_id", "w")
-    g = F.concat(F.col("year").cast("string"), F.lower(F.split_part("title", F.lit(" "), F.lit(1))))
-    return m.join(c.select("cand_id", g.alias("g")), "cand_id").select("g", "cand_id", "work_id", "overlap")
+    words = lambda name, key: T(s, d, name, key, "title").dropDuplicates([key]).withColumn("w", D.content_words(F.col("title"), _STOP))
+    return D.best_overlap_of_all(words("candidate", "cand_id"), words("crossref_work", "work_id"), "cand_id", "work_id", "w")
 
 
 @reg("w13_windows", "SELECT doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0), 250))::INTEGER AS start FROM documents WHERE text IS NOT NULL")
@@ -138,9 +132,8 @@ def _(s, d):
     return T(s, d, "edition_index", "edition_id", "edition").distinct().select("edition_id", F.substring(F.expr("trim(BOTH '_' FROM regexp_replace(edition, '[^A-Za-z0-9_]+', '_'))"), 1, 80).alias("slug"))
 
 
-@reg("f16_plain_wikitext", "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\[\\[(?:[^\\]|]*\\|)?([^\\]]*)\\]\\]', '\\1', 'g'), '''{2,}', '', 'g'), '(?m)^[=*:#]+ *| *=+$', '', 'g'), '[^A-Za-z]', '', 'g')) AS n FROM documents WHERE NOT contains(coalesce(text, ''), '{{') AND NOT contains(coalesce(text, ''), '<ref')")
+@reg("f16_plain_wikitext", "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)<ref[^>/]*>.*?</ref>|<ref[^>]*/>', '', 'g'), '\\{\\{[^{}]*\\}\\}', '', 'g'), '\\[\\[(?:[^\\]|]*\\|)?([^\\]]*)\\]\\]', '\\1', 'g'), '''{2,}', '', 'g'), '(?m)^[=*:#]+ *| *=+$', '', 'g'), '[^A-Za-z]', '', 'g')) AS n FROM documents")
 def _(s, d):
-    """All documents; the SQL states those without templates and references."""
     rows = T(s, d, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     return rows.select("doc_id", F.length(F.regexp_replace(D.strip_wikitext(F.col("text")), "[^A-Za-z]", "")).cast("long").alias("n"))
 
