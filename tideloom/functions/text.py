@@ -29,6 +29,24 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
+def last_wins(pairs: Column) -> Column:
+    """A map of an array of structs (k, v); of a name given twice the last holds."""
+    empty = F.expr("cast(map() as map<string,string>)")
+    return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p.k), F.create_map(p.k, p.v)))
+
+
+def normal_form(c: Column) -> Column:
+    """Compatibility form in lower case, white space single, soft hyphens and zero-width characters gone."""
+    t = F.regexp_replace(F.lower(nfkc(c)), r"(?U)\s+", " ")
+    return F.trim(F.regexp_replace(t, "[\u00ad\u200b\u200c\u200d\ufeff]", ""))
+
+
+def hard_form(c: Column) -> Column:
+    """normal_form with quotes and dashes of one kind, hyphenation undone, and nothing but letters a to z, digits and single blanks."""
+    t = F.translate(normal_form(c), "‘’“”–—", "''\"\"--")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"-\s+", ""), "[^a-z0-9 ]", " "), " +", " "))
+
+
 def page_title(c: Column) -> Column:
     """Title rules: drop the fragment, outer blanks and a leading colon, blanks to underscores, first letter upper-case."""
     t = nfc(c)

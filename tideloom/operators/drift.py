@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.text import hard_form, normal_form
+
 
 def tokens(c: Column) -> Column:
     """Words of the lower-case text; (?U) makes the classes hold for all scripts."""
@@ -27,15 +29,6 @@ def yearly_versions(df: DataFrame, series: list[str], ts: str, key: str, text: s
     return last.select(*series, "year", F.col(f"v.{key}").alias(key), F.col(f"v.{text}").alias(text), F.lag(f"v.{text}").over(w).alias("previous"), F.lag("year").over(w).alias("previous_year"))
 
 
-def _bag(c: Column) -> Column:
-    """Token counts as a map. Counting runs over the sorted tokens, so it needs no explode and no shuffle."""
-    t = F.array_sort(tokens(c))
-    # positions where a new token starts; counts are the distances between them
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: (F.size(t) > 0) & ((i == 0) | (F.get(t, i) != F.get(t, i - 1))))
-    ends = F.concat(F.slice(starts, 2, 1 << 30), F.array(F.size(t)))
-    return F.map_from_arrays(F.transform(starts, lambda i: F.get(t, i)), F.zip_with(ends, starts, lambda b, a: F.coalesce(b - a, F.lit(0))))
-
-
 def word_changes(df: DataFrame, text: str, previous: str, keys: list[str]) -> DataFrame:
     """Per row: words, words added and removed as multisets, cosine of the bags (0 if one is empty, null without a previous text)."""
     counts = df.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(text).alias("t")), F.struct(F.lit(1).alias("side"), F.col(previous).alias("t")))).alias("x")).select(*keys, "x.side", F.explode_outer(tokens(F.col("x.t"))).alias("w"))
@@ -147,17 +140,47 @@ def wikilinks(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\[\[([^\]|#]+)"), F.lit(1))
 
 
-def verify_passage(passage: Column, document: Column, hard_form) -> Column:
-    """Ladder of ever weaker matches: skipped, exact, normalized, hard, hard_head, not_found."""
-    flat = lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", " "))
-    p, d = hard_form(passage), hard_form(document)
+def verify_passage(passage: Column, document: Column) -> Column:
+    """Ladder of ever weaker matches: skipped (under 15 characters), exact but for case, normalized, hard, hard_partial (the first 80
+    characters of a longer hard form), not_found. A null document holds nothing."""
+    p, d = F.coalesce(passage, F.lit("")), F.coalesce(document, F.lit(""))
+    np, hp, hd = normal_form(p), hard_form(p), hard_form(d)
     return (
-        F.when(F.length(F.coalesce(passage, F.lit(""))) < 15, "skipped")
-        .when(F.contains(document, passage), "exact").when(F.contains(flat(document), flat(passage)), "normalized")
-        .when(F.contains(d, p), "hard").when(F.contains(d, F.substring(p, 1, 80)), "hard_head").otherwise("not_found")
+        F.when(F.length(F.trim(p)) < 15, "skipped").when(F.contains(F.lower(d), F.lower(p)), "exact").when((np != "") & F.contains(normal_form(d), np), "normalized")
+        .when((hp != "") & F.contains(hd, hp), "hard").when((F.length(hp) > 80) & F.contains(hd, F.substring(hp, 1, 80)), "hard_partial").otherwise("not_found")
     )
 
 
+def units(df: DataFrame, key: str, text: str, header: str) -> DataFrame:
+    """(key, unit_no, text, is_header): lines that match the pattern at their start are headers, others are cut after . ! ? or : and white space."""
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_l", "_t")).withColumn("_t", F.trim("_t")).where("_t <> ''")
+    head = F.col("_t").rlike("^(?:" + header + ")")
+    pieces = lines.select(key, "_l", head.alias("is_header"), F.posexplode(F.when(head, F.array("_t")).otherwise(F.split("_t", r"(?<=[.!?:])\s+"))).alias("_p", "text"))
+    order = Window.partitionBy(key).orderBy("_l", "_p")
+    return pieces.withColumn("text", F.trim("text")).where("text <> ''").select(key, F.row_number().over(order).alias("unit_no"), "text", "is_header")
+
+
+def coverage(best: DataFrame, units_: DataFrame, unit_id: str, floor: float = 0.34) -> DataFrame:
+    """(unit_id, n): how many statements have the unit as their best with at least the given overlap; 0 for the rest."""
+    hits = best.where(F.col("overlap") >= floor).groupBy(unit_id).agg(F.count("*").alias("n"))
+    return units_.select(unit_id).distinct().join(hits, unit_id, "left").fillna(0, ["n"])
+
+
+def inclusion(blocks: DataFrame, best: DataFrame, block_id: str, text: str, group: str, floor: float = 0.40) -> DataFrame:
+    """Per group: blocks, those whose best overlap reaches the floor, and their shares of blocks and characters in whole per cent."""
+    b = blocks.select(group, block_id, F.length(text).cast("long").alias("_n")).join(best.where(F.col("overlap") >= floor).select(block_id).distinct().withColumn("_in", F.lit(1)), block_id, "left").fillna(0, ["_in"])
+    g = b.groupBy(group).agg(F.count("*").alias("n_blocks"), F.sum("_in").alias("n_in"), F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_in")).alias("_got"))
+    percent = lambda a, b: F.when(F.col(b) > 0, F.floor(100 * F.col(a) / F.col(b))).otherwise(0)
+    return g.select(group, "n_blocks", "n_in", percent("n_in", "n_blocks").alias("block_percent"), percent("_got", "_all").alias("char_percent"))
+
+
+def keyword_windows(text: Column, query: list[str], width: int = 600, stride: int = 250) -> Column:
+    """Structs (start, score) of the windows that hold any of the words; the score is how many of them."""
+    score = lambda t: sum((F.when(F.contains(t, F.lit(w.lower())), 1).otherwise(0) for w in query), F.lit(0))
+    scored = F.transform(text_windows(text, width, stride), lambda x: F.struct(score(F.lower(x.text)).alias("score"), x.start.alias("start")))
+    return F.filter(scored, lambda x: x.score > 0)
+
+
 def lifespans(df: DataFrame, series: list[str], year: str, content: Column) -> DataFrame:
     """Versions of a text as runs of an unchanged hash with first and last year: the next version opens where the hash changes."""
     w = Window.partitionBy(*series).orderBy(year)

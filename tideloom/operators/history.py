@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.session import materialise
+
 
 def first_seen_volume(df: DataFrame, entity: str, ts: str) -> DataFrame:
     """Per month of first appearance: new entities and all their events. One shuffle by entity, one tiny one by month."""
@@ -87,6 +89,28 @@ def next_event(left: DataFrame, right: DataFrame, entity: str, left_id: str, lef
     return out.select(F.col("lid").alias(left_id), F.col("t").alias(left_t), F.col("hit.rid").alias(right_id), F.col("hit.t").alias(right_t))
 
 
+def first_outcome(left: DataFrame, first: DataFrame, second: DataFrame, entity: str, left_id: str, left_t: str, right_id: str, right_t: str, names: tuple[str, str, str] = ("closed", "stale", "open")) -> DataFrame:
+    """(left_id, left_t, right_id, right_t, outcome): the next event of `first`, whenever it is; only without one the next of `second`; else neither."""
+    a = next_event(left, first, entity, left_id, left_t, right_id, right_t)
+    b = next_event(left, second, entity, left_id, left_t, right_id, right_t).select(left_id, F.col(left_t).alias("_t"), F.struct(right_id, right_t).alias("_b"))
+    both = a.join(b, (a[left_id] == b[left_id]) & a[left_t].eqNullSafe(b["_t"]), "left").drop(b[left_id])
+    hit = F.when(F.col(right_t).isNotNull(), F.struct(right_id, right_t)).otherwise(F.col("_b"))
+    outcome = F.when(F.col(right_t).isNotNull(), names[0]).when(F.col(f"_b.{right_t}").isNotNull(), names[1]).otherwise(names[2])
+    return both.select(left_id, left_t, hit.alias("_h"), outcome.alias("outcome")).select(left_id, left_t, f"_h.{right_id}", f"_h.{right_t}", "outcome")
+
+
+def paced(df: DataFrame, host: str, at: str, delay: str, order: str) -> DataFrame:
+    """When each request of a host may go: not before it is wanted, nor sooner than the host's delay after the one before.
+
+    The k-th start is the greatest of wanted(j) + (k - j) * delay over j up to k, so a running maximum does it. One ordered pass
+    a host: its requests are one queue.
+    """
+    w = Window.partitionBy(host).orderBy(at, order)
+    k = F.row_number().over(w) - 1
+    shifted = df.withColumn("_k", k).withColumn("_x", F.col(at) - F.col("_k") * F.col(delay))
+    return shifted.withColumn("start", F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_k") * F.col(delay)).drop("_k", "_x")
+
+
 def in_windows(windows: DataFrame, events: DataFrame, window_id: str, entity: str, start: str, end: str, ts: str, cell: int = 30 * 86_400) -> DataFrame:
     """Windows (alias w) left-joined with the events (alias e) of their entity within them, both ends included; a null end is open.
 
@@ -131,8 +155,12 @@ def islands(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
     return run.groupBy(*keys, "run_no", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def quintile(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Bucket min(4, floor(rank * 5 / n)); unlike ntile the remainder goes to the last rows."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("quintile", F.least(F.lit(4), F.floor(rank * 5 / n)).cast("int"))
+def quintile(df: DataFrame, keys: list[str], order: list[Column], parts: int | None = None) -> DataFrame:
+    """Bucket min(4, floor(rank * 5 / n)); unlike ntile the remainder goes to the last rows. Rows are cut into ranges of the whole
+    order first, so a large group is ranked by many tasks; the sizes of (group, range) give the offsets."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = materialise(df.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = r.groupBy(*keys, "_p").agg(F.count("*").alias("_n"))
+    before = sizes.select(*keys, "_p", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"))
+    ranked = r.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)) - 1).join(before, [*keys, "_p"])
+    return ranked.withColumn("quintile", F.least(F.lit(4), F.floor((F.col("_before") + F.col("_r")) * 5 / F.col("_all"))).cast("int")).drop("_p", "_r", "_before", "_all")

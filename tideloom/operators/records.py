@@ -84,17 +84,54 @@ def precedence_merge(df: DataFrame, key: list[str], seq: str, value: str, state:
     return g.select(*key, kept.alias("m")).select(*key, f"m.{value}", f"m.{state}")
 
 
+def upsert_sections(old: DataFrame, new: DataFrame, key: str, text: str, seq: str, order: list[str]) -> DataFrame:
+    """(place, key, text) of a document of keyed sections: new texts replace old ones, sections in the given order of keys come first,
+    others after them as they stood, new ones of unknown keys last; rows of old without a key (the text before the first) stay on top."""
+    known = F.create_map(*[F.lit(x) for i, k in enumerate(order) for x in (k, i)])
+    top = old.where(F.col(key).isNull()).select(F.lit(-1).alias("_a"), F.col(seq).cast("long").alias("_b"), key, text)
+    o = old.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_old"), F.col(seq).cast("long").alias("_s"))
+    n = new.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_new"))
+    both = o.join(n, key, "full_outer").select(F.coalesce(F.try_element_at(known, F.col(key)), F.lit(len(order))).alias("_a"), F.coalesce("_s", F.lit((1 << 62))).alias("_b"), key, F.coalesce("_new", "_old").alias(text))
+    w = Window.orderBy("_a", "_b", key)  # the sections of one document
+    return top.unionByName(both).select(F.row_number().over(w).alias("place"), key, text)
+
+
+def templates(c: Column) -> Column:
+    """Distinct names of the templates a wikitext calls, in lower case with single blanks."""
+    names = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\{\{\s*([^{}|\n]+)"), F.lit(1))
+    return F.array_distinct(F.transform(names, lambda x: F.lower(F.regexp_replace(F.trim(x), "[ _]+", " "))))
+
+
+def all_labels(text: Column, keywords: dict[str, list[str]]) -> Column:
+    """Every label one of whose keywords occurs, in the order of the labels."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(low, w))
+    return F.array_compact(F.array(*[F.when(found(ws), F.lit(k)) for k, ws in keywords.items()]))
+
+
+def listing_events(df: DataFrame, comment: Column, by_bot: Column, bad: str) -> DataFrame:
+    """Adds action (open, close, other), target and flag (disqualified, human_close or blank) of listing comments; comments that tell nothing are left out."""
+    c = F.coalesce(comment, F.lit(""))
+    target = lambda word: F.nullif(F.regexp_extract(c, rf"(?i)^\s*{word}:\s*\[\[([^\]]+)\]\]", 1), F.lit(""))
+    added, removed, worse = target("Added"), target("Removed"), c.rlike(f"(?i){bad}") & ~by_bot
+    action = F.when(added.isNotNull(), "open").when(removed.isNotNull(), "close").when(worse, "other")
+    flag = F.when(added.isNotNull(), "").when(worse, "disqualified").when(by_bot, "").otherwise("human_close")
+    return df.select("*", action.alias("action"), F.coalesce(added, removed, F.lit("")).alias("target"), flag.alias("flag")).where("action IS NOT NULL")
+
+
 def tally(dimension: DataFrame, facts: DataFrame, key: str, counts: dict[str, Column]) -> DataFrame:
     """Counts per member of a dimension, members without facts included with zeros."""
     per = facts.groupBy(key).agg(*[F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in counts.items()])
     return dimension.join(per, key, "left").fillna(0, list(counts))
 
 
-def longest_match(df: DataFrame, value: str, table: DataFrame, fragment: str, result: str) -> DataFrame:
-    """The result of the longest fragment that occurs in the value. The table is a small settings list; its size decides the join."""
-    hit = df.join(table, F.contains(F.col(value), F.col(fragment)), "left")
-    cols = df.columns
-    return hit.groupBy(*cols).agg(F.max_by(result, F.struct(F.length(fragment), F.col(fragment))).alias(result))
+def longest_match(df: DataFrame, value: str, rules: list[tuple[str, object]], result: str) -> DataFrame:
+    """Adds the result of the longest fragment that occurs in the value, null if none does. The settings are a short list of the
+    program's own, so they stand in the expression and nothing is joined; equal lengths: the later in the alphabet."""
+    case = F.lit(None)
+    for fragment, x in sorted(rules, key=lambda r: (len(r[0]), r[0])):
+        case = F.when(F.contains(F.col(value), F.lit(fragment)), F.lit(x)).otherwise(case)
+    return df.withColumn(result, case)
 
 
 def salvage_json(c: Column, schema: str) -> Column:

@@ -39,6 +39,12 @@ def text_of_index(df: DataFrame, keys: list[str], word: str, places: str) -> Dat
     return ordered.select(*keys, F.array_join(F.transform("_s", lambda x: x["_w"]), " ").alias("text"))
 
 
+def flatten_claims(nested: DataFrame, flat: DataFrame, key: str, themes: str, claims: str) -> DataFrame:
+    """(key, theme, claim) of two layouts: themes(theme, claims) that hold lists, and claims(theme, claim) that are pairs."""
+    a = nested.select(key, F.explode(themes).alias("x")).select(key, "x.theme", F.explode("x.claims").alias("claim"))
+    return a.unionByName(flat.select(key, F.explode(claims).alias("x")).select(key, "x.theme", "x.claim"))
+
+
 def ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """Top rows with their rank. The limit comes first, so ranking is over `limit` rows only."""
     return df.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

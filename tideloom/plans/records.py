@@ -216,11 +216,18 @@ def _(s, d):
     return c.groupBy("cand_id").agg(F.coalesce(F.min("year"), F.min("wy")).alias("year"))
 
 
-@reg("j17_fallback_match", """WITH k AS (SELECT DISTINCT cand_id, lower(doi) AS d, lower(title) AS t FROM candidate), wd AS (SELECT lower(doi) AS d, min(work_id) AS w FROM crossref_work GROUP BY 1), wt AS (SELECT lower(title) AS t, min(work_id) AS w FROM crossref_work GROUP BY 1),
-m AS (SELECT k.cand_id, min(wd.w) AS a, min(wt.w) AS b FROM k LEFT JOIN wd USING (d) LEFT JOIN wt USING (t) GROUP BY 1) SELECT cand_id, coalesce(a, b) AS work_id, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 END::INTEGER AS via FROM m""")
+_DOI = "nullif(lower(trim(regexp_replace({0}, '(?i)^(https?://(dx\\.)?doi\\.[a-z.]*/|doi:\\s*)', ''))), '')"
+_LOC = "nullif(lower(regexp_replace(regexp_replace(trim({0}), '^https?://', ''), '/+$', '')), '')"
+
+
+@reg("j17_fallback_match", f"""WITH k AS (SELECT DISTINCT cand_id, doi AS a, {_DOI.format('doi')} AS b, {_LOC.format('url')} AS c FROM candidate), w AS (SELECT work_id, doi AS a, {_DOI.format('doi')} AS b, {_LOC.format('url')} AS c FROM crossref_work),
+wa AS (SELECT a, min(work_id) AS w FROM w GROUP BY 1), wb AS (SELECT b, min(work_id) AS w FROM w GROUP BY 1), wc AS (SELECT c, min(work_id) AS w FROM w GROUP BY 1), m AS (SELECT k.cand_id, min(wa.w) AS a, min(wb.w) AS b, min(wc.w) AS c FROM k LEFT JOIN wa USING (a) LEFT JOIN wb USING (b) LEFT JOIN wc USING (c) GROUP BY 1)
+SELECT cand_id, coalesce(a, b, c) AS work_id, CASE WHEN a IS NOT NULL THEN 0 WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 END::INTEGER AS via FROM m""")
 def _(s, d):
-    c, w = T(s, d, "candidate", "cand_id", "doi", "title"), T(s, d, "crossref_work", "work_id", "doi", "title")
-    return R.fallback_match(c, w, "cand_id", "work_id", [(F.lower("doi"), F.lower("doi")), (F.lower("title"), F.lower("title"))])
+    """The identifier as written, then normalised, then the address, else none."""
+    c, w = T(s, d, "candidate", "cand_id", "doi", "url"), T(s, d, "crossref_work", "work_id", "doi", "url")
+    doi, loc = F.expr(_DOI.format("doi").replace("\\", "\\\\")), F.expr(_LOC.format("url"))
+    return R.fallback_match(c, w, "cand_id", "work_id", [(F.col("doi"), F.col("doi")), (doi, doi), (loc, loc)])
 
 
 @reg("j18_split", "SELECT strategy, count(DISTINCT cand_id) FILTER (lower(doi) IN (SELECT lower(doi) FROM crossref_work)) AS n_known, count(DISTINCT cand_id) FILTER (doi IS NULL OR lower(doi) NOT IN (SELECT lower(doi) FROM crossref_work)) AS n_new FROM candidate GROUP BY 1")
@@ -230,19 +237,24 @@ def _(s, d):
     return c.groupBy("strategy").agg(F.count_distinct(F.when(F.col("hit"), F.col("cand_id"))).alias("n_known"), F.count_distinct(F.when(F.col("hit").isNull(), F.col("cand_id"))).alias("n_new"))
 
 
-@reg("j22_passages", "SELECT CASE WHEN length(coalesce(p, '')) < 15 THEN 'skipped' WHEN contains(t, p) THEN 'exact' WHEN contains(lower(regexp_replace(trim(t), '\\s+', ' ', 'g')), lower(regexp_replace(trim(p), '\\s+', ' ', 'g'))) THEN 'normalized' WHEN contains(regexp_replace(lower(t), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(p), '[^a-z0-9]+', '', 'g')) THEN 'hard' WHEN contains(regexp_replace(lower(t), '[^a-z0-9]+', '', 'g'), substr(regexp_replace(lower(p), '[^a-z0-9]+', '', 'g'), 1, 80)) THEN 'hard_head' ELSE 'not_found' END AS tier, count(*) AS n FROM (SELECT DISTINCT w.work_id, c.cand_id, c.title AS p, w.title AS t FROM candidate c JOIN crossref_work w ON lower(c.doi) = lower(w.doi)) GROUP BY 1")
+_NORM = "trim(regexp_replace(lower(replace({0}, chr(160), ' ')), '\\s+', ' ', 'g'))"
+_HARD = "trim(regexp_replace(regexp_replace(regexp_replace(translate({0}, '‘’“”–—', '""\"\"--'), '-\\s+', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))".replace('""', "''" * 2, 1)
+_TIER = f"""CASE WHEN length(trim(p)) < 15 THEN 'skipped' WHEN contains(lower(t), lower(p)) THEN 'exact' WHEN np <> '' AND contains(nt, np) THEN 'normalized' WHEN hp <> '' AND contains(ht, hp) THEN 'hard' WHEN length(hp) > 80 AND contains(ht, substr(hp, 1, 80)) THEN 'hard_partial' ELSE 'not_found' END"""
+
+
+@reg("j22_passages", f"""WITH r AS (SELECT DISTINCT w.work_id, c.cand_id, coalesce(c.title, '') AS p, coalesce(w.title, '') AS t FROM candidate c JOIN crossref_work w ON lower(c.doi) = lower(w.doi)), n AS (SELECT *, {_NORM.format('p')} AS np, {_NORM.format('t')} AS nt FROM r), h AS (SELECT *, {_HARD.format('np')} AS hp, {_HARD.format('nt')} AS ht FROM n)
+SELECT {_TIER} AS tier, count(*) AS n FROM h GROUP BY 1""")
 def _(s, d):
     c = T(s, d, "candidate", "cand_id", "doi", "title").select("cand_id", F.lower("doi").alias("k"), F.col("title").alias("p"))
     w = T(s, d, "crossref_work", "work_id", "doi", "title").select("work_id", F.lower("doi").alias("k"), F.col("title").alias("t"))
     rows = c.join(w, "k").select("work_id", "cand_id", "p", "t").distinct()
-    hard = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
-    return rows.groupBy(D.verify_passage(F.col("p"), F.col("t"), hard).alias("tier")).agg(F.count("*").alias("n"))
+    return rows.groupBy(D.verify_passage(F.col("p"), F.col("t")).alias("tier")).agg(F.count("*").alias("n"))
 
 
 @reg("j24_longest_fragment", "WITH r(fragment, delay) AS (VALUES ('example.org', 1), ('repo7.example.org', 5), ('papers.', 3)), c AS (SELECT DISTINCT url FROM candidate WHERE url <> '') SELECT c.url, max_by(r.delay, (length(r.fragment), r.fragment)) AS delay FROM c LEFT JOIN r ON contains(c.url, r.fragment) GROUP BY 1")
 def _(s, d):
-    r = s.createDataFrame([("example.org", 1), ("repo7.example.org", 5), ("papers.", 3)], "fragment string, delay int")
-    return R.longest_match(T(s, d, "candidate", "url").where("url <> ''").distinct(), "url", r, "fragment", "delay")
+    rules = [("example.org", 1), ("repo7.example.org", 5), ("papers.", 3)]
+    return R.longest_match(T(s, d, "candidate", "url").where("url <> ''").distinct(), "url", rules, "delay")
 
 
 @reg("j25_zero_rows", "WITH k(source_type) AS (VALUES ('mailing_list'), ('news'), ('podcast')), f AS (SELECT DISTINCT fig_id, source_type, verified, needs_review FROM wikimania_2017) SELECT k.source_type, count(*) FILTER (verified) AS n_verified, count(*) FILTER (needs_review) AS n_review FROM k LEFT JOIN f USING (source_type) GROUP BY 1")
@@ -272,13 +284,6 @@ def _(s, d):
     return T(s, d, "candidate", "cand_id", "doi", "url").select("cand_id", ident.alias("ident")).distinct()
 
 
-@reg("f24_citekeys", "SELECT DISTINCT work_id, lower(regexp_replace(authors[1].family, '[^A-Za-z]', '', 'g')) || year || lower(regexp_extract(title, '([A-Za-z]{4,})', 1)) AS citekey FROM crossref_work WHERE len(authors) > 0 AND year IS NOT NULL")
-def _(s, d):
-    w = T(s, d, "crossref_work", "work_id", "title", "authors", "year").where("size(authors) > 0 AND year IS NOT NULL")
-    key = F.concat(F.lower(F.regexp_replace(F.col("authors")[0]["family"], "[^A-Za-z]", "")), F.col("year").cast("string"), F.lower(F.regexp_extract("title", "([A-Za-z]{4,})", 1)))
-    return w.select("work_id", key.alias("citekey")).distinct()
-
-
 @reg("sk10_citations", "SELECT DISTINCT work_id, array_to_string(list_transform(authors, lambda a: a.family || ', ' || a.given), ' and ') || '. ' || title || '. ' || coalesce(journal, '') || coalesce(' (' || year || ')', '') AS citation FROM crossref_work")
 def _(s, d):
     w = T(s, d, "crossref_work", "work_id", "title", "authors", "year", "journal")

@@ -45,7 +45,12 @@ def _drain_whole(stream, what):
 
 @reg("in01_backfill", "SELECT event_id, user_id, event_type FROM events WHERE value > 50")
 def _(s, d):
-    return _drain(_stream(s, d, "events").where("value > 50").select("event_id", "user_id", "event_type"), "backfill")
+    """Run twice: the second run finds all files taken."""
+    out, log = scratch_path(s, "backfill"), scratch_path(s, "backfill-log")
+    keep = lambda df: df.where("value > 50").select("event_id", "user_id", "event_type")
+    for _ in range(2):
+        E.backfill(s, f"{d.rstrip('/')}/events.parquet*", T(s, d, "events").schema, out, log, keep)
+    return s.read.schema("event_id bigint, user_id bigint, event_type string").parquet(out)
 
 
 @reg("in02_first_deliveries", "SELECT DISTINCT event_id FROM events")
@@ -54,7 +59,7 @@ def _(s, d):
     return _drain(E.first_deliveries(rows, ["event_id"], "ts", "60 days").select("event_id"), "first-deliveries")
 
 
-@reg("in04_windowed_counts")
+@reg("sw01_windowed_counts")
 def _(s, d):
     rows = _stream(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     return _drain_whole(E.windowed_counts(rows, "ts", "event_type", "1 day"), "windowed-counts")

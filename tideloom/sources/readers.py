@@ -10,9 +10,10 @@ from itertools import chain
 
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideloom.functions.text import last_wins
 from tideloom.operators.reshape import unpack_counts
 
 
@@ -36,19 +37,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def _last_wins(pairs: Column) -> Column:
-    """A map of structs (k, v); of a name given twice the last holds."""
-    empty = F.expr("cast(map() as map<string,string>)")
-    return F.aggregate(pairs, empty, lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p.k), F.create_map(p.k, p.v)))
-
-
 def read_blocks(spark: SparkSession, path: str, key: str = "citekey", newline: str = "\n") -> DataFrame:
     """Blocks of `name: value` lines between lines of `---` as maps; blocks without the key are notes and are skipped. Dashes inside
     a line cut nothing."""
     blocks = spark.read.option("lineSep", f"{newline}---{newline}").text(path)
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"^\s*[A-Za-z_]+\s*:"))
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^\s*([A-Za-z_]+)\s*:", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("v")))
-    return blocks.select(_last_wins(pairs).alias("fields")).where(F.coalesce(F.try_element_at("fields", F.lit(key)), F.lit("")) != "")
+    return blocks.select(last_wins(pairs).alias("fields")).where(F.coalesce(F.try_element_at("fields", F.lit(key)), F.lit("")) != "")
 
 
 def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +53,7 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
     entry = whole.select(F.explode(F.split("value", r"(?m)^(?=\s*@\w+\s*\{)")).alias("e")).where(F.col("e").rlike(r"^\s*@\w+\s*\{"))
     found = F.regexp_extract_all("e", F.lit(r'(?s)(\w+)\s*=\s*(\{(?:[^{}]|\{[^{}]*\})*\}|"[^"]*"|\d+)'), F.lit(0))
     pairs = F.transform(found, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^(\w+)", 1)).alias("k"), F.regexp_replace(F.regexp_replace(x, r'(?s)^\w+\s*=\s*[{"]?', ""), r'(?s)[}"]?$', "").alias("v")))
-    return entry.select(F.lower(F.regexp_extract("e", r"@(\w+)", 1)).alias("kind"), F.trim(F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1)).alias("citekey"), _last_wins(pairs).alias("fields"))
+    return entry.select(F.lower(F.regexp_extract("e", r"@(\w+)", 1)).alias("kind"), F.trim(F.regexp_extract("e", r"@\w+\s*\{\s*([^,\s]+)", 1)).alias("citekey"), last_wins(pairs).alias("fields"))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -185,7 +180,7 @@ def read_header_rows(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("a"))
     both = rows.select(F.explode(F.slice("a", 2, 1 << 30)).alias("r"), F.col("a")[0].alias("h"))
     pairs = F.zip_with(F.slice("h", F.lit(1), F.least(F.size("h"), F.size("r"))), F.slice("r", F.lit(1), F.least(F.size("h"), F.size("r"))), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    return both.select(_last_wins(F.filter(pairs, lambda x: x.k.isNotNull())).alias("fields"))
+    return both.select(last_wins(F.filter(pairs, lambda x: x.k.isNotNull())).alias("fields"))
 
 
 def read_database(spark: SparkSession, url: str, table: str, column: str, bounds: tuple[int, int], partitions: int, **options: str) -> DataFrame:
