@@ -5,8 +5,9 @@ weights), hashed to 2^18 features. Landmark paragraphs span the Nystroem approxi
 one-versus-rest kernel ridge regression is solved in that space. As the kernel is linear in n-gram presence, the dual
 coefficients of the landmarks are folded into one feature-by-language matrix once; batches of paragraphs are then scored
 by one product of their sparse presence matrix with it.
-The model is fitted on a bounded sample of labelled documents (SAMPLE per language), twice: after the first fit, paragraphs
-whose label the model contradicts are dropped, since labels may be wrong. Everything else covers all rows and whole texts.
+The model is fitted on a bounded sample of labelled documents (SAMPLE per language), twice. Labels may be wrong, so two halves
+of the sample judge each other some rounds first: paragraphs whose label the other half contradicts are dropped, and a label that fails on
+most of its own paragraphs is no language. No language is left out for being rare. Everything else covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -18,28 +19,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: labelled documents a language, paragraphs a language, landmarks a language; least labelled documents for a language to be learned.
-SAMPLE, PARAGRAPHS, LANDMARKS, LEAST = 400, 400, 40, 8
+#: Bounds of the fit: labelled documents a language, paragraphs a language and characters a paragraph, landmarks a language.
+SAMPLE, PARAGRAPHS, LENGTH, LANDMARKS = 400, 400, 4000, 40
+#: Rounds in which the halves of the sample judge each other.
+ROUNDS = 3
 BITS, RIDGE = 18, 1e-2
 MASK = (1 << BITS) - 1
 SLICE = 1 << 21
 
-# ISO 639-1 code, ISO 639-2 codes, English and own names.
+# Names and codes that the platform's own table lacks (bibliographic codes, spellings without accents).
 NAMES = {
-    "en": "eng english englisch anglais inglés", "de": "deu ger german deutsch", "fr": "fra fre french français francais", "es": "spa spanish español espanol castellano castilian",
-    "nl": "nld dut dutch nederlands flemish", "pt": "por portuguese português portugues", "it": "ita italian italiano", "sv": "swe swedish svenska", "ru": "rus russian русский",
-    "da": "dan danish dansk", "pl": "pol polish polski", "no": "nor norwegian norsk", "nb": "nob bokmål", "nn": "nno nynorsk", "fi": "fin finnish suomi", "cs": "ces cze czech čeština",
-    "uk": "ukr ukrainian українська", "hu": "hun hungarian magyar", "ro": "ron rum romanian română", "tr": "tur turkish türkçe", "ca": "cat catalan català", "el": "ell gre greek ελληνικά",
-    "ja": "jpn japanese 日本語", "zh": "zho chi chinese 中文", "ko": "kor korean 한국어", "ar": "ara arabic العربية", "he": "heb hebrew עברית",
+    "de": "ger", "fr": "fre francais", "es": "espanol castellano castilian", "nl": "dut flemish", "pt": "portugues", "cs": "cze", "ro": "rum", "el": "gre", "zh": "chi", "nb": "bokmål", "sv": "swe", "no": "nor norwegian norsk",
 }
-_CODES = {name: code for code, names in NAMES.items() for name in (code, *names.split())}
 
 
-def label_code(lang: F.Column) -> F.Column:
+def codes_of_names(spark) -> dict[str, str]:
+    """ISO 639-1 code of every code and name a language has: in English, in itself, in German and in French. From the platform's table of about 190 languages."""
+    locale = spark._jvm.java.util.Locale
+    out = {}
+    spoken = [locale.ENGLISH, locale.GERMAN, locale.FRENCH]
+    for code in locale.getISOLanguages():
+        one = locale.forLanguageTag(code)
+        if one.getLanguage() == code:
+            names = [one.getISO3Language(), one.getDisplayLanguage(one), *[one.getDisplayLanguage(x) for x in spoken]]
+            for name in (code, *(n.lower() for n in names)):
+                out.setdefault(name, code)
+    for code, names in NAMES.items():
+        out.update(dict.fromkeys(names.split(), code))
+    return out
+
+
+def label_code(lang: F.Column, names: dict[str, str]) -> F.Column:
     """ISO 639-1 code that a label names in any usual notation, else null. Regions and scripts after the code don't count."""
     plain = F.lower(F.trim(lang))
     head = F.regexp_replace(plain, r"^([a-z]{2,3})[-_].*$", "$1")
-    codes = F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])
+    codes = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.try_element_at(codes, head)
 
 
@@ -112,78 +126,95 @@ def scores(b: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> tuple[np.n
     return total / np.sqrt(np.maximum(size, 1))[:, None], size
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7) -> tuple[np.ndarray, list[str]]:
-    """(feature x language matrix, language codes) by Nystroem landmarks and one-versus-rest kernel ridge regression."""
+def _kernel_fit(rows: list[np.ndarray], y: np.ndarray, used: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """(feature x language) weights from the rows `used`: Nystroem landmarks of each language, then one-versus-rest ridge regression."""
+    marks = np.concatenate([rng.permutation(used[y[used] == k])[:LANDMARKS] for k in range(n)])
+    # only features that occur in landmarks enter the kernel; rows pass in blocks
+    columns, inverse = np.unique(np.concatenate([rows[i] for i in marks]), return_inverse=True)
+    dense = np.zeros((len(marks), len(columns)), np.float32)
+    place = np.repeat(np.arange(len(marks)), [len(rows[i]) for i in marks])
+    dense[place, inverse] = 1 / np.sqrt(np.array([max(1, len(rows[i])) for i in marks], np.float32))[place]
+    where = np.full(MASK + 1, -1, np.int64)
+    where[columns] = np.arange(len(columns))
+
+    def kernel(some: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(some), len(marks)))
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256]
+            x = np.zeros((len(part), len(columns)), np.float32)
+            for r, i in enumerate(part):
+                hit = where[rows[i]]
+                x[r, hit[hit >= 0]] = 1 / np.sqrt(max(1, len(rows[i])))
+            out[at : at + len(part)] = x @ dense.T
+        return out
+
+    knm, kmm = kernel(used), kernel(marks)
+    val, vec = np.linalg.eigh((kmm + kmm.T) / 2)
+    good = val > 1e-6
+    root = vec[:, good] / np.sqrt(val[good])
+    phi = knm @ root
+    target = np.where(y[used][:, None] == np.arange(n), 1.0, -1.0)
+    balance = np.sqrt(1 / np.bincount(y[used], minlength=n).clip(1))[y[used]][:, None]
+    a = phi * balance
+    w = np.linalg.solve(a.T @ a + RIDGE / n * np.eye(phi.shape[1]), a.T @ (target * balance))
+    weights = np.zeros((MASK + 1, n), np.float32)
+    weights[columns] = dense.T @ (root @ w).astype(np.float32)
+    return weights
+
+
+def fit(texts: list[str], labels: list[str], docs: list[int] | None = None, seed: int = 7) -> tuple[np.ndarray, list[str]]:
+    """(feature x language matrix, language codes). docs tells which texts are of one document, each on its own if absent."""
     rng = np.random.default_rng(seed)
     codes = sorted(set(labels))
     y = np.array([codes.index(x) for x in labels])
-    raw = [t.encode() for t in texts]
+    docs_ = np.arange(len(texts)) if docs is None else np.unique(np.array(docs), return_inverse=True)[1]
+    raw = [t.encode("utf-8", "replace") for t in texts]
     b, starts = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])[:-1]
     ids, firsts = presence(b, starts)
     rows = [ids[firsts[i] : firsts[i + 1]] for i in range(len(raw))]
-    keep = np.ones(len(raw), bool)
-    for round_ in range(2):
-        marks = np.concatenate([rng.permutation(np.flatnonzero(keep & (y == k)))[:LANDMARKS] for k in range(len(codes))])
-        used = np.flatnonzero(keep)
-        # only features that occur in landmarks enter the kernel; documents pass in blocks of rows
-        columns, inverse = np.unique(np.concatenate([rows[i] for i in marks]), return_inverse=True)
-        dense = np.zeros((len(marks), len(columns)), np.float32)
-        place = np.repeat(np.arange(len(marks)), [len(rows[i]) for i in marks])
-        dense[place, inverse] = 1 / np.sqrt(np.array([max(1, len(rows[i])) for i in marks], np.float32))[place]
-        where = np.full(MASK + 1, -1, np.int64)
-        where[columns] = np.arange(len(columns))
-
-        def kernel(some: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(some), len(marks)))
-            for at in range(0, len(some), 256):
-                part = some[at : at + 256]
-                x = np.zeros((len(part), len(columns)), np.float32)
-                for r, i in enumerate(part):
-                    hit = where[rows[i]]
-                    x[r, hit[hit >= 0]] = 1 / np.sqrt(max(1, len(rows[i])))
-                out[at : at + len(part)] = x @ dense.T
-            return out
-
-        knm, kmm = kernel(used), kernel(marks)
-        val, vec = np.linalg.eigh((kmm + kmm.T) / 2)
-        good = val > 1e-6
-        root = vec[:, good] / np.sqrt(val[good])
-        phi = knm @ root
-        target = np.where(y[used][:, None] == np.arange(len(codes)), 1.0, -1.0)
-        balance = np.sqrt(1 / np.bincount(y[used], minlength=len(codes)).clip(1))[y[used]][:, None]
-        a = phi * balance
-        w = np.linalg.solve(a.T @ a + RIDGE / len(codes) * np.eye(phi.shape[1]), a.T @ (target * balance))
-        weights = np.zeros((MASK + 1, len(codes)), np.float32)
-        weights[columns] = dense.T @ (root @ w).astype(np.float32)
-        if not round_:
-            guess = np.array([(weights[r].sum(0)).argmax() for r in rows])
-            keep = guess == y
-            if any(not (keep & (y == k)).any() for k in range(len(codes))):
-                keep[:] = True
-    return weights, codes
-
-
-def training_sample(df: DataFrame) -> tuple[list[str], list[str]]:
-    """Paragraphs of at most SAMPLE labelled documents a language, picked by hash; at most PARAGRAPHS of them a language are used."""
-    labelled = df.select("doc_id", label_code(F.col("lang")).alias("code")).where("code IS NOT NULL")
-    counts = {r.code: r.n for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect() if r.n >= LEAST}  # a row per known language
+    # halves of the documents of each language, or of the paragraphs where there is one document only
+    half = np.zeros(len(rows), int)
+    for k in range(len(codes)):
+        own = np.flatnonzero(y == k)
+        many = np.unique(docs_[own])
+        half[own] = np.searchsorted(many, docs_[own]) % 2 if len(many) > 1 else np.arange(len(own)) % 2
+    keep = np.ones(len(rows), bool)
+    for _ in range(ROUNDS if len(codes) > 1 else 0):
+        agreed = keep.copy()
+        for side in (0, 1):
+            train, held = np.flatnonzero((half == side) & keep), np.flatnonzero(half != side)
+            have = np.unique(y[train])
+            if len(have):
+                w = _kernel_fit(rows, np.searchsorted(have, y), train, len(have), rng)
+                agreed[held] = [have[w[rows[i]].sum(0).argmax()] == y[i] for i in held]
+        keep = agreed
+    sound = [k for k in range(len(codes)) if keep[y == k].mean() >= 0.5]
+    if sound:
+        keep &= np.isin(y, sound)
+        codes, y = [codes[k] for k in sound], np.searchsorted(sound, y)
+    else:  # nothing agrees: all labels stand
+        keep[:] = True
+    return _kernel_fit(rows, y, np.flatnonzero(keep), len(codes), rng), codes
+
+
+def training_sample(df: DataFrame, names: dict[str, str]) -> tuple[list[str], list[str], list[int]]:
+    """(paragraphs, codes, documents): of at most SAMPLE labelled documents a language, drawn by hash, at most PARAGRAPHS a language,
+    drawn by hash, each of at most LENGTH characters. They are cut where the texts are, so what the driver gets is bounded."""
+    labelled = df.where("doc_id IS NOT NULL").select("doc_id", label_code(F.col("lang"), names).alias("code")).where("code IS NOT NULL")
+    counts = {r.code: r.n for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
-        return [], []
+        return [], [], []
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 1.5 * SAMPLE / n))])
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = labelled.where(draw < F.try_element_at(share, F.col("code"))).withColumn("draw", draw)
+    picked = labelled.where(draw < F.try_element_at(share, F.col("code"))).distinct().withColumn("draw", draw)
     best = picked.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("draw", "doc_id"))).where(F.col("rank") <= SAMPLE)
     ids = {r.doc_id: r.code for r in best.select("doc_id", "code").collect()}  # at most SAMPLE a language
-    rows = df.where(F.col("doc_id").isin(list(ids))).select("doc_id", "text").collect()
-    texts, labels, used = [], [], {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        code = ids[r.doc_id]
-        for p in (r.text or "").split("\n\n"):
-            if len(p) >= 30 and used.get(code, 0) < PARAGRAPHS:
-                used[code] = used.get(code, 0) + 1
-                texts.append(p)
-                labels.append(code)
-    return texts, labels
+    chosen = df.where(F.col("doc_id").isin(list(ids))).select("doc_id", F.explode(F.split(F.lower("text"), "\n\n")).alias("p")).where(F.length("p") >= 30)
+    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("p", 1, LENGTH).alias("p")).distinct()
+    code = F.try_element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col("doc_id"))
+    w = Window.partitionBy("code").orderBy(F.xxhash64("p", "doc_id"), "p", "doc_id")
+    rows = chosen.withColumn("code", code).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= PARAGRAPHS).orderBy("code", "rank").collect()
+    return [r.p for r in rows], [r.code for r in rows], [r.doc_id for r in rows]
 
 
 def _decide(score: np.ndarray, size: np.ndarray, owner: np.ndarray, n: int) -> tuple:
@@ -198,16 +229,16 @@ def _decide(score: np.ndarray, size: np.ndarray, owner: np.ndarray, n: int) -> t
     return lang, 1 / (1 + np.exp(-6 * margin)), doc
 
 
-def identify(df: DataFrame, weights: np.ndarray, codes: list[str]) -> DataFrame:
-    """(doc_id, seg_no, lang, confidence, label): seg_no 0 for a text in one language, paragraphs from 1 for a mixed one."""
+def identify(df: DataFrame, weights: np.ndarray, codes: list[str], names: dict[str, str]) -> DataFrame:
+    """(doc_id, seg_no, lang, confidence, label, row): seg_no 0 for a text in one language, paragraphs from 1 for a mixed one; row tells rows of one id apart."""
     spark = df.sparkSession
-    model = spark.sparkContext.broadcast((weights, codes))  # 2^18 features by at most as many languages as NAMES has
+    model = spark.sparkContext.broadcast((weights, codes))  # 2^18 features by the languages learned, of which the table has some 190
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, names = model.value
-        lookup = np.array(names, object)
+        w, known = model.value
+        lookup = np.array(known, object)
         for batch in batches:
-            ids, labels = batch.column("doc_id"), batch.column("label")
+            ids, labels, row = batch.column("doc_id"), batch.column("label"), batch.column("row")
             col = batch.column("text")
             col = pa.array(col.to_pylist(), pa.string()) if col.null_count or not pa.types.is_string(col.type) else col
             col = col.fill_null("") if col.null_count else col
@@ -239,26 +270,28 @@ def identify(df: DataFrame, weights: np.ndarray, codes: list[str]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(docs + at)), pa.array(np.r_[np.zeros(len(one), np.int32), seg[par].astype(np.int32)], pa.int32()), pa.array(lookup[np.r_[lo[one], said[par]]].tolist(), pa.string()),
-                            pa.array(np.round(np.r_[conf[one], sure[par]], 4), pa.float64()), labels.take(pa.array(docs + at)),
+                            pa.array(np.round(np.r_[conf[one], sure[par]], 4), pa.float64()), labels.take(pa.array(docs + at)), row.take(pa.array(docs + at)),
                         ],
-                        ["doc_id", "seg_no", "lang", "confidence", "label"],
+                        ["doc_id", "seg_no", "lang", "confidence", "label", "row"],
                     )
                 at = end
 
-    rows = df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), label_code(F.col("lang")).alias("label"))
-    return rows.mapInArrow(each, "doc_id bigint, seg_no int, lang string, confidence double, label string")
+    rows = df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), label_code(F.col("lang"), names).alias("label"), F.xxhash64("text", "lang").alias("row"))
+    return rows.mapInArrow(each, "doc_id bigint, seg_no int, lang string, confidence double, label string, row bigint")
 
 
 def language_segments(df: DataFrame) -> DataFrame:
     """(doc_id, seg_no, lang, confidence, label) of every document with words; label is the delivered one as a code, null if it names none.
 
-    Repeated rows count once. Null texts and texts without letters give no row; without any usable label no language can be
+    Repeated rows count once; of rows with one id and other contents one whole row holds. Null texts and texts without letters give no row; without any usable label no language can be
     learned and the result is empty. A paragraph too short or too even to tell follows its document.
     """
-    texts, labels = training_sample(df)
+    names = codes_of_names(df.sparkSession)
+    texts, labels, docs = training_sample(df, names)
     if not texts:
         return df.sparkSession.createDataFrame([], "doc_id bigint, seg_no int, lang string, confidence double, label string")
-    return identify(df, *fit(texts, labels)).dropDuplicates(["doc_id", "seg_no"])
+    found = identify(df, *fit(texts, labels, docs), names).dropDuplicates(["doc_id", "seg_no", "row"])
+    return found.withColumn("least", F.min("row").over(Window.partitionBy("doc_id"))).where("row = least").drop("row", "least")
 
 
 def wrong_labels(segments: DataFrame) -> DataFrame:
