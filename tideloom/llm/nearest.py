@@ -3,31 +3,30 @@
 Right-side times become nearest-neighbour intervals: from the midpoint with the previous time to the midpoint with the
 next, cut at the tolerance. The intervals of an entity are disjoint, so a left time lies in one at most. Both sides are
 partitioned by (entity, time cell); an interval enters the index of every cell it touches, and within a cell one ordered
-pass finds the last interval that starts at or before each left time. Entities that hold more than a 1/HOT_SHARE of all
-rows get cells narrower by a power of two, so that no cell stands for a large share of the data; at most HOT_SHARE entities
-can be hot, which bounds the list of them.
+pass finds the last interval that starts at or before each left time. Cells that hold more than a 1/HOT_SHARE of all rows are
+cut into equal parts by a power of two; at most HOT_SHARE cells can be so full, which bounds the list of them. As intervals
+are disjoint, they enter no more parts than there are intervals and parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-HOT_SHARE = 500
+#: A cell of more rows than HOT_LEAST and a 1/HOT_SHARE of all is cut, into 2^MOST parts at most (a cell of 60 days into less than five seconds).
+HOT_SHARE, HOT_LEAST, MOST = 500, 100_000, 20
 
 
-def _hot(left: DataFrame, right: DataFrame, cell: int) -> dict:
-    """Power of two by which the cells of an entity are narrowed; at most HOT_SHARE entries."""
-    both = left.select("e", "t").unionByName(right.select("e", "t"))
-    stats = both.groupBy("e").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
-    total = stats.agg(F.sum("n")).first()[0] or 0
-    hot = stats.where(F.col("n") > F.greatest(F.lit(100_000), F.lit(total / HOT_SHARE))).limit(HOT_SHARE).collect()
-    most = max(100_000, total / HOT_SHARE)
-    out = {}
-    for r in hot:
-        per_cell = r.n / max(1, (r.b - r.a) // cell + 1)
-        out[r.e] = min(20, max(0, int(per_cell / most).bit_length()))
-    return {e: k for e, k in out.items() if k}
+def _hot(both: DataFrame, width: int) -> DataFrame:
+    """(e, c, parts) of the overfull cells, a table of at most HOT_SHARE rows."""
+    cells = both.groupBy("e", F.floor(F.col("t") / width).alias("c")).agg(F.count("*").alias("n"))
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_LEAST, total / HOT_SHARE)
+    full = cells.where(F.col("n") > most).limit(HOT_SHARE).collect()
+    rows = [(r.e, r.c, 1 << min(MOST, int(r.n / most).bit_length())) for r in full]
+    schema = T.StructType([cells.schema["e"], T.StructField("c", T.LongType()), T.StructField("parts", T.LongType())])
+    return both.sparkSession.createDataFrame(rows, schema)
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, left_id: str, left_t: str, right_id: str, right_t: str, tolerance: int) -> DataFrame:
@@ -41,30 +40,30 @@ def nearest_in_time(left: DataFrame, right: DataFrame, entity: str, left_id: str
     rhs = right.select(F.col(entity).alias("e"), F.col(right_id).alias("rid"), F.col(right_t).cast("long").alias("t")).dropna()
     rhs = rhs.groupBy("e", "t").agg(F.min("rid").alias("rid"))
     width = 2 * max(1, tolerance)
-    hot = _hot(lhs, rhs, width)
+    hot = F.broadcast(_hot(lhs.select("e", "t").unionByName(rhs.select("e", "t")), width))
+    part = lambda t: F.floor((t - F.col("c") * width) * F.col("parts") / width)
 
-    def cell(t: Column) -> Column:
-        w = F.lit(width)
-        if hot:
-            narrow = F.create_map(*[F.lit(x) for e, k in hot.items() for x in (e, max(1, width >> k))])
-            w = F.coalesce(F.try_element_at(narrow, F.col("e")), w)
-        return F.floor(t / w).cast("long")
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("c", F.floor(F.col("t") / width)).join(hot, ["e", "c"], "left").fillna(1, ["parts"])
+        return df.withColumn("s", part(F.col("t"))).drop("parts")
 
-    # neighbours: inside the cell by one ordered pass, beyond it from the summary of cells, of which an entity has few
-    rhs = rhs.withColumn("c", cell(F.col("t")))
-    within = Window.partitionBy("e", "c").orderBy("t")
-    near = rhs.select("e", "c", "t", "rid", F.lag("t").over(within).alias("p"), F.lead("t").over(within).alias("n"))
-    order = Window.partitionBy("e").orderBy("c")
-    summary = rhs.groupBy("e", "c").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("e", "c", F.lag("b").over(order).alias("before"), F.lead("a").over(order).alias("after"))
-    near = near.join(summary, ["e", "c"]).select("e", "t", "rid", F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
+    # neighbours: inside the part of a cell by one ordered pass, beyond it from the summary of parts
+    rhs = placed(rhs)
+    within = Window.partitionBy("e", "c", "s").orderBy("t")
+    near = rhs.select("e", "c", "s", "t", "rid", F.lag("t").over(within).alias("p"), F.lead("t").over(within).alias("n"))
+    order = Window.partitionBy("e").orderBy("c", "s")
+    summary = rhs.groupBy("e", "c", "s").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("e", "c", "s", F.lag("b").over(order).alias("before"), F.lead("a").over(order).alias("after"))
+    near = near.join(summary, ["e", "c", "s"]).select("e", "t", "rid", F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
 
     # in doubled time midpoints are whole; the point halfway belongs to the earlier record
     lo, hi = F.greatest(2 * (F.col("t") - tolerance), F.col("p") + F.col("t") + 1), F.least(2 * (F.col("t") + tolerance), F.col("t") + F.col("n"))
-    spans = near.select("e", "rid", lo.alias("lo"), hi.alias("hi"))
-    down = lambda x: F.floor(x / 2)
-    index = spans.withColumn("c", F.explode(F.sequence(cell(down(F.col("lo"))), cell(down(F.col("hi"))))))
-    probes = lhs.select("e", cell(F.col("t")).alias("c"), (2 * F.col("t")).alias("at"), "lid", F.lit(None).cast("struct<rid:bigint,hi:bigint>").alias("span"))
-    entries = index.select("e", "c", F.col("lo").alias("at"), F.lit(None).cast("long").alias("lid"), F.struct("rid", "hi").alias("span"))
-    pass_ = Window.partitionBy("e", "c").orderBy("at", F.col("lid").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = lambda x: F.floor(F.col(x) / 2)
+    spans = near.select("e", "rid", lo.alias("lo"), hi.alias("hi")).withColumn("c", F.explode(F.sequence(F.floor(down("lo") / width), F.floor(down("hi") / width))))
+    spans = spans.join(hot, ["e", "c"], "left").fillna(1, ["parts"])
+    first, last = part(F.greatest(down("lo"), F.col("c") * width)), part(F.least(down("hi"), F.col("c") * width + width - 1))
+    index = spans.withColumn("s", F.explode(F.sequence(first, last)))
+    probes = placed(lhs).select("e", "c", "s", (2 * F.col("t")).alias("at"), "lid", F.lit(None).cast("struct<rid:bigint,hi:bigint>").alias("span"))
+    entries = index.select("e", "c", "s", F.col("lo").alias("at"), F.lit(None).cast("long").alias("lid"), F.struct("rid", "hi").alias("span"))
+    pass_ = Window.partitionBy("e", "c", "s").orderBy("at", F.col("lid").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hits = entries.unionByName(probes).withColumn("span", F.last("span", ignorenulls=True).over(pass_))
     return hits.where("lid IS NOT NULL AND span.hi >= at").select(F.col("lid").alias(left_id), F.col("span.rid").alias(right_id))
