@@ -3,7 +3,8 @@
 Efraimidis-Spirakis sampling without replacement: each document draws an exponential key divided by its quality weight, and
 the smallest keys of a source win until its token budget is full. A budget beyond the source's size is met by complete epochs
 first; only the rest is sampled. Keys are cut into ranges, token sums of (source, range) are prefix-summed, and rows are
-ordered only within a range, so that a source of any size is handled by many tasks.
+ordered only within a range. Ranges are equal steps of the logarithm of the key: whatever the weights, the logarithm of an
+exponential draw has no more than 0.37 of its mass in a unit, so no range holds more than 0.37 / STEPS of a source.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+#: Least number of ranges a unit of the logarithm; more if a range would hold more than ROWS documents.
+STEPS, ROWS = 64, 200_000
 
 
 def quality() -> F.Column:
@@ -37,16 +39,18 @@ def budgets(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> D
     return t.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("size")).drop("most")
 
 
-def mix(sizes: DataFrame, plan: DataFrame, seed: int = 42) -> DataFrame:
+def mix(sizes: DataFrame, plan: DataFrame, seed: int = 42, weight: F.Column | None = None) -> DataFrame:
     """(source, doc_id, n_tokens, copies) of all documents that appear. sizes: (doc_id, source, n_tokens, n_words), one row a document.
+    weight is an expression of its columns, quality() if none is given; a weight that is null or not positive counts as the least, 1e-9.
 
     A document goes into the sampled part if its prefix sum stays within the rest, or exceeds it by less than half of its own
     size while a repeat is still allowed. Documents of unlisted or null sources and without tokens don't appear.
     """
     draw = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = sizes.where("n_tokens > 0").withColumn("key", -F.log(draw) / quality())
+    keyed = sizes.where("n_tokens > 0").withColumn("key", -F.log(draw) / F.greatest(F.coalesce(quality() if weight is None else weight, F.lit(0.0)), F.lit(1e-9)))
     rows = keyed.join(plan.select("source", "epochs", "rest", "max_repeats"), "source")  # a row per target: its size decides on the broadcast
-    rows = rows.withColumn("range", F.floor((1 - F.exp(-F.col("key") / 2)) * RANGES).cast("int"))
+    steps = max(STEPS, sizes.count() * 37 // (100 * ROWS))
+    rows = rows.withColumn("range", F.floor(F.log("key") * steps).cast("bigint"))
     sums = rows.groupBy("source", "range").agg(F.sum("n_tokens").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s")).select("source", "range", "before", "s")
     rows = rows.join(before, ["source", "range"])
