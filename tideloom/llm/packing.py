@@ -20,6 +20,10 @@ from tideloom.session import parallelism
 
 #: Least number of parts a length is ranked in; more where the session has more shuffle partitions.
 SALTS = 64
+#: A plan of more rows a length of the capacity is joined instead of broadcast; plans were seen to stay below 8, however many documents.
+PLAN_ROWS = 64
+#: Ranks in a block of a joined plan.
+BLOCK = 100_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -97,7 +101,22 @@ def _pack_kind(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
     offsets = counts.withColumn("before", before).select("length", "salt", "before")
     ranked = items.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) - 1)
     ranked = ranked.join(offsets, ["length", "salt"]).select("doc_id", "n_tokens", "length", "full", (F.col("rank") + F.col("before")).alias("rank"))
-    model = sizes.sparkSession.sparkContext.broadcast(rows)  # bounded by the lengths, see plan; not by the number of documents
+    placed = _by_broadcast(ranked, rows) if len(rows) <= PLAN_ROWS * capacity else _by_join(ranked, rows)
+    kind_ = F.lit(kind).alias("container_kind")
+    rest = placed.where("length > 0").select(kind_, F.col("slot").alias("container_id"), "doc_id", F.when(F.col("full") > 0, F.col("full") + 1).otherwise(0).cast("int").alias("part_no"), F.col("length").alias("n_tokens"))
+    # full parts: numbered after the planned containers by the offset of the document's salt and a running sum within it
+    long = items.where("full > 0")
+    per = long.groupBy("salt").agg(F.sum("full").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("salt")) - F.col("n")).select("salt", "before")
+    within = F.sum("full").over(Window.partitionBy("salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("full")
+    numbered = long.withColumn("within", within).join(per, "salt").select("doc_id", (F.lit(used) + F.col("before") + F.col("within")).alias("first"), F.posexplode(F.sequence(F.lit(1), F.col("full").cast("int"))).alias("k", "part_no"))
+    full = numbered.select(kind_, (F.col("first") + F.col("k")).alias("container_id"), "doc_id", "part_no", F.lit(capacity).cast("bigint").alias("n_tokens"))
+    empty = sizes.where("n_tokens = 0 OR n_tokens IS NULL").select(kind_, F.lit(None).cast("bigint").alias("container_id"), "doc_id", F.lit(0).alias("part_no"), F.lit(0).cast("bigint").alias("n_tokens"))
+    return rest.unionByName(full).unionByName(empty)
+
+
+def _by_broadcast(ranked: DataFrame, rows: np.ndarray) -> DataFrame:
+    """ranked with the container of each row, by binary search in a plan of checked size."""
+    model = ranked.sparkSession.sparkContext.broadcast(rows)  # at most PLAN_ROWS x capacity rows
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = model.value
@@ -109,17 +128,21 @@ def _pack_kind(sizes: DataFrame, kind: str, capacity: int) -> DataFrame:
             slot = np.where(length > 0, p[at, 3] + rank - p[at, 1] if len(p) else 0, -1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), b.column("length"), b.column("full"), pa.array(slot, pa.int64())], ["doc_id", "n_tokens", "length", "full", "slot"])
 
-    placed = ranked.mapInArrow(slots, "doc_id bigint, n_tokens bigint, length bigint, full bigint, slot bigint")
-    kind_ = F.lit(kind).alias("container_kind")
-    rest = placed.where("length > 0").select(kind_, F.col("slot").alias("container_id"), "doc_id", F.when(F.col("full") > 0, F.col("full") + 1).otherwise(0).cast("int").alias("part_no"), F.col("length").alias("n_tokens"))
-    # full parts: numbered after the planned containers by the offset of the document's salt and a running sum within it
-    long = items.where("full > 0")
-    per = long.groupBy("salt").agg(F.sum("full").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("salt")) - F.col("n")).select("salt", "before")
-    within = F.sum("full").over(Window.partitionBy("salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("full")
-    numbered = long.withColumn("within", within).join(per, "salt").select("doc_id", (F.lit(used) + F.col("before") + F.col("within")).alias("first"), F.posexplode(F.sequence(F.lit(1), F.col("full").cast("int"))).alias("k", "part_no"))
-    full = numbered.select(kind_, (F.col("first") + F.col("k")).alias("container_id"), "doc_id", "part_no", F.lit(capacity).cast("bigint").alias("n_tokens"))
-    empty = sizes.where("n_tokens = 0 OR n_tokens IS NULL").select(kind_, F.lit(None).cast("bigint").alias("container_id"), "doc_id", F.lit(0).alias("part_no"), F.lit(0).cast("bigint").alias("n_tokens"))
-    return rest.unionByName(full).unionByName(empty)
+    return ranked.mapInArrow(slots, "doc_id bigint, n_tokens bigint, length bigint, full bigint, slot bigint")
+
+
+def _by_join(ranked: DataFrame, rows: np.ndarray) -> DataFrame:
+    """The same for a plan too large to broadcast: plan rows enter the blocks of ranks they touch, and one ordered pass in a block
+    gives each rank the last plan row that starts at or before it."""
+    import pandas as pd
+
+    plan_ = ranked.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["length", "first", "end", "container"]))
+    blocks = F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)))
+    p = plan_.select("length", blocks.alias("block"), F.col("first").alias("rank"), F.struct("first", "container").alias("row"))
+    r = ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)).withColumn("row", F.lit(None).cast(p.schema["row"].dataType))
+    w = Window.partitionBy("length", "block").orderBy("rank", F.col("doc_id").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = r.unionByName(p, allowMissingColumns=True).withColumn("row", F.last("row", ignorenulls=True).over(w)).where("doc_id IS NOT NULL")
+    return both.select("doc_id", "n_tokens", "length", "full", F.when(F.col("length") > 0, F.col("row.container") + F.col("rank") - F.col("row.first")).otherwise(-1).alias("slot"))
 
 
 def fill_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
