@@ -32,12 +32,25 @@ def test_nearest_against_brute_force(spark, monkeypatch, tol):
     lhs = spark.createDataFrame(opens, "oid long, p long, t long").withColumn("rid", F.lit("clash")).withColumn("e", F.lit(1))
     rhs = spark.createDataFrame(closes + closes[:9], "cid long, p long, t long").withColumn("lid", F.lit(2))
     want = brute_nearest(opens, closes, tol)
-    for hot in ({}, {1: 3}):
-        monkeypatch.setattr(nearest, "_hot", lambda *_, hot=hot: hot)
+    for least in (100_000, 40, 3):
+        monkeypatch.setattr(nearest, "HOT_LEAST", least)
+        monkeypatch.setattr(nearest, "HOT_SHARE", 500 if least > 1000 else 1000)
         got = [(r.oid, r.cid) for r in nearest_in_time(lhs, rhs, "p", "oid", "t", "cid", "t", tol).collect()]
         assert len(got) == len(dict(got)) and dict(got) == want
 
 
+def test_nearest_in_a_burst(spark, monkeypatch):
+    rng = random.Random(9)
+    opens = [(i, 1, 5_000_000 + rng.randrange(300)) for i in range(500)] + [(1000 + i, 1, rng.randrange(10_000_000)) for i in range(60)]
+    closes = [(9000 + i, 1, 5_000_000 + rng.randrange(300)) for i in range(200)] + [(9500 + i, 1, rng.randrange(10_000_000)) for i in range(60)]
+    monkeypatch.setattr(nearest, "HOT_LEAST", 50)
+    lhs, rhs = spark.createDataFrame(opens, "oid long, p long, t long"), spark.createDataFrame(closes, "cid long, p long, t long")
+    hot = nearest._hot(lhs.select(F.col("p").alias("e"), "t"), 100_000).collect()
+    assert [(r.c, r.parts) for r in hot] == [(50, 16)]
+    got = [(r.oid, r.cid) for r in nearest_in_time(lhs, rhs, "p", "oid", "t", "cid", "t", 50_000).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == brute_nearest(opens, closes, 50_000)
+
+
 def test_nearest_ties_and_empty(spark):
     lhs = spark.createDataFrame([(1, 1, 10), (2, 1, 30)], "oid long, p long, t long")
     rhs = spark.createDataFrame([(7, 1, 5), (8, 1, 15), (6, 1, 30), (5, 1, 30)], "cid long, p long, t long")
@@ -183,6 +196,33 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), mixing.budgets(df.limit(0), targets)).count() == 0
 
 
+def test_joined_plan_gives_the_same_slots(spark, monkeypatch):
+    rng = random.Random(12)
+    sizes = spark.createDataFrame([(i, rng.choice([0, 5, 5, 5, 7, 30, 64, 65, 200, rng.randrange(1, 64)])) for i in range(900)], "doc_id long, n_tokens long")
+    specs = spark.createDataFrame([("s", 64)], "container_kind string, capacity_tokens int")
+    rows = lambda: sorted(map(str, packing.pack(sizes, specs).collect()))
+    want = rows()
+    monkeypatch.setattr(packing, "PLAN_ROWS", 0)
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    assert rows() == want
+    # plans stay below 8 rows a length however many documents there are
+    for times in (1, 10, 1000):
+        assert len(packing.plan({n: times * rng.randrange(1, 40) for n in range(1, 2049)}, 2048)[0]) < 8 * 2048
+
+
+def test_no_range_of_keys_is_crowded(spark):
+    """Whatever the weights: half of the documents a twentieth of the weight of the others."""
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).cast("long").alias("n_tokens"), F.lit(1).cast("long").alias("n_words"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.05).alias("w"))
+    plan = mixing.budgets(df, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"), total=100_000)
+    got = mixing.mix(df, plan, weight=F.col("w"))
+    assert abs(got.count() - 10_000) <= 1 and got.where("doc_id % 2 = 1").count() < 1_000
+    draw = np.random.default_rng(1).exponential(size=200_000) / np.where(np.arange(200_000) % 2, 1, 0.05)
+    _, n = np.unique(np.floor(np.log(draw) * mixing.STEPS), return_counts=True)
+    assert n.max() / 200_000 < 0.37 / mixing.STEPS * 1.2
+    none = mixing.mix(df, plan, weight=F.lit(None).cast("double"))
+    assert abs(none.count() - 10_000) <= 1
+
+
 def test_sampling_follows_weights(spark):
     """Of documents of one length those with four times the weight are drawn far more often."""
     rows = [(i, "a", 100, 100 if i % 2 else 25) for i in range(4000)]

@@ -29,6 +29,13 @@ def p1_found(spark, d):
     return nearest_in_time(left, right, "page_id", "open_rev_id", "utc_s", "close_rev_id", "utc_s", THIRTY_DAYS)
 
 
+def p1_nearest_click(spark, d):
+    """Each view with the nearest purchase of its user within two days, in microseconds."""
+    e = table(spark, d, "events", "event_id", "user_id", "event_type", "ts").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    kind = lambda k, name: e.where(F.col("event_type") == k).select(F.col("event_id").alias(name), "user_id", "t")
+    return nearest_in_time(kind("view", "view_id"), kind("purchase", "purchase_id"), "user_id", "view_id", "t", "purchase_id", "t", 2 * 86_400_000_000)
+
+
 def p4_links(spark, d):
     works = table(spark, d, "crossref_work", "work_id", "doi", "title", "authors", "year")
     candidates = table(spark, d, "candidate", "cand_id", "title", "year", "authors", "doi")
@@ -64,6 +71,16 @@ def p7_report(spark, d):
     return fill_report(p7_pack(spark, d), table(spark, d, "container_spec"))
 
 
+def p7_check(spark, d):
+    """Per kind: documents placed, containers over their capacity, and documents within the capacity that were split."""
+    packed = materialise(p7_pack(spark, d), "packed")
+    caps = table(spark, d, "container_spec").groupBy("container_kind").agg(F.max("capacity_tokens").alias("c"))
+    load = packed.where("container_id IS NOT NULL").groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).join(caps, "container_kind").where("n > c").groupBy("container_kind").agg(F.count("*").alias("n_overfull"))
+    docs = packed.groupBy("container_kind", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).join(caps, "container_kind")
+    per = docs.groupBy("container_kind").agg(F.count("*").alias("n_docs"), F.sum(F.when((F.col("n") <= F.col("c")) & (F.col("k") > 1), 1).otherwise(0)).alias("n_needless"))
+    return per.join(load, "container_kind", "left").fillna(0, ["n_overfull"])
+
+
 def p8_mix(spark, d):
     sizes = _sizes(spark, d, "source")
     return mix(sizes, budgets(sizes, table(spark, d, "mix_targets")))
@@ -75,5 +92,21 @@ def p8_report(spark, d):
     return mix_report(mix(sizes, plan), plan)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_segments": p9_segments}
-ORACLE: dict[str, str] = {}
+def p8_check(spark, d):
+    """Per target source that has text: whether no document appears too often, and tokens differ from the budget by half of the
+    source's largest document at most, which is what whole documents allow."""
+    sizes = _sizes(spark, d, "source")
+    plan = materialise(budgets(sizes, table(spark, d, "mix_targets")), "mix-plan")
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    r = mix_report(mix(sizes, plan), plan).where("size > 0").join(largest, "source")
+    return r.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_limit"), (2 * F.abs(F.col("tokens") - F.col("budget")) <= F.col("largest")).alias("on_target"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_nearest_click": p1_nearest_click, "p7_check": p7_check, "p8_check": p8_check, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_segments": p9_segments}
+_EVENTS = "(SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = '{0}')"
+ORACLE: dict[str, str] = {
+    "p1_nearest_click": f"""SELECT v.event_id AS view_id, min_by(p.event_id, (abs(p.t - v.t), p.t, p.event_id)) AS purchase_id FROM {_EVENTS.format('view')} v
+JOIN {_EVENTS.format('purchase')} p ON v.user_id = p.user_id AND abs(p.t - v.t) <= 172800000000 GROUP BY 1""",
+    "p7_check": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, 0 AS n_needless, 0 AS n_overfull FROM container_spec",
+    "p8_check": "SELECT source, true AS within_limit, true AS on_target FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)",
+}

@@ -6,7 +6,6 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +19,7 @@ KEPT = 500_000
 class _Pieces(dict):
     """Token counts of text pieces, each counted once; emptied when it holds too many."""
 
-    def __init__(self, encoding: tiktoken.Encoding, lead: str):
+    def __init__(self, encoding, lead: str):
         super().__init__()
         self.encoding, self.lead = encoding, lead
 
@@ -40,6 +39,8 @@ class Counter:
     """
 
     def __init__(self, path: str = VOCABULARY):
+        import tiktoken
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
