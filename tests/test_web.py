@@ -113,3 +113,16 @@ def test_small_operators(spark):
     assert history.quantile_sketch(q, ["g"], "v").count() == 3
     paced = spark.createDataFrame([(1, "h", 0), (2, "h", 1), (3, "h", 100), (4, "h", 100), (5, "k", 5)], "i int, h string, t int").withColumn("d", F.lit(10))
     assert {r.i: r.start for r in history.paced(paced, "h", "t", "d", "i").collect()} == {1: 0, 2: 10, 3: 100, 4: 110, 5: 5}
+
+
+def test_as_of_against_brute_force(spark):
+    import random
+
+    rng = random.Random(13)
+    facts = [(rng.randrange(3), rng.randrange(10_000), rng.choice([None, rng.randrange(100)])) for _ in range(200)] + [(None, 5, 1)]
+    asked = [(i, rng.choice([0, 1, 2, 9, None]), rng.randrange(10_000)) for i in range(100)]
+    left, right = spark.createDataFrame(asked, "i int, e int, at long"), spark.createDataFrame(facts, "e int, t long, v int")
+    got = {r.i: r.as_of_value for r in history.as_of(left, right, "e", "at", "t", "v", 500).collect()}
+    for i, e, at in asked:
+        known = [(t, v) for x, t, v in facts if x == e and e is not None and v is not None and t <= at]
+        assert got[i] == (max(known)[1] if known else None)

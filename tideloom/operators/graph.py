@@ -38,12 +38,12 @@ def components(pairs: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the diameter; they end when no label moves. Each round is written to the shared folder."""
     pairs = materialise(pairs, "pairs")
     state = materialise(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("c")), "labels")
-    moved = True
+    moved, written = True, state
     while moved:
         seen = pairs.join(state, pairs.b == state.node).groupBy("a").agg(F.min("c").alias("m"))
         hop = state.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         nxt = state.join(seen, state.node == seen.a, "left").join(hop, "c", "left").select("node", F.least("c", F.coalesce("m", "c"), F.coalesce("cc", "c")).alias("n"), F.col("c").alias("old"))
-        nxt = materialise(nxt, "labels")
+        nxt = written = materialise(nxt, "labels", instead_of=written)
         moved = not nxt.where("n <> old").isEmpty()
         state = nxt.select("node", F.col("n").alias("c"))
     return state.withColumnRenamed("c", "component")
@@ -86,13 +86,13 @@ def pagerank(pairs: DataFrame, seeds: DataFrame | None = None, group: Column | N
     base = nodes.join(total.select("g", "anchor"), "g").join(n, "g").join(own, ["node", "anchor"], "left").fillna(0.0, ["p"])
     base = materialise(base.select("node", "g", "anchor", "size", "p"), "restart")
     links = materialise(pairs.join(pairs.groupBy("a").agg(F.count("*").alias("out")), "a"), "links")
-    state = base.withColumn("r", F.lit(1.0) / F.col("size"))
+    state, written = base.withColumn("r", F.lit(1.0) / F.col("size")), None
     for _ in range(rounds):
         flow = links.join(state.select(F.col("node").alias("a"), "anchor", "r"), "a").groupBy(F.col("b").alias("node"), "anchor").agg((alpha * F.sum(F.col("r") / F.col("out"))).alias("f"))
         new = state.join(flow, ["node", "anchor"], "left").fillna(0.0, ["f"])
         kept = new.groupBy("g", "anchor").agg(F.sum("f").alias("kept"))  # a row a graph and anchor
         moved = new.join(kept, ["g", "anchor"]).withColumn("n", F.col("f") + (1 - F.col("kept")) * F.col("p"))
-        state = materialise(moved.select("node", "g", "anchor", "size", "p", F.col("n").alias("r"), F.abs(F.col("n") - F.col("r")).alias("moved")), "rank")
+        state = written = materialise(moved.select("node", "g", "anchor", "size", "p", F.col("n").alias("r"), F.abs(F.col("n") - F.col("r")).alias("moved")), "rank", instead_of=written)
         off = state.groupBy("g", "anchor").agg((F.sum("moved") / F.first("size")).alias("off")).agg(F.max("off")).first()[0]
         state = state.drop("moved")
         if off is None or off < tolerance:
@@ -112,13 +112,13 @@ def label_communities(pairs: DataFrame, rounds: int = 200) -> DataFrame:
     else the smallest. The halves of the nodes, by a new hash each round, take turns, so that labels don't swing; they end when
     neither half moves. Labels that don't settle within `rounds` are an error."""
     pairs = materialise(pairs.where("a <> b"), "pairs")
-    state = materialise(pairs.select(F.col("a").alias("node"), F.col("a").alias("l")).distinct(), "labels")
+    state = written = materialise(pairs.select(F.col("a").alias("node"), F.col("a").alias("l")).distinct(), "labels")
     for k in range(rounds):
         votes = pairs.join(state, pairs.b == state.node).groupBy("a", "l").agg(F.count("*").alias("n"))
         voted = votes.withColumnRenamed("a", "node").join(state.withColumnRenamed("l", "own"), "node")
         best = voted.groupBy("node").agg(F.max_by("l", F.struct("n", (F.col("l") == F.col("own")).cast("int").alias("same"), (-F.col("l")).alias("least"))).alias("best"), F.first("own").alias("own"))
         turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
-        nxt = materialise(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("l"), (F.col("best") != F.col("own")).alias("moves")), "labels")
+        nxt = written = materialise(best.select("node", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("l"), (F.col("best") != F.col("own")).alias("moves")), "labels", instead_of=written)
         still = nxt.where("moves").isEmpty()
         state = nxt.select("node", "l")
         if still:
@@ -132,7 +132,7 @@ def reach(pairs: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     for k in range(1, depth + 1):
         front = seen.where(F.col("depth") == k - 1).select(F.col("node").alias("a"))
         new = pairs.join(front, "a", "left_semi").select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = materialise(seen.unionByName(new.withColumn("depth", F.lit(k))), "seen")
+        seen = materialise(seen.unionByName(new.withColumn("depth", F.lit(k))), "seen", instead_of=seen)
     return seen
 
 

@@ -133,13 +133,26 @@ def in_windows(windows: DataFrame, events: DataFrame, window_id: str, entity: st
     return windows.alias("w").join(inside, F.col(f"w.{window_id}") == F.col("e._id"), "left")
 
 
-def as_of(left: DataFrame, right: DataFrame, entity: str, at: str, ts: str, value: str) -> DataFrame:
-    """The value in effect at `at`: the latest right row not later, by one ordered pass over the union."""
-    both = left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(1).alias("_s"), F.col(at).alias("_t"))
-    cols = [c for c in left.columns]
-    other = right.where(F.col(value).isNotNull()).select(*[F.col(entity) if c == entity else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.col(value).alias("_v"), F.lit(0).alias("_s"), F.col(ts).alias("_t"))
-    w = Window.partitionBy(entity).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.unionByName(other).withColumn("as_of_value", F.last("_v", ignorenulls=True).over(w)).where("_s = 1").drop("_v", "_s", "_t")
+def as_of(left: DataFrame, right: DataFrame, entity: str, at: str, ts: str, value: str, cell: int = 365 * 86_400) -> DataFrame:
+    """left with as_of_value: the value of the latest right row of its entity not later than `at`, null if there is none.
+
+    Times are timestamps or seconds. Both sides are cut into (entity, time cell): an ordered pass in a cell, and before it the last
+    value of the cells that came earlier, so a busy entity is spread over its cells. Right rows without a value don't count;
+    equal times: the greater value.
+    """
+    c = lambda t: F.floor(F.col(t).cast("timestamp").cast("double") / cell)
+    kind = right.schema[value].dataType
+    facts = right.where(F.col(entity).isNotNull() & F.col(value).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(entity).alias("_e"), F.col(ts).alias("_t")).agg(F.max(value).alias("_v")).withColumn("_c", c("_t"))
+    row = F.struct(*left.columns)
+    asked = left.select(F.col(entity).alias("_e"), F.col(at).alias("_t"), c(at).alias("_c"), row.alias("_row"), F.lit(None).cast(kind).alias("_v"), F.lit(1).alias("_s"))
+    both = asked.unionByName(facts.select("_e", "_t", "_c", "_v", F.lit(0).alias("_s")), allowMissingColumns=True)
+    inside = Window.partitionBy("_e", "_c").orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.withColumn("_v", F.last("_v", ignorenulls=True).over(inside)).where("_s = 1")
+    marks = facts.groupBy("_e", "_c").agg(F.max_by("_v", "_t").alias("_last")).unionByName(here.select("_e", "_c").distinct(), allowMissingColumns=True).groupBy("_e", "_c").agg(F.max("_last").alias("_last"))
+    earlier = Window.partitionBy("_e").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = marks.select(F.col("_e").alias("_be"), F.col("_c").alias("_bc"), F.last("_last", ignorenulls=True).over(earlier).alias("_before")).where("_before IS NOT NULL")
+    out = here.join(before, (F.col("_e") == F.col("_be")) & (F.col("_c") == F.col("_bc")), "left")
+    return out.select("_row.*", F.coalesce("_v", "_before").alias("as_of_value"))
 
 
 def month_spine(spark, first: str, last: str) -> DataFrame:

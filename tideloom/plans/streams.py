@@ -37,7 +37,7 @@ def _drain_whole(stream, what):
     """The complete result at the end of the input: also of groups the watermark hasn't passed."""
     s = stream.sparkSession
     out = scratch_path(s, what)
-    s.createDataFrame([], stream.schema).write.parquet(out)
+    s.createDataFrame([], stream.schema).write.mode("overwrite").parquet(out)
     write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
     stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch_path(s, what + "-log")).trigger(availableNow=True).start().awaitTermination()
     return s.read.schema(stream.schema).parquet(out)

@@ -47,19 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path of its own in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hpath)  # only what exists can be marked
+    fs.deleteOnExit(hpath)
+    return path
 
 
-def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again. Survives the loss of executors."""
+def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again. Survives the loss of executors. The files of `instead_of`, an
+    earlier result of this function that nothing needs any more, are deleted once the new ones are there."""
     spark = df.sparkSession
     path = scratch_path(spark, what)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    old = getattr(instead_of, "scratch", None)
+    if old:
+        delete_path(spark, old)
+    return out
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
