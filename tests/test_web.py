@@ -126,3 +126,8 @@ def test_as_of_against_brute_force(spark):
     for i, e, at in asked:
         known = [(t, v) for x, t, v in facts if x == e and e is not None and v is not None and t <= at]
         assert got[i] == (max(known)[1] if known else None)
+
+
+def test_portable_definitions(spark):
+    ddl = "CREATE TABLE `t` (\n  `a` bigint(20) unsigned NOT NULL AUTO_INCREMENT,\n  `b` varchar(255) COLLATE utf8_bin DEFAULT NULL COMMENT 'it''s',\n  `c` longtext,\n  PRIMARY KEY (`a`),\n  KEY `k` (`b`),\n  UNIQUE KEY `u` (`c`(20))\n) ENGINE=InnoDB AUTO_INCREMENT=5 DEFAULT CHARSET=utf8;"
+    assert one(spark, text.portable_ddl, (ddl,), (None,)) == ['CREATE TABLE "t" (\n  "a" BIGINT NOT NULL,\n  "b" VARCHAR DEFAULT NULL,\n  "c" VARCHAR,\n  PRIMARY KEY ("a")\n);', None]

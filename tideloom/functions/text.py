@@ -47,6 +47,17 @@ def hard_form(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"-\s+", ""), "[^a-z0-9 ]", " "), " +", " "))
 
 
+def portable_ddl(c: Column) -> Column:
+    """A table definition of a dump in plain SQL: no back-ticks, key lines, table options, collations or sizes of numbers."""
+    t = F.replace(c, F.lit("`"), F.lit('"'))
+    t = F.regexp_replace(t, r"(?im)^\s*(?:UNIQUE |FULLTEXT |SPATIAL )?(?:KEY|INDEX)\b.*$\n?", "")
+    t = F.regexp_replace(t, r"(?i)\s+(?:COLLATE|CHARACTER SET)\s*=?\s*\w+|\s+COMMENT\s+'(?:[^']|'')*'|\s+UNSIGNED\b|\s+AUTO_INCREMENT\b(?!\s*=)", "")
+    t = F.regexp_replace(t, r"(?i)\b(?:tiny|small|medium|big)?int\(\d+\)", "BIGINT")
+    t = F.regexp_replace(t, r"(?i)\b(?:var)?(?:char|binary)\(\d+\)|\b(?:tiny|medium|long)?(?:text|blob)\b", "VARCHAR")
+    t = F.regexp_replace(t, r",(\s*\))", "$1")
+    return F.regexp_replace(t, r"(?is)\)\s*ENGINE\b[^;]*", ")")
+
+
 def page_title(c: Column) -> Column:
     """Title rules: drop the fragment, outer blanks and a leading colon, blanks to underscores, first letter upper-case."""
     t = nfc(c)

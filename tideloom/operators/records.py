@@ -96,6 +96,18 @@ def upsert_sections(old: DataFrame, new: DataFrame, key: str, text: str, seq: st
     return top.unionByName(both).select(F.row_number().over(w).alias("place"), key, text)
 
 
+def contained_in(value: Column, terms: list[str]) -> Column:
+    """The terms that hold the value or are held by it. The list is the program's own, so it stands in the expression and nothing is joined."""
+    return F.filter(F.array(*map(F.lit, terms)), lambda w: F.contains(value, w) | F.contains(w, value))
+
+
+def due_again(wanted: DataFrame, held: DataFrame, key: str, held_at: str, max_age_days: Column, now: Column) -> DataFrame:
+    """Rows of wanted whose copy is missing, or older than it may be: max_age_days is an expression of wanted's columns."""
+    last = held.groupBy(F.col(key).alias("_k")).agg(F.max(held_at).alias("_at"))
+    age = F.datediff(now, F.col("_at"))
+    return wanted.join(last, F.col(key) == F.col("_k"), "left").where(F.col("_at").isNull() | (age > max_age_days)).drop("_k", "_at")
+
+
 def templates(c: Column) -> Column:
     """Distinct names of the templates a wikitext calls, in lower case with single blanks."""
     names = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\{\{\s*([^{}|\n]+)"), F.lit(1))

@@ -44,8 +44,7 @@ def _(s, d):
 
 @reg("j21_containment", "SELECT DISTINCT p.p_partkey, w.w FROM part p JOIN (VALUES ('ring'), ('widget'), ('blue small ring of part')) w(w) ON contains(p.p_name, w.w) OR contains(w.w, p.p_name)")
 def _(s, d):
-    w = s.createDataFrame([("ring",), ("widget",), ("blue small ring of part",)], "w string")
-    return T(s, d, "part", "p_partkey", "p_name").join(w, F.contains("p_name", "w") | F.contains("w", "p_name")).select("p_partkey", "w").distinct()
+    return T(s, d, "part", "p_partkey", "p_name").select("p_partkey", F.explode(R.contained_in(F.col("p_name"), ["ring", "widget", "blue small ring of part"])).alias("w")).distinct()
 
 
 @reg("ag14_last_value_pivot", "SELECT user_id, " + ", ".join(f"max_by(value, event_id) FILTER (event_type = '{c}') AS c_{c}" for c in ("view", "click")) + " FROM events GROUP BY 1")

@@ -183,6 +183,14 @@ def _(s, d):
     return u.groupBy(W.freshness(F.col("u")).alias("kind"), W.max_age_days(F.col("u")).alias("days")).agg(F.count("*").alias("n"))
 
 
+@reg("sc30_due_again", "WITH h AS (SELECT doc_id % 1000 AS k, max(rev_ts)::DATE AS at FROM documents GROUP BY 1), w AS (SELECT DISTINCT cand_id, url, CASE WHEN url LIKE '%.pdf' THEN 3650 ELSE 14 END AS days FROM candidate WHERE url <> '') SELECT w.cand_id FROM w LEFT JOIN h ON h.k = w.cand_id WHERE h.at IS NULL OR date_diff('day', h.at, DATE '2025-06-01') > w.days")
+def _(s, d):
+    """Addresses without a copy, or with one older than their kind allows."""
+    held = T(s, d, "documents", "doc_id", "rev_ts").select((F.col("doc_id") % 1000).alias("cand_id"), "rev_ts")
+    wanted = T(s, d, "candidate", "cand_id", "url").where("url <> ''").distinct()
+    return R.due_again(wanted, held, "cand_id", "rev_ts", W.max_age_days(F.col("url")), F.lit("2025-06-01").cast("date")).select("cand_id")
+
+
 @reg("f29_raw_snapshots", "SELECT DISTINCT fig_id, 'https://web.example.org/web/20170102030405id_/' || source_url AS raw FROM wikimania_2017 WHERE source_url IS NOT NULL")
 def _(s, d):
     f = T(s, d, "wikimania_2017", "fig_id", "source_url").where("source_url IS NOT NULL").distinct()
