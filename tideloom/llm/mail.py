@@ -4,7 +4,9 @@ Threads are rebuilt from list-independent subjects (the messages carry no refere
 with their thread by rolling-hash shingles of words: each shingle of a message names the nearest earlier message that has it, and
 its place there. Matches with one message on one diagonal (place here less place there) are chained over small gaps, which
 aligns the two word sequences without any body leaving its row; long chains mark inherited spans, which also ends quoted
-blocks that carry no marks. What is left is cut at introductions, signatures, device notes, footers and legal notices by their form.
+blocks that carry no marks. Standing matter - closings with a name, signatures, device notes, footers, legal notices - is learned
+from repetition: paragraphs that many messages have, and that stand at the end of what their senders wrote. What is left is
+cut at introductions and signatures by their form; short lists of formulas serve where nothing was seen often enough.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from datetime import timezone
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ SHINGLE, GAP, RUN, SURE = 8, 8, 10, 20
 #: Threads of more than 1/HOT_SHARE of all messages, and more than HOT_LEAST, are cut into days; at most HOT_SHARE can be hot.
 HOT_SHARE, HOT_LEAST, DAY = 500, 50_000, 86_400
 
+#: Messages a paragraph must stand in to be learned; its least share at the end of a text, among the last TAIL paragraphs; its greatest share at the start.
+SEEN, AT_END, TAIL, AT_START = 6, 0.9, 3, 0.3
+
 # Reply and forward prefixes, closing formulas, and marks of device notes, footers and legal notices.
 _PREFIX = re.compile(r"^\s*(?:\[[^\]]{1,40}\]|(?:re|aw|antw|antwort|sv|vs|vb|fwd?|fw|wg|tr|rv|rif|res|enc|odp|doorst)\s*(?:\[\d+\]|\^\d+|\(\d+\))?\s*[:：])\s*", re.I)
 _CLOSING = re.compile(
@@ -58,6 +64,7 @@ _FORWARD = re.compile(r"^\s*(?:-{2,}\s*[^-]{4,60}\s*-{2,}|begin forwarded messag
 _VERB = re.compile(r"\b(?:wrote|writes?|said|says|schrieb|schreibt|geschrieben|a écrit|écrit|escribió|escribe|escreveu|schreef|schrijft|skrev|skriver|napisał(?:a)?|ha scritto|scrive|quoting|citando|zitat)\b", re.I)
 _DATE = re.compile(r"\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b(?:19|20)\d\d\b|\b\d{1,2}:\d{2}\b|\b[A-Z]\w+ \d{1,2}\b|<[^<>@\s]+@[^<>\s]+>|\S+@\S+")
 _WORD = re.compile(r"[^\W_]+")
+_NEVER = re.compile(r"(?!)")
 
 
 def decode_header(s: str | None) -> str:
@@ -167,6 +174,49 @@ def inherited(n: int, grams: np.ndarray, h: np.ndarray, owner: np.ndarray, place
     return hit
 
 
+def _name_words(sender: str | None) -> list[str]:
+    """Words of the sender's name, else of the address."""
+    name = decode_header(sender)
+    return [w for w in _WORD.findall(re.sub(r"<[^>]*>", " ", name).lower()) if len(w) > 1] or _WORD.findall(name.split("@")[0].lower())
+
+
+def standing_key(lines: list[str], tokens: list[str]) -> int:
+    """Hash of a paragraph in a form all its occurrences share: words in lower case, the sender's name and digits aside."""
+    own = set(tokens)
+    initials = {w[0] for w in tokens}
+    t = " ".join("*" if w in own or len(w) == 1 and w in initials else w for w in _WORD.findall(re.sub(r"\d+", "0", " ".join(lines).lower())))
+    return xxhash.xxh64_intdigest(t) - (1 << 63) if t else 0
+
+
+def paragraphs_of(text: list[str], quoted: list[bool]) -> list[list[tuple[int, int]]]:
+    """Line ranges of the plain paragraphs, by stretches: a quotation or an introduction ends a stretch."""
+    out: list[list[tuple[int, int]]] = [[]]
+    k, n = 0, len(text)
+    while k < n:
+        if quoted[k]:
+            if out[-1]:
+                out.append([])
+            k += 1
+            continue
+        e = k
+        while e < n and not quoted[e] and text[e].strip():
+            e += 1
+        if e > k:
+            first = text[k].strip()
+            if _introduces(" ".join(x.strip() for x in text[k : min(e, k + 3)])) or _introduces(first) or _HEADER.match(first) or _FORWARD.match(first) and not _RULER.match(first):
+                if out[-1]:
+                    out.append([])
+            else:
+                out[-1].append((k, e))
+        k = max(e, k + 1)
+    return [x for x in out if x]
+
+
+def _quoted(text: list[str]) -> list[bool]:
+    # a mail program puts a mark before a line that starts with From; a smiley is no mark
+    return [bool(_QUOTE.match(t)) and not re.match(r"^>From ", t) and not re.match(r"^\s*:[-)(DPp/]", t) for t in text]
+
+
 def _introduces(text: str) -> bool:
     """Whether joined lines read like the introduction of a quotation."""
     t = text.strip()
@@ -175,8 +225,10 @@ def _introduces(text: str) -> bool:
     return bool(_VERB.search(t) and (_DATE.search(t) or len(t) < 70)) or bool(_DATE.search(t) and re.search(r"\[[^\]]*\d[^\]]*\]:$|@\S+>?:$", t))
 
 
-def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[int]:
-    """Numbers of the stored lines newly written by the sender. shared: the hashes, owners and places of shingles earlier messages of the thread have."""
+def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, standing: set[int] = frozenset(), lists: bool = True) -> list[int]:
+    """Numbers of the stored lines newly written by the sender. shared: the hashes, owners and places of shingles earlier messages of
+    the thread have; standing: keys of paragraphs learned to be standing matter; lists: whether the lists of formulas are used too."""
+    closing, device, footer, legal = (_CLOSING, _DEVICE, _FOOTER, _LEGAL) if lists else (_NEVER,) * 4
     if not body or not body.strip():
         return []
     lines = logical_lines(body)
@@ -184,9 +236,7 @@ def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tu
     n = len(lines)
     blank = [not t.strip() for t in text]
     count = [len(_WORD.findall(t)) for t in text]
-    # a mail program puts a mark before a line that starts with From
-    quoted = [bool(_QUOTE.match(t)) and not re.match(r"^>From ", t) for t in text]
-    quoted = [q and not re.match(r"^\s*:[-)(DPp/]", t) for q, t in zip(quoted, text)]
+    quoted = _quoted(text)
     old = list(quoted)
 
     # where lines stand against blank and quoted ones
@@ -315,15 +365,19 @@ def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tu
         if known:
             # the ancestor tells where the block ends: after its last inherited line, its closing and name included
             end = known[-1] + 1
-            while end < n and (blank[end] or len(text[end]) < 40 and not quoted[end] and (_CLOSING.match(text[end].strip()) or count[end] <= 3)):
+            while end < n and (blank[end] or len(text[end]) < 40 and not quoted[end] and (closing.match(text[end].strip()) or count[end] <= 3)):
                 end += 1
         for j in range(first, end):
             old[j] = True
         k = end
 
     # tail and signatures
-    name = decode_header(sender)
-    tokens = [w for w in _WORD.findall(re.sub(r"<[^>]*>", " ", name).lower()) if len(w) > 1] or _WORD.findall(name.split("@")[0].lower())
+    tokens = _name_words(sender)
+    learned = [False] * (n + 1)
+    if standing:
+        for stretch in paragraphs_of(text, quoted):
+            for a, e in stretch:
+                learned[a] = standing_key(text[a:e], tokens) in standing
 
     def is_name(t: str) -> bool:
         ws = _WORD.findall(t.lower())
@@ -340,14 +394,14 @@ def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tu
             e += 1
         while e not in known_tail:
             passed.append(e)
-            if blank[e] or old[e] or _RULER.match(text[e].strip()) or _DEVICE.match(text[e].strip()):
+            if blank[e] or old[e] or learned[e] or _RULER.match(text[e].strip()) or device.match(text[e].strip()):
                 e += 1
                 continue
             f = e
             while f < n and not blank[f]:
                 f += 1
             block = " ".join(text[e:f])
-            if not (_FOOTER.search(block) or _LEGAL.search(block) or _introduces(block)):
+            if not (footer.search(block) or legal.search(block) or _introduces(block)):
                 known_tail[e] = False
                 break
             e = f
@@ -369,6 +423,11 @@ def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tu
             old[k:e] = [True] * (e - k)
             continue
         start = k == 0 or blank[k - 1] or old[k - 1]
+        if learned[k] and prv[k] >= 0:
+            e = stop[k]
+            old[k:e] = [True] * (e - k)
+            signed = True
+            continue
         if re.fullmatch(r"--\s?", t) or t == "--":
             j = stop[k + 1]
             old[k:j] = [True] * (j - k)
@@ -382,11 +441,11 @@ def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tu
             else:
                 e = stop[j]
                 block = " ".join(text[j:e])
-                if _FOOTER.search(block) or _LEGAL.search(block) or _DEVICE.match(text[j].strip()):
+                if footer.search(block) or legal.search(block) or device.match(text[j].strip()):
                     old[k:e] = [True] * (e - k)
-        elif start and _DEVICE.match(t) and len(t) < 120:
+        elif start and device.match(t) and len(t) < 120:
             old[k] = True
-        elif start and (_FOOTER.search(block := " ".join(text[k : stop[k]])) or _LEGAL.search(block)) and tail(k):
+        elif start and (footer.search(block := " ".join(text[k : stop[k]])) or legal.search(block)) and tail(k):
             e = stop[k]
             old[k:e] = [True] * (e - k)
         elif is_name(t):
@@ -395,17 +454,17 @@ def new_lines(body: str | None, sender: str | None, thread: str = "", shared: tu
             e = stop[k]
             old[k:e] = [True] * (e - k)
             signed = True
-            if j >= 0 and not old[j] and (_CLOSING.match(text[j].strip()) or count[j] <= 4 and text[j].strip().endswith(",") and len(text[j].strip()) <= 32) and (j == 0 or blank[j - 1] or old[j - 1]) and prv[j] >= 0:
+            if j >= 0 and not old[j] and (closing.match(text[j].strip()) or count[j] <= 4 and text[j].strip().endswith(",") and len(text[j].strip()) <= 32) and (j == 0 or blank[j - 1] or old[j - 1]) and prv[j] >= 0:
                 old[j] = True
-        elif _CLOSING.match(t) and len(ws) <= 5:
+        elif closing.match(t) and len(ws) <= 5:
             j = nxt[k]
-            if j is None or old[j] or is_name(text[j]) or _RULER.match(text[j]) or _DEVICE.match(text[j].strip()):
+            if j is None or old[j] or is_name(text[j]) or _RULER.match(text[j]) or device.match(text[j].strip()):
                 old[k] = True
     for k in range(n):  # closing formulas above what has become a footer only now
         j = nxt[k]
-        if not old[k] and not blank[k] and _CLOSING.match(text[k].strip()) and len(text[k]) <= 40 and (j is None or old[j]) and (k == 0 or blank[k - 1] or old[k - 1]):
+        if not old[k] and not blank[k] and closing.match(text[k].strip()) and len(text[k]) <= 40 and (j is None or old[j]) and (k == 0 or blank[k - 1] or old[k - 1]):
             old[k] = True
-        elif not old[k] and not blank[k] and _CLOSING.match(text[k].strip()) and j == k + 1 and stop[k] == k + 2 and count[j] <= 3 and not text[j].strip().endswith((".", "?", "!")):
+        elif not old[k] and not blank[k] and closing.match(text[k].strip()) and j == k + 1 and stop[k] == k + 2 and count[j] <= 3 and not text[j].strip().endswith((".", "?", "!")):
             old[k] = old[j] = True  # a name in a spelling of its own
     stored = body.split("\n")
     return [no for k, (nos, _) in enumerate(lines) if not old[k] and not blank[k] for no in nos if stored[no - 1].strip()]
@@ -458,7 +517,32 @@ def shared_shingles(mails: DataFrame) -> DataFrame:
     return lists.select("msg_id", "s.h", "s.owner", "s.place")
 
 
-def written_lines(df: DataFrame) -> DataFrame:
+def _paragraph_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(msg_id, h, last, first): each plain paragraph of a message once, whether it is among the last of its stretch and the first of the message."""
+    for b in batches:
+        out = []
+        for i, sender, body in zip(b["msg_id"], b["sender"], b["body"]):
+            text = [t for _, t in logical_lines(body)]
+            tokens = _name_words(sender)
+            seen: dict[int, tuple[bool, bool]] = {}
+            for no, stretch in enumerate(paragraphs_of(text, _quoted(text))):
+                for at, (a, e) in enumerate(stretch):
+                    h = standing_key(text[a:e], tokens)
+                    last, first = seen.get(h, (False, False))
+                    seen[h] = (last or at >= len(stretch) - TAIL, first or no == at == 0)
+            out += [(i, h, *x) for h, x in seen.items() if h]
+        yield pd.DataFrame(out, columns=["msg_id", "h", "last", "first"])
+
+
+def standing_matter(mails: DataFrame) -> DataFrame:
+    """(msg_id, standing): keys of the paragraphs of a message that are standing matter, learned over all messages."""
+    keys = materialise(mails.mapInPandas(_paragraph_keys, "msg_id bigint, h bigint, last boolean, first boolean"), "mail-paragraphs")
+    share = lambda c: F.sum(F.col(c).cast("int")) / F.count("*")
+    learned = keys.groupBy("h").agg(F.count("*").alias("n"), share("last").alias("last"), share("first").alias("first")).where((F.col("n") >= SEEN) & (F.col("last") >= AT_END) & (F.col("first") <= AT_START))
+    return keys.select("msg_id", "h").join(learned.select("h"), "h").groupBy("msg_id").agg(F.collect_list("h").alias("standing"))
+
+
+def written_lines(df: DataFrame, lists: bool = True) -> DataFrame:
     """(msg_id, line_no) of every line newly written by its sender.
 
     Needs msg_id, subject, msg_date, sender and body. Null or empty bodies give no row; a message without a usable date or
@@ -466,11 +550,11 @@ def written_lines(df: DataFrame) -> DataFrame:
     """
     one = df.where("msg_id IS NOT NULL").groupBy("msg_id").agg(F.max(F.struct("body", "subject", "msg_date", "sender")).alias("r")).select("msg_id", "r.subject", "r.msg_date", "r.sender", "r.body").where("trim(body) <> ''")
     mails = materialise(one.mapInPandas(_describe, "msg_id bigint, thread string, at bigint, sender string, body string"), "mails")
-    todo = mails.select("msg_id", "thread", "sender", "body").join(shared_shingles(mails), "msg_id", "left")
+    todo = mails.select("msg_id", "thread", "sender", "body").join(shared_shingles(mails), "msg_id", "left").join(standing_matter(mails), "msg_id", "left")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, no) for i, t, s, body, h, o, p in b.itertuples(index=False) for no in new_lines(body, s, t, None if h is None else (h, o, p))]
+            rows = [(i, no) for i, t, s, body, h, o, p, st in b.itertuples(index=False) for no in new_lines(body, s, t, None if h is None else (h, o, p), frozenset(st) if st is not None else frozenset(), lists)]
             yield pd.DataFrame(rows, columns=["msg_id", "line_no"])
 
     return todo.mapInPandas(each, "msg_id bigint, line_no int")
