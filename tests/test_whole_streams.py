@@ -8,8 +8,8 @@ from tideloom.plans import more, streams
 def test_windows_to_the_end_of_the_input(spark, tmp_path):
     rows = [(i, "ab"[i % 2], dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i)) for i in range(40)]
     spark.createDataFrame(rows, "event_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
-    got = {(r.start.date(), r.event_type): r.n for r in streams.QUERIES["sw01_windowed_counts"](spark, str(tmp_path)).collect()}
-    assert got == Counter((t.date(), k) for _, k, t in rows)
+    got = {(r.day, r.event_type): r.n for r in streams.QUERIES["sw01_windowed_counts"](spark, str(tmp_path)).collect()}
+    assert got == Counter((str(t.date()), k) for _, k, t in rows)
 
 
 def test_batches_over_whole_lists(spark, tmp_path):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.text import hard_form, normal_form
+from tideloom.functions.web import unescape
 
 
 def tokens(c: Column) -> Column:
@@ -121,11 +122,12 @@ def text_windows(c: Column, width: int, stride: int) -> Column:
 
 
 def strip_html(c: Column) -> Column:
+    """Text of a page with a line end at each block element; scripts, styles and tags gone, character references resolved."""
     t = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"(?i)<(br|p|li|tr|div|h[1-6])\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"(?s)<[^>]+>", " ")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r"\s*\n\s*", "\n"))
+    t = unescape(F.regexp_replace(t, r"(?s)<[^>]+>", " "))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def strip_wikitext(c: Column) -> Column:

@@ -100,13 +100,17 @@ def _(s, d):
     return T(s, d, "node", "wiki", "year", "confidence", "wikidata_qid").groupBy("wiki", "year").agg(n(F.col("confidence") == "confirmed").alias("n_confirmed"), n(F.col("confidence") == "suspect").alias("n_suspect"), n(F.col("wikidata_qid") != "").alias("n_qid"))
 
 
-@reg("w11_greedy_batches")
+@reg("w11_greedy_batches", """WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY list_name ORDER BY msg_id, n) AS k FROM (SELECT list_name, msg_id, max(length(body))::INTEGER AS n FROM parse_messages WHERE body IS NOT NULL GROUP BY 1, 2)),
+r AS (SELECT list_name, msg_id, n, k, 1 AS batch_no, n AS load FROM m WHERE k = 1 UNION ALL SELECT m.list_name, m.msg_id, m.n, m.k, CASE WHEN r.load > 0 AND r.load + m.n > 18000 THEN r.batch_no + 1 ELSE r.batch_no END, CASE WHEN r.load > 0 AND r.load + m.n > 18000 THEN m.n ELSE r.load + m.n END FROM r JOIN m ON m.list_name IS NOT DISTINCT FROM r.list_name AND m.k = r.k + 1)
+SELECT list_name, msg_id, n, batch_no FROM r""")
 def _(s, d):
     m = T(s, d, "parse_messages", "list_name", "msg_id", "body").where("body IS NOT NULL").groupBy("list_name", "msg_id").agg(F.max(F.length("body")).alias("n"))
     return Z.greedy_batches(m, "list_name", "msg_id", "n", 18_000)
 
 
-@reg("w14_apart")
+@reg("w14_apart", """WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents WHERE text IS NOT NULL), c AS (SELECT * FROM (SELECT r, doc_id, i::INTEGER AS start, len(regexp_extract_all(lower(substr(text, i + 1, 600)), 'consensus|vote'))::INTEGER AS score FROM (SELECT *, unnest(generate_series(0, greatest(length(text) - 1, 0), 250)) AS i FROM d)) WHERE score > 0),
+a AS (SELECT r, max_by(start, (score, -start)) AS s1 FROM c GROUP BY 1), b AS (SELECT c.r, any_value(s1) AS s1, max_by(start, (score, -start)) AS s2 FROM c JOIN a USING (r) WHERE abs(start - s1) >= 300 GROUP BY 1), e AS (SELECT c.r, max_by(start, (score, -start)) AS s3 FROM c JOIN b USING (r) WHERE abs(start - s1) >= 300 AND abs(start - s2) >= 300 GROUP BY 1),
+x AS (SELECT r, s1 AS start FROM a UNION ALL SELECT r, s2 FROM b UNION ALL SELECT r, s3 FROM e) SELECT doc_id, score, start FROM c JOIN x USING (r, start)""")
 def _(s, d):
     w = T(s, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", D.text_windows(F.col("text"), 600, 250).alias("ws"))
     scored = F.transform("ws", lambda x: F.struct(F.size(F.regexp_extract_all(F.lower(x.text), F.lit("consensus|vote"), F.lit(0))).alias("score"), x.start.alias("start")))
@@ -181,10 +185,12 @@ def _(s, d):
     return spine.join(n.withColumn("present", F.lit(True)), ["wiki", "year"], "left").fillna(False, ["present"])
 
 
-@reg("f12_html_lines")
+@reg("f12_html_lines", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    html = T(s, d, "documents", "doc_id", "text").select("doc_id", F.concat(F.lit("<div><p>"), F.regexp_replace(F.coalesce("text", F.lit("")), "\n\n", "</p><p>"), F.lit("</p></div>")).alias("h"))
-    return html.select("doc_id", F.size(F.split(D.strip_html(F.col("h")), "\n")).alias("n_lines"))
+    """Pages of paragraphs and line breaks come out as the lines they were made of."""
+    esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<style>p {}</style><div><p>"), F.regexp_replace(F.regexp_replace(esc, "\n\n", "</p><p>"), "\n", "<br/>"), F.lit("</p></div>"))
+    return T(s, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.md5(D.strip_html(page)).alias("digest"))
 
 
 @reg("f18_templates", "SELECT CASE WHEN regexp_matches(lower(text), 'guideline|policy') THEN 'core' WHEN contains(lower(text), 'essay') THEN 'essay' ELSE 'none' END AS tier, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
@@ -284,10 +290,11 @@ def _(s, d):
     return v.withColumn("n", Z.cidr_size(F.col("cidr")))
 
 
-@reg("x03_change_points")
+@reg("x03_change_points", """WITH m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y%m') AS ym, avg(o_totalprice) / 100000 AS v FROM orders GROUP BY 1, 2), p AS (SELECT *, row_number() OVER w AS k, sum(v) OVER w AS s, count(*) OVER (PARTITION BY o_orderpriority) AS n, sum(v) OVER (PARTITION BY o_orderpriority) AS t FROM m WINDOW w AS (PARTITION BY o_orderpriority ORDER BY ym)),
+g AS (SELECT *, round(s * s / k + (t - s) * (t - s) / (n - k) - t * t / n, 6) AS gain FROM p WHERE k < n) SELECT o_orderpriority, max_by(ym, (gain, -k)) AS last_before, round(max(gain), 4) AS gain FROM g GROUP BY 1""")
 def _(s, d):
-    m = T(s, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyyMM").alias("ym")).agg(F.avg("o_totalprice").alias("v"))
-    return Z.change_points(m, ["o_orderpriority"], "ym", "v")
+    m = T(s, d, "orders").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyyMM").alias("ym")).agg((F.avg("o_totalprice") / 100_000).alias("v"))
+    return Z.change_points(m, ["o_orderpriority"], "ym", "v").withColumn("gain", F.round("gain", 4))
 
 
 QUERIES, ORACLE = Q, S

@@ -59,10 +59,10 @@ def _(s, d):
     return _drain(E.first_deliveries(rows, ["event_id"], "ts", "60 days").select("event_id"), "first-deliveries")
 
 
-@reg("sw01_windowed_counts")
+@reg("sw01_windowed_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
     rows = _stream(s, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return _drain_whole(E.windowed_counts(rows, "ts", "event_type", "1 day"), "windowed-counts")
+    return _drain_whole(E.windowed_counts(rows, "ts", "event_type", "1 day"), "windowed-counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @reg("in05_stream_match")
