@@ -64,22 +64,8 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-def best_overlap(statements: DataFrame, units: DataFrame, group: str, statement_id: str, unit_id: str, words: str) -> DataFrame:
-    """For each statement the unit of its group with the greatest overlap, first on ties.
-
-    Candidates come from shared words by an equi-join, and only counts of common words travel. Its cost grows with the pairs of a
-    group that share a word, so groups should be units such as a page, not open-ended.
-    Statements that share no word with any unit have no row.
-    """
-    s = statements.select(group, statement_id, F.size(words).alias("ns"), F.explode(words).alias("w"))
-    u = units.select(group, unit_id, F.size(words).alias("nu"), F.explode(words).alias("w"))
-    common = s.join(u, [group, "w"]).groupBy(group, statement_id, unit_id).agg(F.count("*").alias("c"), F.first("ns").alias("ns"), F.first("nu").alias("nu"))
-    scored = common.withColumn("overlap", F.round(F.col("c") / F.least("ns", "nu"), 4))
-    return scored.groupBy(group, statement_id).agg(F.max_by(F.struct(unit_id, "overlap"), F.struct("overlap", -F.col(unit_id))).alias("m")).select(group, statement_id, f"m.{unit_id}", "m.overlap")
-
-
 def best_overlap_of_all(statements: DataFrame, units: DataFrame, statement_id: str, unit_id: str, words: str, statement_block: int = 1024, unit_block: int = 4096) -> DataFrame:
-    """For each statement the unit among all with the greatest overlap to four places, the smaller id on ties. Exact; `best_overlap` without groups.
+    """For each statement the unit among all with the greatest overlap to four places, the smaller id on ties. Exact.
 
     Every block of statements meets every block of units, whose words are indexed once a meeting; of a pair of blocks one row per
     statement travels on. Work grows with statements times units. `words` are arrays without repeats, the ids of each side

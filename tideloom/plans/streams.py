@@ -65,6 +65,13 @@ def _(s, d):
     return _drain_whole(E.windowed_counts(rows, "ts", "event_type", "1 day"), "windowed-counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@reg("sw02_sessions", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events), h AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM h GROUP BY user_id, k""")
+def _(s, d):
+    rows = _stream(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _drain_whole(E.sessions(rows, "ts", "user_id", "6 hours"), "sessions").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
 @reg("in05_stream_match")
 def _(s, d):
     kind = lambda df, i, t, k: df.select("page_id", F.lit(k).alias("kind"), F.col(i).alias("id"), t.alias("t"))
