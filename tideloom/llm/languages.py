@@ -49,12 +49,12 @@ def codes_of_names(spark) -> dict[str, str]:
     return out
 
 
-def label_code(lang: F.Column, names: dict[str, str]) -> F.Column:
-    """ISO 639-1 code that a label names in any usual notation, else null. Regions and scripts after the code don't count."""
-    plain = F.lower(F.trim(lang))
-    head = F.regexp_replace(plain, r"^([a-z]{2,3})[-_].*$", "$1")
-    codes = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.try_element_at(codes, head)
+def with_code(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with code, the ISO 639-1 code that its lang names in any usual notation, else null. Regions and scripts after the code don't
+    count. The names, some thousand, are a fixed table and are joined by their hash."""
+    table = F.broadcast(df.sparkSession.createDataFrame(sorted(names.items()), "_name string, code string"))
+    head = F.regexp_replace(F.lower(F.trim("lang")), r"^([a-z]{2,3})[-_].*$", "$1")
+    return df.join(table, head == F.col("_name"), "left").drop("_name")
 
 
 def _classes() -> np.ndarray:
@@ -200,7 +200,7 @@ def fit(texts: list[str], labels: list[str], docs: list[int] | None = None, seed
 def training_sample(df: DataFrame, names: dict[str, str]) -> tuple[list[str], list[str], list[int]]:
     """(paragraphs, codes, documents): of at most SAMPLE labelled documents a language, drawn by hash, at most PARAGRAPHS a language,
     drawn by hash, each of at most LENGTH characters. They are cut where the texts are, so what the driver gets is bounded."""
-    labelled = df.where("doc_id IS NOT NULL").select("doc_id", label_code(F.col("lang"), names).alias("code")).where("code IS NOT NULL")
+    labelled = with_code(df.where("doc_id IS NOT NULL").select("doc_id", "lang"), names).where("code IS NOT NULL").select("doc_id", "code")
     counts = {r.code: r.n for r in labelled.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return [], [], []
@@ -209,11 +209,12 @@ def training_sample(df: DataFrame, names: dict[str, str]) -> tuple[list[str], li
     picked = labelled.where(draw < F.try_element_at(share, F.col("code"))).distinct().withColumn("draw", draw)
     best = picked.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("draw", "doc_id"))).where(F.col("rank") <= SAMPLE)
     ids = {r.doc_id: r.code for r in best.select("doc_id", "code").collect()}  # at most SAMPLE a language
-    chosen = df.where(F.col("doc_id").isin(list(ids))).select("doc_id", F.explode(F.split(F.lower("text"), "\n\n")).alias("p")).where(F.length("p") >= 30)
-    chosen = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("p", 1, LENGTH).alias("p")).distinct()
-    code = F.try_element_at(F.create_map(*[F.lit(x) for pair in ids.items() for x in pair]), F.col("doc_id"))
+    picks = F.broadcast(df.sparkSession.createDataFrame(sorted(ids.items()), "doc_id long, code string"))
+    chosen = df.where(F.col("doc_id").isin(list(ids))).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.split(F.lower("text"), "\n\n")).alias("p")).where(F.length("p") >= 30)
+    chosen = chosen.select("doc_id", F.substring("p", 1, LENGTH).alias("p")).join(picks, "doc_id")
+    chosen = chosen.groupBy("code", "p").agg(F.min("doc_id").alias("doc_id"))  # copies mustn't vouch for each other
     w = Window.partitionBy("code").orderBy(F.xxhash64("p", "doc_id"), "p", "doc_id")
-    rows = chosen.withColumn("code", code).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= PARAGRAPHS).orderBy("code", "rank").collect()
+    rows = chosen.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= PARAGRAPHS).orderBy("code", "rank").collect()
     return [r.p for r in rows], [r.code for r in rows], [r.doc_id for r in rows]
 
 
@@ -276,7 +277,8 @@ def identify(df: DataFrame, weights: np.ndarray, codes: list[str], names: dict[s
                     )
                 at = end
 
-    rows = df.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), label_code(F.col("lang"), names).alias("label"), F.xxhash64("text", "lang").alias("row"))
+    rows = with_code(df.where("doc_id IS NOT NULL").select("doc_id", "text", "lang"), names)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.col("code").alias("label"), F.xxhash64("text", "lang").alias("row"))
     return rows.mapInArrow(each, "doc_id bigint, seg_no int, lang string, confidence double, label string, row bigint")
 
 
