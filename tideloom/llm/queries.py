@@ -71,7 +71,7 @@ def p7_report(spark, d):
     return fill_report(p7_pack(spark, d), table(spark, d, "container_spec"))
 
 
-def p7_check(spark, d):
+def p7_promises(spark, d):
     """Per kind: documents placed, containers over their capacity, and documents within the capacity that were split."""
     packed = materialise(p7_pack(spark, d), "packed")
     caps = table(spark, d, "container_spec").groupBy("container_kind").agg(F.max("capacity_tokens").alias("c"))
@@ -92,7 +92,7 @@ def p8_report(spark, d):
     return mix_report(mix(sizes, plan), plan)
 
 
-def p8_check(spark, d):
+def p8_promises(spark, d):
     """Per target source that has text: whether no document appears too often, and tokens differ from the budget by half of the
     source's largest document at most, which is what whole documents allow."""
     sizes = _sizes(spark, d, "source")
@@ -102,11 +102,11 @@ def p8_check(spark, d):
     return r.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_limit"), (2 * F.abs(F.col("tokens") - F.col("budget")) <= F.col("largest")).alias("on_target"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_nearest_click": p1_nearest_click, "p7_check": p7_check, "p8_check": p8_check, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p1_found": p1_found, "p1_nearest_click": p1_nearest_click, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p7_pack": p7_pack, "p7_report": p7_report, "p7_promises": p7_promises, "p8_mix": p8_mix, "p8_report": p8_report, "p8_promises": p8_promises, "p9_found": p9_found, "p9_segments": p9_segments}
 _EVENTS = "(SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = '{0}')"
 ORACLE: dict[str, str] = {
     "p1_nearest_click": f"""SELECT v.event_id AS view_id, min_by(p.event_id, (abs(p.t - v.t), p.t, p.event_id)) AS purchase_id FROM {_EVENTS.format('view')} v
 JOIN {_EVENTS.format('purchase')} p ON v.user_id = p.user_id AND abs(p.t - v.t) <= 172800000000 GROUP BY 1""",
-    "p7_check": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, 0 AS n_needless, 0 AS n_overfull FROM container_spec",
-    "p8_check": "SELECT source, true AS within_limit, true AS on_target FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)",
+    "p7_promises": "SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, 0 AS n_needless, 0 AS n_overfull FROM container_spec",
+    "p8_promises": "SELECT source, true AS within_limit, true AS on_target FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE length(text) > 0)",
 }
