@@ -118,3 +118,10 @@ def test_closes_that_arrive_before_their_open(spark, tmp_path):
     run()
     got = {(r.open_id, r.close_id, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(1, 9, "closed"), (2, 8, "closed")}
+
+
+def test_many_files_with_their_names(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"p{i}.csv").write_text("a,b\n" + (f"{i},x\n" if i else ""))
+    rows = readers.read_csv(spark, str(tmp_path / "p*.csv"), "a int, b string", provenance=True).collect()
+    assert sorted((r.a, r.source_file.rsplit("/", 1)[1]) for r in rows) == [(1, "p1.csv"), (2, "p2.csv")]
