@@ -1,6 +1,9 @@
 import json
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tideloom.functions import text, web
@@ -41,6 +44,13 @@ def test_addresses(spark):
     assert one(spark, lambda t: api.link_target(t, {"user": 2}), ("User : A b",), ("Other:X",), (":X",), (None,)) == [(2, "A_b"), (0, "Other:X"), (0, ":X"), (0, None)]
 
 
+def test_dates_in_a_new_worker():
+    """A worker that has imported nothing yet finds all that the function needs."""
+    read = "import pickle, sys\nimport pandas as pd\nprint(pickle.load(sys.stdin.buffer)(pd.Series(['Thu, 01 Jan 1970 00:01:00 GMT', 'soon'])).fillna(-1).tolist())"
+    got = subprocess.run([sys.executable, "-c", read], input=cloudpickle.dumps(web._http_date.func), capture_output=True, check=False)
+    assert got.stdout.decode().strip() == "[60.0, -1.0]", got.stderr.decode()
+
+
 def answers(spark, *bodies):
     return spark.createDataFrame([(json.dumps(b) if not isinstance(b, str) else b,) for b in bodies], "body string")
 
