@@ -105,6 +105,14 @@ def test_keyword_passages_against_brute_force(spark, tmp_path):
     assert got == sorted((-n, i) for n, i in want) and len(got) > 2
 
 
+def test_priority_by_rounded_milliseconds(spark, tmp_path):
+    """Half a millisecond goes away from 1970; events of one rounded millisecond do not follow each other."""
+    rows = [(1, 7, "view", 500), (2, 7, "purchase", 1_499), (3, 7, "purchase", 1_500), (4, 8, "view", -1_501), (5, 8, "purchase", -1_500), (6, 8, "click", -500), (7, 8, "click", -499), (8, 9, "view", 0), (9, 9, "purchase", 499)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, u long").selectExpr("event_id", "user_id", "event_type", "cast(timestamp_micros(u) AS timestamp_ntz) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in QUERIES["j06_priority"](spark, str(tmp_path)).collect())
+    assert got == [(1, 3, 2, "closed"), (4, 6, -1, "stale"), (8, None, None, "open")]
+
+
 def test_small_operators(spark):
     left = spark.createDataFrame([(1, 7, 10), (2, 7, 50), (3, 8, 10), (4, None, 1)], "i long, p long, t long")
     human, stale = spark.createDataFrame([(100, 7, 40)], "r long, p long, rt long"), spark.createDataFrame([(200, 7, 12), (201, 7, 60), (202, 8, 10)], "r long, p long, rt long")

@@ -235,7 +235,8 @@ _EV = "(SELECT event_id, user_id, epoch_ms(ts) AS t FROM events WHERE event_type
 SELECT a.event_id, coalesce(h.hit, z.hit) AS hit, coalesce(h.t, z.t) AS hit_t, CASE WHEN h.hit IS NOT NULL THEN 'closed' WHEN z.hit IS NOT NULL THEN 'stale' ELSE 'open' END AS outcome FROM a LEFT JOIN h USING (event_id) LEFT JOIN z USING (event_id)""")
 def _(s, d):
     """An event of the first kind wins over any of the second, however early."""
-    e = T(s, d, "events", "event_id", "user_id", "event_type", "ts").select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))  # milliseconds are rounded, half of one away from 1970, as the SQL's are
+    e = T(s, d, "events", "event_id", "user_id", "event_type", "ts").select("event_id", "user_id", "event_type", micros.alias("u")).withColumn("t", F.expr("(u div 500 + if(u < 0, -1, 1)) div 2"))
     kind = lambda k, i, t: e.where(F.col("event_type") == k).select(F.col("event_id").alias(i), "user_id", F.col("t").alias(t))
     return H.first_outcome(kind("view", "event_id", "t"), kind("purchase", "hit", "hit_t"), kind("click", "hit", "hit_t"), "user_id", "event_id", "t", "hit", "hit_t").drop("t")
 
