@@ -99,6 +99,20 @@ def test_shared_neighbours_against_brute_force(spark):
     assert got == want and want
 
 
+def test_common_features_are_compared_in_blocks(spark, monkeypatch):
+    """Pairs met in many features and blocks come once; only those that pass leave a block."""
+    rng = random.Random(4)
+    for name, n in (("LISTED", 3), ("SLICE", 7)):
+        monkeypatch.setattr(graph, name, n)
+    sets = {i: {rng.randrange(9) for _ in range(rng.randrange(2, 9))} | {100 + i // 2} for i in range(60)}
+    kinds = {i: (i % 3, i % 4) for i in sets}
+    rows = spark.createDataFrame([(k, x, *kinds[k]) for k, s in sets.items() for x in s], "k long, f long, g int, c long")
+    got = sorted((r.a, r.b, r.jaccard) for r in graph.shared_neighbours(rows, "k", "f", "g", 3, 0.45, ("c",)).collect())
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = sorted((a, b, alike(a, b)) for a in sets for b in sets if a < b and all(x != y for x, y in zip(kinds[a], kinds[b])) and min(len(sets[a]), len(sets[b])) >= 3 and alike(a, b) >= 0.45)
+    assert got == want and len(want) > 40
+
+
 def test_clusters_of_sites(spark):
     rng = random.Random(5)
     site = {v: "abc"[v % 3] for v in range(60)}
