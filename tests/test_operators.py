@@ -76,6 +76,13 @@ def test_rewire_keeps_degrees(spark):
     assert deg(new) == deg(edges) and len(set(new)) == len(edges) and set(new) != edges
 
 
+def test_hubs_of_replicas_are_those_of_their_edges(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(g, *sorted(rng.sample(range(30), 2))) for g in "gh" for _ in range(80)], "g string, a long, b long")
+    per = graph.rewire(df, "g", "a", "b", 3).groupBy("g", "rep", "a").count().where("count >= 3").groupBy("g", "rep").count()
+    assert sorted(map(tuple, graph.rewire(df, "g", "a", "b", 3, hubs=3).collect())) == sorted(map(tuple, per.collect()))
+
+
 def test_bootstrap_and_permutation(spark):
     df = spark.createDataFrame([("g" if i % 2 else "h", float(i), i > 150, i) for i in range(200)], "g string, v double, f boolean, i long")
     ci = graph.bootstrap_mean(df, "v", "i", 200).first()
