@@ -120,6 +120,22 @@ def test_common_features_are_compared_in_blocks(spark, monkeypatch):
     assert got == want and len(want) > 40
 
 
+def test_nodes_of_equal_sets_share_a_row(spark, monkeypatch):
+    """Many nodes with few sets, more than a row holds: every pair once, and blocks get each set once for its nodes."""
+    monkeypatch.setattr(graph, "LISTED", 3)
+    monkeypatch.setattr(graph, "HELD", 50)
+    written, kept = {}, graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, what, **k: [x := kept(df, what, **k), written.update({what: x.count()})][0])
+    kinds = [{1, 2, 3}, {1, 2, 3, 4}, {7, 8, 9}, {4, 5, 6, 9}]
+    sets = {i: kinds[0 if i < 130 else i % 4] for i in range(240)}
+    rows = spark.createDataFrame([(f"n{k}", x, k % 3) for k, s in sets.items() for x in s], "k string, f long, g int")
+    got = sorted((r.a, r.b, r.jaccard) for r in graph.shared_neighbours(rows, "k", "f", "g", 3, 0.45).collect())
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = sorted((*sorted((f"n{a}", f"n{b}")), alike(a, b)) for a in sets for b in sets if a < b and a % 3 != b % 3 and alike(a, b) >= 0.45)
+    assert got == want and len(want) > 8000
+    assert written["prefixes"] < 40  # a row a node would be over 500
+
+
 def test_clusters_of_sites(spark):
     rng = random.Random(5)
     site = {v: "abc"[v % 3] for v in range(60)}
